@@ -32,7 +32,8 @@ def search(frame: Frame, text: str | None, wildcards: bool = False) -> Frame:
     cells = [F.coalesce(display_text(c), F.lit("")) for c in frame.schema.columns]
     haystack = F.lower(F.concat_ws(" ", *cells))
     if wildcards:
-        return frame.where(haystack.like(F.lower(F.lit(f"%{text}%"))))
+        pattern = "%" + text.replace("\\", "\\\\") + "%"
+        return frame.where(F.like(haystack, F.lower(F.lit(pattern))))
     return frame.where(F.contains(haystack, F.lower(F.lit(text))))
 
 

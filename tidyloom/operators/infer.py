@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.errors import SourceError
+from tidyloom.functions.cells import SLOT, cells, position_of
 from tidyloom.functions.parsing import to_double, to_moment
 from tidyloom.functions.text import strip
 from tidyloom.model import (
@@ -64,7 +65,7 @@ DATE_FORMATS = (
     ("d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
 )
 
-_POS, _CELL = "pos", "cell"
+_CELL = "value"
 
 
 @dataclass(frozen=True)
@@ -126,16 +127,16 @@ def _text_counts(
     df: DataFrame, names: list[str], mode: str, order_by: list[str] | None, compat: bool
 ) -> dict[int, Row]:
     if mode == "full":
-        cells = df.select(F.posexplode(F.array(*map(col, names))).alias(_POS, _CELL))
+        found = cells(df, {i: col(name) for i, name in enumerate(names)})
         early = F.lit(True)
     elif mode == "sample":
-        cells = _first_cells(df, names, order_by)
+        found = _first_cells(df, names, order_by)
         early = F.col("number") <= SYMBOL_SAMPLE
     else:
         raise SourceError(f'Unknown inference mode: "{mode}".')
-    features = _features(cells.where(F.col(_CELL).isNotNull()), early, compat)
+    features = _features(found.where(F.col(_CELL).isNotNull()), early, compat)
     # One row per column, at most 512.
-    return {row[_POS]: row for row in features.collect()}
+    return {row["position"]: row for row in features.withColumn("position", position_of()).collect()}
 
 
 def _first_cells(df: DataFrame, names: list[str], order_by: list[str] | None) -> DataFrame:
@@ -146,21 +147,20 @@ def _first_cells(df: DataFrame, names: list[str], order_by: list[str] | None) ->
         anchors = {f"{HIDDEN}o{i}": col(name) for i, name in enumerate(order_by)}
     else:
         anchors = anchor_columns(df)
-    cells = df.select(
-        *(c.alias(n) for n, c in anchors.items()), F.posexplode(F.array(*map(col, names))).alias(_POS, _CELL)
-    ).where(F.col(_CELL).isNotNull())
-    order = Window.partitionBy(_POS).orderBy(*map(col, anchors))
-    return cells.withColumn("number", F.row_number().over(order)).where(F.col("number") <= SAMPLE_SIZE)
+    keys = [c.alias(n) for n, c in anchors.items()]
+    filled = cells(df, {i: col(name) for i, name in enumerate(names)}, keys).where(F.col(_CELL).isNotNull())
+    order = Window.partitionBy(SLOT).orderBy(*map(col, anchors))
+    return filled.withColumn("number", F.row_number().over(order)).where(F.col("number") <= SAMPLE_SIZE)
 
 
-def _features(cells: DataFrame, early: Column, compat: bool) -> DataFrame:
+def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
     value = strip(F.col(_CELL))
-    kept = cells.select(_POS, value.alias("v"), early.alias("early")).where(
+    kept = found.select(SLOT, value.alias("v"), early.alias("early")).where(
         ~F.lower(F.col("v")).isin(*NULL_TOKENS)
     )
     clean = strip(F.regexp_replace("v", LOOSE_MONEY_MARKS if compat else MONEY_MARKS, ""))
     clean = F.regexp_replace(clean, ACCOUNTING, "-$1")
-    shaped = kept.select(_POS, "v", "early", F.lower("v").alias("low"), clean.alias("n"))
+    shaped = kept.select(SLOT, "v", "early", F.lower("v").alias("low"), clean.alias("n"))
     number, low = F.col("n"), F.col("low")
     filled = number != ""
     comma, point = number.rlike(COMMA_NUMBER), number.rlike(POINT_NUMBER)
@@ -170,7 +170,7 @@ def _features(cells: DataFrame, early: Column, compat: bool) -> DataFrame:
         F.count_if(F.when(F.col("v").rlike(shape), to_moment(F.col("v"), pattern)).isNotNull()).alias(f"date{i}")
         for i, (pattern, shape) in enumerate(DATE_FORMATS)
     ]
-    return shaped.groupBy(_POS).agg(
+    return shaped.groupBy(SLOT).agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(low.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias("truths"),
         F.count_if(low.isin("0", "1")).alias("bits"),
@@ -188,15 +188,15 @@ def _features(cells: DataFrame, early: Column, compat: bool) -> DataFrame:
 def _decide(header: str, seen: Row | None, compat: bool) -> Strategy:
     if seen is None or seen["cells"] == 0:
         return Strategy(EMPTY)
-    cells = seen["cells"]
-    if seen["truths"] == cells and seen["bits"] < cells:
+    filled = seen["cells"]
+    if seen["truths"] == filled and seen["bits"] < filled:
         return Strategy(BOOLEAN)
     decimal = _decimal_sign(seen, compat)
     if decimal:
         money = header_suggests_currency(header) or seen["symbols"] > 0
         return Strategy(CURRENCY if money else NUMBER, decimal=decimal)
     for index, (pattern, _) in enumerate(DATE_FORMATS):
-        if seen[f"date{index}"] / cells >= THRESHOLD:
+        if seen[f"date{index}"] / filled >= THRESHOLD:
             return Strategy(DATE, date_format=pattern)
     return Strategy(TEXT)
 

@@ -1,0 +1,212 @@
+"""Workbooks (.xlsx) in bulk: one task reads one file at a time, all files in parallel.
+
+A row limit of the format (1,048,576) bounds what one file can hold.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidyloom.model import HIDDEN, MAX_COLUMNS
+from tidyloom.errors import SourceError
+from tidyloom.sources.admission import MAX_BYTES
+from tidyloom.sources.headers import normalize_headers
+
+BATCH_ROWS = 5_000
+CELLS_SCHEMA = "path string, sheet string, row_number int, cells array<string>"
+
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# Built-in number formats that show a date or a time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_EPOCH = datetime(1899, 12, 30)
+_EPOCH_1904 = datetime(1904, 1, 1)
+
+
+def read_workbooks(spark: SparkSession, *paths: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows of the first sheet with data of every workbook, as text cells.
+
+    The first row of a sheet (``row_number`` 0) is its header.
+    """
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+        .option("recursiveFileLookup", "true").load(list(paths)).where(F.col("length") <= max_bytes)
+    )
+    return files.select("path", "content").mapInPandas(_parse_files, CELLS_SCHEMA)
+
+
+def workbook_tables(spark: SparkSession, *paths: str, **limits) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """Workbooks as string tables, those with the same header together.
+
+    Each table carries its path and row number as hidden columns, for order and grouping.
+    """
+    cells = read_workbooks(spark, *paths, **limits)
+    headers = cells.where("row_number = 0").select("cells", "path").collect()
+    by_header: dict[tuple, list[str]] = {}
+    for row in headers:
+        by_header.setdefault(tuple(row["cells"]), []).append(row["path"])
+    tables = []
+    for header, names in by_header.items():
+        if len(header) > MAX_COLUMNS:
+            raise SourceError(f"A dataset may have at most {MAX_COLUMNS} columns.")
+        columns = normalize_headers(header)
+        # The paths were listed anyway; the others need not be opened again.
+        own = read_workbooks(spark, *names, **limits).where("row_number > 0")
+        tables.append((
+            tuple(columns),
+            own.select(
+                *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(columns)),
+                F.col("path").alias(HIDDEN + "file"), F.col("row_number").alias(HIDDEN + "row"),
+            ),
+        ))
+    return tables
+
+
+def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            yield from _batched(path, bytes(content))
+
+
+def _batched(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+    pending = []
+    for sheet, number, row in first_sheet_rows(content):
+        pending.append((path, sheet, number, row))
+        if len(pending) == BATCH_ROWS:
+            yield pd.DataFrame(pending, columns=["path", "sheet", "row_number", "cells"])
+            pending = []
+    if pending:
+        yield pd.DataFrame(pending, columns=["path", "sheet", "row_number", "cells"])
+
+
+def first_sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
+    """Rows of the first sheet that has more than a header, leading empty rows left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        strings = _shared_strings(archive)
+        is_date = _date_styles(archive)
+        epoch, sheets = _sheets(archive)
+        for name, part in sheets:
+            rows = _sheet_rows(archive, part, strings, is_date, epoch)
+            kept = (row for row in rows if any(cell is not None for cell in row))
+            header, second = next(kept, None), next(kept, None)
+            if second is None:
+                continue
+            yield name, 0, header
+            yield name, 1, second
+            for number, row in enumerate(kept, start=2):
+                yield name, number, row
+            return
+
+
+def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in archive.namelist():
+        return []
+    texts = []
+    with archive.open("xl/sharedStrings.xml") as part:
+        for _, element in ElementTree.iterparse(part):
+            if element.tag == _MAIN + "si":
+                texts.append(_text_of(element))
+                element.clear()
+    return texts
+
+
+def _text_of(element: ElementTree.Element) -> str:
+    """Text of a string item: its own runs, without phonetic hints."""
+    runs = [element.find(_MAIN + "t"), *(r.find(_MAIN + "t") for r in element.findall(_MAIN + "r"))]
+    return "".join(run.text or "" for run in runs if run is not None)
+
+
+def _date_styles(archive: zipfile.ZipFile) -> list[bool]:
+    """For every cell style, whether it shows a date."""
+    if "xl/styles.xml" not in archive.namelist():
+        return []
+    root = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    codes = {
+        int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iterfind(f"{_MAIN}numFmts/{_MAIN}numFmt")
+    }
+
+    def shows_date(number: int) -> bool:
+        if number not in codes:
+            return number in _DATE_FORMATS
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", codes[number])
+        return bool(re.search(r"[dmyhs]", bare, re.IGNORECASE))
+
+    return [shows_date(int(x.get("numFmtId") or 0)) for x in root.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf")]
+
+
+def _sheets(archive: zipfile.ZipFile) -> tuple[datetime, list[tuple[str, str]]]:
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    links = ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+    targets = {link.get("Id"): link.get("Target") for link in links}
+    properties = book.find(_MAIN + "workbookPr")
+    late = properties is not None and properties.get("date1904") in ("1", "true")
+    found = []
+    for sheet in book.iterfind(f"{_MAIN}sheets/{_MAIN}sheet"):
+        target = targets.get(sheet.get(_REL + "id")) or ""
+        part = target.lstrip("/") if target.startswith("/") else "xl/" + target
+        if part in archive.namelist():
+            found.append((sheet.get("name"), part))
+    return (_EPOCH_1904 if late else _EPOCH), found
+
+
+def _sheet_rows(archive, part, strings, is_date, epoch) -> Iterator[list[str | None]]:
+    with archive.open(part) as data:
+        for _, element in ElementTree.iterparse(data):
+            if element.tag != _MAIN + "row":
+                continue
+            row: list[str | None] = []
+            for cell in element.iterfind(_MAIN + "c"):
+                place = _column_index(cell.get("r")) if cell.get("r") else len(row)
+                row.extend([None] * (place - len(row)))
+                row.append(_cell_text(cell, strings, is_date, epoch))
+            element.clear()
+            yield row
+
+
+def _column_index(reference: str) -> int:
+    index = 0
+    for letter in reference:
+        if not letter.isalpha():
+            break
+        index = index * 26 + ord(letter.upper()) - 64
+    return index - 1
+
+
+def _cell_text(cell, strings, is_date, epoch) -> str | None:
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        inline = cell.find(_MAIN + "is")
+        return _text_of(inline) if inline is not None else None
+    value = cell.find(_MAIN + "v")
+    if value is None or value.text is None:
+        return None
+    text = value.text
+    if kind == "s":
+        return strings[int(text)]
+    if kind == "b":
+        return "true" if text == "1" else "false"
+    if kind == "e":
+        return None
+    style = int(cell.get("s") or 0)
+    if kind == "n" and style < len(is_date) and is_date[style]:
+        moment = epoch + timedelta(milliseconds=round(float(text) * 86_400_000))
+        return moment.isoformat(sep=" ", timespec="seconds")
+    if kind == "n":
+        return _plain_number(text)
+    return text
+
+
+def _plain_number(text: str) -> str:
+    """Decimal form without an exponent, so that type inference can read it."""
+    if "e" not in text.lower():
+        return text
+    return format(float(text), "f").rstrip("0").rstrip(".")
