@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Column names of spreadsheets are case-sensitive.
     "spark.sql.caseSensitive": "true",
+    # Windows code pages are common in exported text files.
+    "spark.sql.legacy.javaCharsets": "true",
+    # Whole files may cross to Python workers; batches are bounded by size, not by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,8 +24,7 @@ SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the engine relies on to a running session."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+        spark.conf.set(key, value)
     return spark
 
 

@@ -43,12 +43,28 @@ def admit(spark: SparkSession, *paths: str, max_bytes: int = MAX_BYTES) -> DataF
         F.lit(None).cast("double").alias("ratio"), F.lit("file is too large").alias("reason"),
     )
     opened = files.where(F.col("length") <= max_bytes)
-    return _verdict(_inspect(opened)).unionByName(large).select(
+    verdicts = _verdict(_inspect(opened)).unionByName(large).unionByName(_empty_files(spark, files))
+    return verdicts.select(
         "path", "length", "kind", "encoding", "separator", "header", "ratio",
         F.col("reason").isNull().alias("ok"), "reason",
     )
 
 
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Files without a byte: the reader lists them, but gives no row for them."""
+    def same_form(path: Column) -> Column:
+        return F.regexp_replace(F.try_url_decode(path), "^file:/+", "file:/")
+
+    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
+        same_form(F.col("path")).alias("path")
+    )
+    seen = files.select(same_form(F.col("path")).alias("path"))
+    return paths.join(seen, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("kind"), *_no_dialect(),
+        F.lit(None).cast("double").alias("ratio"), F.lit("file is empty").alias("reason"),
+    )
+
+
 def _no_dialect() -> list[Column]:
     return [F.lit(None).cast("string").alias(name) for name in ("encoding", "separator", "header")]
 
@@ -74,12 +90,10 @@ def _inspect(files: DataFrame) -> DataFrame:
     )
     encoding = _encoding(F.col("head"), F.col("length"))
     decoded = shown.withColumn("encoding", encoding)
-    text = F.when(F.col("encoding") == "UTF-8", F.decode("head", "UTF-8")).otherwise(
-        F.when(F.col("encoding") == "windows-1252", F.decode("head", "windows-1252")).otherwise(
-            F.decode("head", "ISO-8859-1")
-        )
-    )
-    lines = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
+    # Code pages need a setting of the session, so Python finishes the decoding.
+    utf8 = F.col("encoding") == "UTF-8"
+    text = F.when(utf8, F.decode("head", "UTF-8")).otherwise(F.decode("head", "ISO-8859-1"))
+    lines = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
     zero = F.col("maybe_zero") & F.contains(F.decode("head", "ISO-8859-1"), F.lit("\u0000"))
     small = decoded.select(
         "path", "length", "kind", "is_zip", "is_ole", "tail", "encoding",
@@ -114,6 +128,7 @@ def _encoding(head: Column, length: Column) -> Column:
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        batch["lines"] = [_finish(t, e) for t, e in zip(batch["lines"], batch["encoding"])]
         batch["separator"] = [None if t is None else sniff_separator(t) for t in batch["lines"]]
         batch["header"] = [None if t is None else t.split("\n", 1)[0] for t in batch["lines"]]
         sizes = [(None, None) if t is None else archive_sizes(bytes(t), n) for t, n in zip(batch["tail"], batch["length"])]
@@ -124,6 +139,12 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ]
 
 
+def _finish(text: str | None, encoding: str | None) -> str | None:
+    if text is None or encoding != "windows-1252":
+        return text
+    return text.encode("latin-1").decode("cp1252", errors="replace")
+
+
 def sniff_separator(lines: str) -> str:
     """Separator of delimited text: by its structure, else the most frequent sign, else a comma."""
     try:
