@@ -98,7 +98,7 @@ def test_separators():
 
 
 def test_repeated_files(spark, folder):
-    rows = admission.repeated_files(spark, str(folder)).collect()
+    rows = admission.repeated_files(admission.list_files(spark, str(folder))).collect()
     assert [(r["path"].rsplit("/", 1)[1], r["first_path"].rsplit("/", 1)[1]) for r in rows] == [("copy.csv", "b.csv")]
 
 

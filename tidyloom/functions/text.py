@@ -44,9 +44,10 @@ def display_text(column: ColumnSpec) -> Column:
     elif not isinstance(column.data_type, T.DoubleType):
         return value.cast("string")
     size = F.abs(value)
-    digits = F.rtrim(value.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
+    shortest = _shortest(value)
+    digits = F.rtrim(shortest.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
-    exponent = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(?:\.0)?E(\d)", "e+$1"), r"(?:\.0)?E-", "e-")
+    exponent = F.regexp_replace(F.regexp_replace(shortest, r"(?:\.0)?E(\d)", "e+$1"), r"(?:\.0)?E-", "e-")
     exponent = F.regexp_replace(exponent, r"e([+-])(\d)$", "e$10$2")
     return (
         F.when(value == 0, F.when(value.cast("string") == "-0.0", "-0.0").otherwise("0.0"))
@@ -57,6 +58,19 @@ def display_text(column: ColumnSpec) -> Column:
     )
 
 
+def _shortest(value: Column) -> Column:
+    """Shortest text that reads back as the same double.
+
+    Some Java versions print a seventeenth digit where sixteen would do; such
+    long texts are tried again with one digit less.
+    """
+    printed = value.cast("string")
+    shorter = F.format_string("%.15e", value)
+    same = shorter.try_cast("double") == value
+    shorter = F.regexp_replace(F.regexp_replace(shorter, r"0*e\+0*(\d)", "E$1"), r"0*e-0*(\d)", "E-$1")
+    return F.when((F.length(printed) >= 18) & same, shorter).otherwise(printed)
+
+
 def is_blank(column: ColumnSpec) -> Column:
     """Null, or nothing but spaces when the column holds text. Never null itself."""
     value = column.col()

@@ -36,14 +36,25 @@ def admit(spark: SparkSession, *paths: str, max_bytes: int = MAX_BYTES) -> DataF
 
     Files over the size limit are refused by their length, without being opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    listed = files.select("path", "length")
-    large = listed.where(F.col("length") > max_bytes).select(
+    files = list_files(spark, *paths)
+    large = files.where(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("string").alias("kind"), *_no_dialect(),
         F.lit(None).cast("double").alias("ratio"), F.lit("file is too large").alias("reason"),
     )
-    opened = files.where(F.col("length") <= max_bytes)
-    verdicts = _verdict(_inspect(opened)).unionByName(large).unionByName(_empty_files(spark, files))
+    opened = _verdict(_inspect(files.where(F.col("length") <= max_bytes)))
+    return _admitted(opened.unionByName(large).unionByName(_empty_files(spark, files)))
+
+
+def admit_contents(files: DataFrame) -> DataFrame:
+    """The same verdicts for files already held as ``(path, length, content)``."""
+    return _admitted(_verdict(_inspect(files)))
+
+
+def list_files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+
+
+def _admitted(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(
         "path", "length", "kind", "encoding", "separator", "header", "ratio",
         F.col("reason").isNull().alias("ok"), "reason",
@@ -193,17 +204,22 @@ def _verdict(looked: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(spark: SparkSession, *paths: str) -> DataFrame:
-    """SHA-256 and size of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+def fingerprints(files: DataFrame) -> DataFrame:
+    """SHA-256 and size of every file of ``(path, length, content)``."""
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def repeated_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files whose content was seen before under an earlier path, each with that first path."""
-    marked = fingerprints(spark, *paths)
-    first = marked.groupBy("sha256", "length").agg(F.min("path").alias("first_path"), F.count("*").alias("n"))
-    many = first.where(F.col("n") > 1).drop("n")
+def repeated_files(files: DataFrame) -> DataFrame:
+    """Files whose content occurs under an earlier path, each with the first such path.
+
+    The first paths come from an aggregate that is combined before the shuffle,
+    so any number of copies of one file may exist.
+    """
+    marked = fingerprints(files)
+    copies = marked.groupBy("sha256", "length").agg(
+        F.min("path").alias("first_path"), F.count(F.lit(1)).alias("n")
+    )
+    many = copies.where(F.col("n") > 1).drop("n")
     return marked.join(many, ["sha256", "length"]).where(F.col("path") != F.col("first_path")).select(
         "path", "length", "sha256", "first_path"
     )

@@ -41,6 +41,11 @@ def read_workbooks(spark: SparkSession, *paths: str, max_bytes: int = MAX_BYTES)
         spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
         .option("recursiveFileLookup", "true").load(list(paths)).where(F.col("length") <= max_bytes)
     )
+    return workbook_rows(files)
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """The same for workbooks already held as ``(path, content)``."""
     return files.select("path", "content").mapInPandas(_parse_files, CELLS_SCHEMA)
 
 
