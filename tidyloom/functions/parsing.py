@@ -12,8 +12,8 @@ PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def to_double(text: Column) -> Column:
-    """Plain decimal text to double. The guard refuses suffixes such as ``12d``."""
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """Plain decimal text to double. Other forms, such as ``12d``, come out empty first."""
+    return F.regexp_extract(text, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def to_moment(text: Column, pattern: str) -> Column:

@@ -19,12 +19,20 @@ WHITESPACE = SPACES + "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u2028\u2
 
 def trim_spaces(value: Column) -> Column:
     """Remove space separators at both ends; tabs and line ends stay."""
-    return F.btrim(value, F.lit(SPACES))
+    return _trim(value, SPACES)
 
 
 def strip(value: Column) -> Column:
     """Remove every kind of white space at both ends."""
-    return F.btrim(value, F.lit(WHITESPACE))
+    return _trim(value, WHITESPACE)
+
+
+def _trim(value: Column, signs: str) -> Column:
+    # Most cells have nothing to trim, and a look at both ends is cheaper than
+    # the trim itself, which walks through the whole text.
+    ends = [F.substring(value, 1, 1), F.substring(value, -1, 1)]
+    padded = ends[0].isin(*signs) | ends[1].isin(*signs)
+    return F.when(padded, F.btrim(value, F.lit(signs))).otherwise(value)
 
 
 def fold(value: Column) -> Column:
@@ -50,7 +58,9 @@ def display_text(column: ColumnSpec) -> Column:
     exponent = F.regexp_replace(F.regexp_replace(shortest, r"(?:\.0)?E(\d)", "e+$1"), r"(?:\.0)?E-", "e-")
     exponent = F.regexp_replace(exponent, r"e([+-])(\d)$", "e$10$2")
     return (
-        F.when(value == 0, F.when(value.cast("string") == "-0.0", "-0.0").otherwise("0.0"))
+        # Here Java prints the plain form by itself.
+        F.when((size >= 1e-3) & (size < 1e7), shortest)
+        .when(value == 0, F.when(value.cast("string") == "-0.0", "-0.0").otherwise("0.0"))
         .when((size >= 1e-4) & (size < 1e16), plain)
         .when(F.isnan(value), "nan")
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))

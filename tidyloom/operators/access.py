@@ -92,11 +92,12 @@ def column_values(
     """Most frequent values of a column of the base data, as text with their counts."""
     if not 1 <= limit <= MAX_VALUES:
         raise RecipeError(f"Between 1 and {MAX_VALUES} values can be listed.")
-    value = display_text(schema_of(df, types).resolve(column))
-    rows = df.select(value.alias("value")).where(F.col("value").isNotNull())
+    spec = schema_of(df, types).resolve(column)
+    # Equal cells are combined before they are turned into text and searched.
+    counted = df.where(spec.col().isNotNull()).groupBy(spec.col()).agg(F.count(F.lit(1)).alias(HIDDEN + "n"))
+    counted = counted.select(display_text(spec).alias("value"), col(HIDDEN + "n").alias("count"))
     if text:
-        rows = rows.where(F.contains(F.lower("value"), F.lower(F.lit(text))))
-    counted = rows.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        counted = counted.where(F.contains(F.lower("value"), F.lower(F.lit(text))))
     return counted.orderBy(F.desc("count"), F.asc("value")).limit(limit)
 
 

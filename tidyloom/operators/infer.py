@@ -51,6 +51,9 @@ LOOSE_MONEY_MARKS = r"(?i)[R$€£\s\p{Z}]|BRL|USD"
 ACCOUNTING = r"^\((.+)\)$"
 # A whole number that could have points between its thousands.
 GROUPED_WHOLE = r"^-?\d{1,3}(?:\.\d{3})*$|^-?\d+$"
+# What every number and every date below starts out as.
+NUMBER_LIKE = r"^-?\d[\d.,]*$"
+DATE_LIKE = r"^\d{1,4}[/.-]\d{1,2}[/.-]\d{2,4}(?:[ T][\d:]+)?$"
 # Date formats in the order they are tried, each with the shape
 # that a cell must have before it is worth parsing.
 DATE_FORMATS = (
@@ -154,33 +157,46 @@ def _first_cells(df: DataFrame, names: list[str], order_by: list[str] | None) ->
 
 
 def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
-    value = strip(F.col(_CELL))
-    kept = found.select(SLOT, value.alias("v"), early.alias("early")).where(
-        ~F.lower(F.col("v")).isin(*NULL_TOKENS)
+    """Counts per column of what its cells look like.
+
+    Each stage prepares what the next one uses more than once; the two cheap
+    shape tests spare most cells the detailed ones.
+    """
+    marks = LOOSE_MONEY_MARKS if compat else MONEY_MARKS
+    stripped = found.select(SLOT, strip(F.col(_CELL)).alias("v"), early.alias("early"))
+    kept = stripped.select(SLOT, "v", "early", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
+    clean = F.regexp_replace(F.regexp_replace("v", marks, ""), ACCOUNTING, "-$1")
+    shaped = kept.select(
+        SLOT, "v", "early", "low", clean.alias("n"), F.col("v").rlike(DATE_LIKE).alias("datelike")
     )
-    clean = strip(F.regexp_replace("v", LOOSE_MONEY_MARKS if compat else MONEY_MARKS, ""))
-    clean = F.regexp_replace(clean, ACCOUNTING, "-$1")
-    shaped = kept.select(SLOT, "v", "early", F.lower("v").alias("low"), clean.alias("n"))
-    number, low = F.col("n"), F.col("low")
+    shaped = shaped.withColumn("numeric", F.col("n").rlike(NUMBER_LIKE))
+    number, low, numeric = F.col("n"), F.col("low"), F.col("numeric")
     filled = number != ""
-    comma, point = number.rlike(COMMA_NUMBER), number.rlike(POINT_NUMBER)
-    whole = F.substring_index(F.substring_index(F.regexp_replace(number, "^-+", ""), ",", 1), ".", 1)
+    comma, point = numeric & number.rlike(COMMA_NUMBER), numeric & number.rlike(POINT_NUMBER)
+    whole = F.substring_index(F.substring_index(F.ltrim(number, F.lit("-")), ",", 1), ".", 1)
     code = number.rlike(LEADING_ZERO) | (F.length(whole) > MAX_SAFE_DIGITS)
+    looked = shaped.select(
+        SLOT, "v", "early", "low", "datelike", filled.alias("filled"), comma.alias("comma"), point.alias("point"),
+        (filled & code).alias("code"), number.rlike(GROUPED_WHOLE).alias("grouped"),
+    )
     dates = [
-        F.count_if(F.when(F.col("v").rlike(shape), to_moment(F.col("v"), pattern)).isNotNull()).alias(f"date{i}")
+        F.count_if(
+            F.when(F.col("datelike") & F.col("v").rlike(shape), to_moment(F.col("v"), pattern)).isNotNull()
+        ).alias(f"date{i}")
         for i, (pattern, shape) in enumerate(DATE_FORMATS)
     ]
-    return shaped.groupBy(SLOT).agg(
+    comma, point = F.col("comma"), F.col("point")
+    return looked.groupBy(SLOT).agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(low.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias("truths"),
         F.count_if(low.isin("0", "1")).alias("bits"),
-        F.count_if(filled).alias("numbers"),
-        F.count_if(filled & code).alias("codes"),
+        F.count_if("filled").alias("numbers"),
+        F.count_if("code").alias("codes"),
         F.count_if(comma).alias("comma"),
         F.count_if(point).alias("point"),
         F.count_if(comma & point).alias("both"),
-        F.count_if(point & ~comma & ~number.rlike(GROUPED_WHOLE)).alias("point_only"),
-        F.count_if(F.col("early") & F.col("v").rlike(r"[$€]")).alias("symbols"),
+        F.count_if(point & ~comma & ~F.col("grouped")).alias("point_only"),
+        F.count_if(F.col("early") & (F.contains("v", F.lit("$")) | F.contains("v", F.lit("€")))).alias("symbols"),
         *dates,
     )
 
@@ -217,9 +233,11 @@ def _decimal_sign(seen: Row, compat: bool) -> str | None:
 
 # --- conversion ------------------------------------------------------------
 
-def convert(name: str, strategy: Strategy, data_type: T.DataType, decimal_scale: int | None = None) -> Column:
-    """Column converted by its strategy; cells that do not fit become null."""
-    value = col(name)
+def convert(value: Column, strategy: Strategy, decimal_scale: int | None = None) -> Column:
+    """Column converted by its strategy; cells that do not fit become null.
+
+    Text must be stripped already.
+    """
     if strategy.type in (NUMBER, CURRENCY):
         number = value.cast("double") if strategy.native else _number(value, strategy.decimal)
         if decimal_scale is not None:
@@ -230,24 +248,27 @@ def convert(name: str, strategy: Strategy, data_type: T.DataType, decimal_scale:
         if strategy.native:
             return value.cast("timestamp_ntz")
         shape = dict(DATE_FORMATS)[strategy.date_format]
-        text = strip(value)
-        return F.when(text.rlike(shape), to_moment(text, strategy.date_format))
+        return F.when(value.rlike(shape), to_moment(value, strategy.date_format))
     if strategy.type == BOOLEAN:
         if strategy.native:
             return value
-        text = F.lower(strip(value))
-        return F.when(text.isin(*TRUE_TOKENS), True).when(text.isin(*FALSE_TOKENS), False)
-    return normalize_missing(value.cast("string"))
+        word = F.lower(value)
+        return F.when(word.isin(*TRUE_TOKENS), True).when(word.isin(*FALSE_TOKENS), False)
+    return missing_to_null(value)
+
+
+def missing_to_null(text: Column) -> Column:
+    """Null for a stripped text that stands for a missing cell."""
+    return F.when(~F.lower(text).isin(*NULL_TOKENS), text)
 
 
 def normalize_missing(value: Column) -> Column:
     """Strip a text; null if what is left stands for a missing cell."""
-    text = strip(value)
-    return F.when(~F.lower(text).isin(*NULL_TOKENS), text)
+    return missing_to_null(strip(value))
 
 
 def _number(value: Column, decimal: str | None) -> Column:
-    text = F.regexp_replace(strip(value), MONEY_MARKS, "")
+    text = F.regexp_replace(value, MONEY_MARKS, "")
     text = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
     if decimal == ",":
         text = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -261,9 +282,9 @@ def coerce(
 ) -> DataFrame:
     """Infer where needed, then convert every column in one projection."""
     strategies = strategies if strategies is not None else infer(df, **options)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    hidden = [c for c in df.columns if c.startswith(HIDDEN)]
-    typed = df.select(
-        *(convert(n, s, kinds[n], decimal_scale).alias(n) for n, s in strategies.items()), *map(col, hidden)
+    hidden = [col(c) for c in df.columns if c.startswith(HIDDEN)]
+    clean = df.select(
+        *((col(n) if s.native else strip(col(n).cast("string"))).alias(n) for n, s in strategies.items()), *hidden
     )
+    typed = clean.select(*(convert(col(n), s, decimal_scale).alias(n) for n, s in strategies.items()), *hidden)
     return with_logical_types(typed, {n: s.type for n, s in strategies.items()})
