@@ -15,6 +15,8 @@ from tidyloom.operators import metrics as metric_ops
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.frame import SOURCE, Frame, by_source
 
+SALTS = 16
+
 
 # --- the same recipe on many files -----------------------------------------
 
@@ -76,21 +78,25 @@ def resolve_names(requests: DataFrame, present: DataFrame) -> DataFrame:
     if there is none or more than one, ``resolved`` is null.
 
     Each dataset's names travel as one array, which the limit on columns keeps
-    short, so a request meets its dataset once instead of once per column.
+    short, so a request meets its dataset once instead of once per column. The
+    arrays are repeated under a few salts, so that a dataset which most requests
+    ask for is still spread over many tasks.
     """
     entry = F.struct("position", "column")
     listed = present.groupBy("dataset_id").agg(F.array_sort(F.collect_set(entry)).alias("entries"))
     listed = listed.select(
         F.col("dataset_id").alias("of_dataset"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"),
         F.when(F.size("entries") > MAX_COLUMNS, F.raise_error(F.lit("a dataset has too many columns")))
         .otherwise(F.transform("entries", lambda e: e["column"])).alias("names"),
     )
     needle = F.lower(strip(F.col("name")))
-    asked = requests.withColumn("needle", needle)
+    asked = requests.withColumn("needle", needle).withColumn("salt", F.pmod(F.hash(*requests.columns), F.lit(SALTS)))
     wanted = F.col("needle")
     exact = F.try_element_at(F.filter("names", lambda c: F.lower(c) == wanted), F.lit(-1))
     close = F.filter("names", lambda c: F.contains(F.lower(c), wanted) | F.contains(wanted, F.lower(c)))
-    joined = asked.join(listed, F.col("dataset_id") == F.col("of_dataset"), "left")
+    same = (F.col("dataset_id") == F.col("of_dataset")) & (F.col("salt") == F.col("of_salt"))
+    joined = asked.join(listed, same, "left")
     found = joined.withColumns({"close": close, "exact": exact})
     resolved = F.coalesce(F.col("exact"), F.when(F.size("close") == 1, F.get("close", F.lit(0))))
     return found.withColumn("resolved", resolved).select(*requests.columns, "resolved")

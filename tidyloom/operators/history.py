@@ -109,11 +109,12 @@ def execution_listing(
 ) -> DataFrame:
     """Runs of a user, newest first, with the user's name where it is known.
 
-    The page is cut before the join, so that one page of rows is all that meets
-    the users.
+    The page is cut before the join, and only one user can match it, so neither
+    table is shuffled.
     """
     shown = listing(executions, "user_id", user_id, "created_at", "id", page, size)
-    named = users.select(F.col("id").alias("owner_id"), F.col("display_name").alias("created_by_name"))
+    owner = users.where(F.col("id") == F.lit(user_id)).limit(1)
+    named = F.broadcast(owner.select(F.col("id").alias("owner_id"), F.col("display_name").alias("created_by_name")))
     joined = shown.join(named, F.col("user_id") == F.col("owner_id"), "left").drop("owner_id")
     return joined.orderBy(F.col("created_at").desc(), F.col("id").asc())
 
