@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidyloom.errors import SourceError
 from tidyloom.functions.cells import SLOT, cells, position_of
 from tidyloom.functions.parsing import to_double, to_moment
-from tidyloom.functions.text import strip
+from tidyloom.functions.text import WHITESPACE, strip
 from tidyloom.model import (
     BOOLEAN, CURRENCY, DATE, EMPTY, HIDDEN, MAX_COLUMNS, NUMBER, TEXT, col, with_logical_types,
 )
@@ -46,7 +46,8 @@ CURRENCY_HINTS = (
 COMMA_NUMBER = r"^-?\d{1,3}(?:\.\d{3})*,\d+$|^-?\d+,\d+$"
 POINT_NUMBER = r"^-?\d{1,3}(?:,\d{3})*(?:\.\d+)?$|^-?\d+(?:\.\d+)?$"
 LEADING_ZERO = r"^-?0\d"
-MONEY_MARKS = r"R\$|[$€£]|[\s\p{Z}]|BRL|USD"
+MONEY_WORDS = ("BRL", "USD", "R$")
+MONEY_SIGNS = "$€£"
 LOOSE_MONEY_MARKS = r"(?i)[R$€£\s\p{Z}]|BRL|USD"
 ACCOUNTING = r"^\((.+)\)$"
 # A whole number that could have points between its thousands.
@@ -162,13 +163,11 @@ def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
     Each stage prepares what the next one uses more than once; the two cheap
     shape tests spare most cells the detailed ones.
     """
-    marks = LOOSE_MONEY_MARKS if compat else MONEY_MARKS
     stripped = found.select(SLOT, strip(F.col(_CELL)).alias("v"), early.alias("early"))
     kept = stripped.select(SLOT, "v", "early", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
-    clean = F.regexp_replace(F.regexp_replace("v", marks, ""), ACCOUNTING, "-$1")
-    shaped = kept.select(
-        SLOT, "v", "early", "low", clean.alias("n"), F.col("v").rlike(DATE_LIKE).alias("datelike")
-    )
+    bare = F.regexp_replace("v", LOOSE_MONEY_MARKS, "") if compat else _without_money_marks(F.col("v"))
+    cleaned = kept.select(SLOT, "v", "early", "low", bare.alias("bare"), F.col("v").rlike(DATE_LIKE).alias("datelike"))
+    shaped = cleaned.select(SLOT, "v", "early", "low", "datelike", _signed(F.col("bare")).alias("n"))
     shaped = shaped.withColumn("numeric", F.col("n").rlike(NUMBER_LIKE))
     number, low, numeric = F.col("n"), F.col("low"), F.col("numeric")
     filled = number != ""
@@ -267,9 +266,19 @@ def normalize_missing(value: Column) -> Column:
     return missing_to_null(strip(value))
 
 
+def _without_money_marks(text: Column) -> Column:
+    for word in MONEY_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(""))
+    return F.translate(text, MONEY_SIGNS + WHITESPACE, "")
+
+
+def _signed(text: Column) -> Column:
+    """Parentheses around an amount mean that it is negative."""
+    return F.when(F.startswith(text, F.lit("(")), F.regexp_replace(text, ACCOUNTING, "-$1")).otherwise(text)
+
+
 def _number(value: Column, decimal: str | None) -> Column:
-    text = F.regexp_replace(value, MONEY_MARKS, "")
-    text = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
+    text = _signed(_without_money_marks(value))
     if decimal == ",":
         text = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     else:
