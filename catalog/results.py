@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    MESSY_SQL, check_money, condition as c, group, keep, messy, recipe, register, spark_money, table,
+    MESSY_SQL, condition as c, group, keep, messy, recipe, register, spark_money, table,
 )
 from tidyloom.operators import access, fleet, history, metrics, profile
 from tidyloom.operators.infer import coerce, infer, normalize_missing

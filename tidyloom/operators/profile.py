@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidyloom.errors import RecipeError
 from tidyloom.functions.cells import SLOT, cells, position_of
 from tidyloom.functions.text import display_text
-from tidyloom.model import BOOLEAN, CURRENCY, DATE, NUMBER, TEXT, ColumnSpec, DatasetSchema, col, schema_of
+from tidyloom.model import BOOLEAN, CURRENCY, NUMBER, TEXT, ColumnSpec, DatasetSchema, schema_of
 
 # Which columns list frequent values, and how many of each.
 TOP_MAX_DISTINCT = 60

@@ -112,7 +112,8 @@ def frame_of(
 ) -> Frame:
     """Start of a recipe on a DataFrame.
 
-    ``order_by`` names columns that give the rows their order. With ``anchored``
+    ``order_by`` names columns that give the rows their order; together they
+    should be unique, or rows that tie may change places. With ``anchored``
     the position in the source files is used instead; the DataFrame must then be
     a plain file read.
     """
