@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyloom.llm import mixing, rules
+from tidyloom.llm import decontaminate, mixing, rules
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
 
@@ -31,6 +31,41 @@ def op8_rules() -> str:
     FROM judged"""
 
 
+_PLAIN = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+
+
+def op6_decontamination() -> str:
+    return f"""
+    WITH bench AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n FROM bench WHERE len(w) > 0),
+    wanted AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+    ),
+    docs AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+    lengths AS (SELECT DISTINCT n FROM wanted),
+    windows AS (
+        SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)
+    ),
+    found AS (SELECT doc_id, i, d.n, item_id FROM windows AS d JOIN wanted USING (n, g)),
+    hit AS (
+        SELECT doc_id, count(*) AS n_hit FROM (
+            SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found
+        ) GROUP BY doc_id
+    ),
+    listed AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
 def mixed(docs: str) -> str:
     """CTEs that end in ``mixed``: the rows of ``docs`` with what the mix takes of them."""
     listed = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
@@ -50,7 +85,7 @@ def mixed(docs: str) -> str:
     ), clamped AS (
         SELECT *, bool_and(cap * ws < l * w) OVER (ORDER BY cap / w, source) AS full_up FROM poured
     ), level AS (
-        SELECT coalesce(min(l) FILTER (NOT full_up), 0) AS l, coalesce(max(ws) FILTER (NOT full_up), 1) AS ws FROM clamped
+        SELECT coalesce(max(l) FILTER (NOT full_up), 0) AS l, coalesce(max(ws) FILTER (NOT full_up), 1) AS ws FROM clamped
     ), aimed AS (
         SELECT source, s::BIGINT AS source_size, CASE WHEN full_up THEN cap::DOUBLE ELSE level.l::DOUBLE * w::DOUBLE / level.ws::DOUBLE END AS target,
                (CASE WHEN full_up THEN cap ELSE (level.l * w)::HUGEINT // level.ws::HUGEINT END)::BIGINT AS aim
@@ -91,4 +126,4 @@ def op3_mixing() -> str:
     SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM mixed"""
 
 
-ORACLES = {"op3_mixing": op3_mixing(), "op8_rules": op8_rules()}
+ORACLES = {"op3_mixing": op3_mixing(), "op6_decontamination": op6_decontamination(), "op8_rules": op8_rules()}

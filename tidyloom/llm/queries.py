@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidyloom.llm import mixing, rules, sharding
+from tidyloom.llm import decontaminate, mixing, rules, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,19 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs, benchmark = (table(spark, folder, n) for n in ("documents", "benchmark"))
+    found = decontaminate.contamination(docs.select("doc_id", "text"), benchmark).drop("text")
+    listed = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(listed, "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger of every document and its verdict."""
     judged = rules.apply_policy(rules.ledger(table(spark, folder, "documents").select("doc_id", "text")), POLICY)
@@ -40,6 +54,8 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op7_simhash": op7_simhash,
     "op8_rules": op8_rules,
     "op9_sharding": op9_sharding,
 }
