@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyloom.llm import decontaminate, mixing, rules
+from tidyloom.llm import decontaminate, mixing, rules, substrings
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
 
@@ -31,6 +31,24 @@ def op8_rules() -> str:
     FROM judged"""
 
 
+def op5_substrings() -> str:
+    n = substrings.WINDOW
+    return f"""
+    WITH split AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + {n - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM split)
+    ),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p FROM twice),
+    listed AS (SELECT doc_id, list(p) AS p, count(*) AS n FROM gone GROUP BY doc_id),
+    placed AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM split),
+    kept AS (
+        SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM split LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 _PLAIN = (
     "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
     " '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -126,4 +144,5 @@ def op3_mixing() -> str:
     SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM mixed"""
 
 
-ORACLES = {"op3_mixing": op3_mixing(), "op6_decontamination": op6_decontamination(), "op8_rules": op8_rules()}
+ORACLES = {"op3_mixing": op3_mixing(), "op5_substrings": op5_substrings(),
+    "op6_decontamination": op6_decontamination(), "op8_rules": op8_rules()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import decontaminate, mixing, rules, sharding, simhash
+from tidyloom.llm import decontaminate, mixing, rules, sharding, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,12 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    cut = substrings.repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs, benchmark = (table(spark, folder, n) for n in ("documents", "benchmark"))
@@ -54,6 +60,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
+    "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_rules": op8_rules,
