@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import decontaminate, mixing, rules, sharding, simhash, substrings
+from tidyloom.llm import decontaminate, line_dedup, mixing, rules, sharding, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without its near-duplicate lines."""
+    cut = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -59,6 +65,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lines": op1_lines,
     "op3_mixing": op3_mixing,
     "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
