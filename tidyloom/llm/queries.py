@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import decontaminate, line_dedup, mixing, rules, sharding, simhash, substrings
+from tidyloom.llm import decontaminate, line_dedup, mixing, quality, rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
 POLICY = "v2"
+#: Lowest grade that selection keeps.
+GRADE = 1
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +27,13 @@ def op1_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade of every document and whether its quality is good enough."""
+    docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, labels), GRADE).drop("text")
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -64,12 +73,21 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of the categories of the chain for every document."""
+    docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, labels)).drop("text").withColumn("toxic", F.col("is_toxic"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_rules": op8_rules,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
