@@ -132,9 +132,9 @@ class Selected:
         column = np.full(SIZE, -1)
         column[self.index] = np.arange(len(self.index))
         mine = column[at] >= 0
-        self.matrix = np.zeros((rows, len(self.index)))
+        self.matrix = np.zeros((rows, len(self.index)), np.float32)
         self.matrix[row[mine], column[at[mine]]] = value[mine]
-        self.matrix *= self.scale
+        self.matrix *= self.scale.astype(np.float32)
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         """Weights over all features for those of the matrix."""

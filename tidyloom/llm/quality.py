@@ -62,7 +62,7 @@ def fit(matrix: np.ndarray, grade: np.ndarray, grades: int, penalty: float = PEN
     def gradient(x: np.ndarray) -> np.ndarray:
         w, raw = x[:columns], x[columns:]
         cut = np.concatenate(([-np.inf], thresholds_of(raw), [np.inf]))
-        score = matrix @ w
+        score = (matrix @ w.astype(np.float32)).astype(float)
         # Probability of reaching the own grade, and of reaching the next one.
         own = np.where(grade == 0, 1.0, features.sigmoid(score - np.where(grade == 0, 0, cut[grade])))
         next_ = np.where(grade == grades - 1, 0.0, features.sigmoid(score - np.where(grade == grades - 1, 0, cut[grade + 1])))
@@ -71,7 +71,7 @@ def fit(matrix: np.ndarray, grade: np.ndarray, grades: int, penalty: float = PEN
         lower, upper = own * (1 - own) / mass / rows, -next_ * (1 - next_) / mass / rows
         by_cut = np.bincount(grade, lower, minlength=grades)[1:] + np.bincount(grade + 1, upper, minlength=grades + 1)[1:grades]
         by_raw = np.array([by_cut[i:].sum() * (np.exp(raw[i]) if i else 1) for i in range(len(raw))])
-        return np.concatenate((matrix.T @ by_score + penalty * w, by_raw))
+        return np.concatenate((matrix.T @ by_score.astype(np.float32) + penalty * w, by_raw))
 
     share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] / rows
     cut = np.log(share / (1 - share))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import decontaminate, line_dedup, mixing, quality, rules, sharding, simhash, substrings, toxicity
+from tidyloom.llm import decontaminate, line_dedup, main_text, mixing, quality, rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return main_text.main_text(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without its repeated passages."""
     cut = substrings.repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_main_text": op4_main_text,
     "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,

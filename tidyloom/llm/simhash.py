@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import saved
+from tidyloom.llm.common import saved, whole
 from tidyloom.llm.components import components
 
 SHINGLE = 3
@@ -154,15 +154,34 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row."""
-    prints = saved(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))))
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) of every fingerprint."""
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(links(prints.select("fp").distinct()))
     # Only fingerprints with a link need the second step; the others keep their own first row.
     roots = linked.join(own.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first").alias("least"))
     joined = linked.join(roots, "root").select(F.col("node").alias("fp"), "least")
-    classes = own.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(
+    return own.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row."""
+    prints = saved(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))))
+    return prints.join(_classes(prints), "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class: those with its smallest key, once.
+
+    Keys decide without the texts; only rows that share key and fingerprint, repeats of
+    a document, are compared by their texts, and the smallest stays. A class without any
+    key is represented by its smallest text.
+    """
+    prints = saved(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.md5(F.encode(whole(text), "UTF-8")).alias("digest"))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    chosen = prints.join(saved(_classes(prints)), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("f"))
+    kept = chosen.select(F.col("f.doc_id").alias("__id"), F.col("f.digest").alias("__digest"))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.md5(F.encode(whole(text), "UTF-8")) == F.col("__digest"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([key, text])

@@ -31,7 +31,7 @@ ROWS = 10000
 FEATURES = 800
 DAMP = 1e-4
 FOLDS = 5
-STEPS = 300
+STEPS = 200
 PENALTY = 1e-4
 
 #: Categories in the order of the chain, from the labels.
@@ -43,8 +43,8 @@ def logistic(matrix: np.ndarray, mark: np.ndarray, penalty: float = PENALTY, ste
     rows, columns = matrix.shape
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        error = (features.sigmoid(matrix @ x[:columns] + x[columns]) - mark) / rows
-        return np.concatenate((matrix.T @ error + penalty * x[:columns], [error.sum()]))
+        error = (features.sigmoid((matrix @ x[:columns].astype(np.float32)).astype(float) + x[columns]) - mark) / rows
+        return np.concatenate((matrix.T @ error.astype(np.float32) + penalty * x[:columns], [error.sum()]))
 
     share = np.clip(mark.mean(), 1e-6, 1 - 1e-6)
     return features.descend(gradient, np.concatenate((np.zeros(columns), [np.log(share / (1 - share))])), steps)
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
             earlier = np.column_stack((earlier, mark))
             continue
         chosen = features.Selected(n, row, at, value, mark, FEATURES, DAMP)
-        matrix = np.column_stack((chosen.matrix, earlier))
+        matrix = np.column_stack((chosen.matrix, earlier.astype(np.float32)))
         fitted = logistic(matrix, mark)
         columns = len(chosen.index)
         weights[:, c] = chosen.weights(fitted[:columns])
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
             inside = fold != f
             # Marks of held-out rows are hidden from the choice of features.
             part = features.Selected(n, *_rows(row, at, value, inside), np.where(inside, mark, mark[inside].mean()), FEATURES, DAMP)
-            x = logistic(np.column_stack((part.matrix, earlier))[inside], mark[inside])
+            x = logistic(np.column_stack((part.matrix, earlier.astype(np.float32)))[inside], mark[inside])
             text_score = np.bincount(row, value * part.weights(x[: len(part.index)])[at], minlength=n)
             out_of_fold[~inside] = features.sigmoid(text_score + earlier @ x[len(part.index) : -1] + x[-1])[~inside]
         earlier = np.column_stack((earlier, out_of_fold))
