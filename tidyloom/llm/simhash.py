@@ -180,8 +180,14 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     key is represented by its smallest text.
     """
     prints = saved(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.md5(F.encode(whole(text), "UTF-8")).alias("digest"))))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    chosen = prints.join(saved(_classes(prints)), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("f"))
-    kept = chosen.select(F.col("f.doc_id").alias("__id"), F.col("f.digest").alias("__digest"))
+    placed = prints.join(saved(_classes(prints)), "fp").groupBy(
+        "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"), "doc_id", "digest"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n"))
+    kept = placed.groupBy("component_id", "fp").agg(first.alias("f")).select(
+        F.col("f.doc_id").alias("__id"), F.col("f.digest").alias("__digest"), F.col("f.n").alias("__n")
+    )
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.md5(F.encode(whole(text), "UTF-8")) == F.col("__digest"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([key, text])
+    joined = docs.join(saved(kept), same)
+    # Only repeats are compared as whole rows; the way through the join is shared.
+    return joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates([key, text])).select(docs.columns)
