@@ -212,15 +212,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     again = firsts.where("n > 1 OR root IS NOT NULL").join(keepers, "root", "left").select("line", "more", F.coalesce("keeper", "first").alias("keeper"))
     gone = found.join(again, ["line", "more"]).where(F.struct("doc_id", "k1", "k2", "no") != F.col("keeper"))
     cut = saved(gone.select("doc_id", "k1", "k2", "no").distinct().groupBy("doc_id", "k1", "k2").agg(F.collect_list("no").alias("gone")))
-    cut = cut.withColumnsRenamed({"doc_id": "__id", "k1": "__c1", "k2": "__c2"})
+    cut = cut.withColumnsRenamed({"doc_id": "__id", "k1": "__c1", "k2": "__c2", "gone": "__gone"})
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2"))
-    joined = _packed(keyed).join(cut, same, "left").select(*others, "text", "gone")
+    joined = _packed(keyed).join(cut, same, "left").select(*others, "text", "__gone")
     schema = joined.select(*others, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for own, gone_ in zip(_unpacked(batch), _column(batch, "gone").to_pylist(), strict=True):
+            for own, gone_ in zip(_unpacked(batch), _column(batch, "__gone").to_pylist(), strict=True):
                 whole_, without = own.decode(), set(gone_ or ())
                 sizes.append(len(lines(whole_)))
                 removed.append(len(without))

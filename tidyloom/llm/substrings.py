@@ -142,14 +142,14 @@ def _windows(opened: DataFrame, window: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """Replace text and spans by n_words, n_removed and kept, the text of the other words."""
-    others = [f.name for f in docs.schema.fields if f.name not in ("text", "spans")]
+    """Replace text and __spans by n_words, n_removed and kept, the text of the other words."""
+    others = [f.name for f in docs.schema.fields if f.name not in ("text", "__spans")]
     schema = docs.select(*others, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            places = _column(batch, "spans")
+            places = _column(batch, "__spans")
             for text, spans in zip(_unpacked(batch), places, strict=True):
                 own = text.split()
                 sizes.append(len(own))
@@ -190,6 +190,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFr
     """All columns but the text, with n_words, n_removed and kept (words outside repeats)."""
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept")]
     keyed = _keyed(docs.select(*others, F.col(text).alias("text")), "text")
-    spans = saved(_spans(keyed, window)).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    spans = saved(_spans(keyed, window)).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"})
     joined = _packed(keyed).join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     return _cut(joined, window)
