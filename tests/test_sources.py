@@ -1,46 +1,25 @@
-"""Reading folders of delimited files and workbooks."""
+"""Admitting folders of files and reading delimited text."""
 
 import io
 import zipfile
 
 import pytest
 
+from tidyloom.errors import SourceError
 from tidyloom.operators import access
-from tidyloom.operators.infer import coerce
 from tidyloom.plans import recipe as recipes
-from tidyloom.sources import admission, delimited, workbook
+from tidyloom.sources import admission, delimited
 from tidyloom.sources.headers import normalize_headers
 
-MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-
-
-def make_workbook(sheets, formats=("General",)):
-    """Smallest workbook that holds the given sheet XML."""
+def archive(entries: int, size: int = 10) -> bytes:
+    """Archive with many small members."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
-        z.writestr(
-            "xl/styles.xml",
-            f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/></numFmts>'
-            '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>',
-        )
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}"><si><t>Documento</t></si><si><r><t>Va</t></r><r><t>lor</t></r></si></sst>')
-        for i, rows in enumerate(sheets.values(), 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{rows}</sheetData></worksheet>')
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for i in range(entries):
+            z.writestr(f"xl/worksheets/part-of-a-long-name-{i:08d}.xml", b"x" * size)
     return out.getvalue()
 
 
-ROWS = (
-    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>Data</t></is></c></row>'
-    '<row r="2"><c r="A2" t="inlineStr"><is><t>A1</t></is></c><c r="B2"><v>100.5</v></c><c r="D2" s="2"><v>46037</v></c></row>'
-    '<row r="3"><c r="A3" t="inlineStr"><is><t>A2</t></is></c><c r="B3"><v>1E3</v></c><c r="C3" t="b"><v>1</v></c><c r="D3" s="1"><v>46073.5</v></c></row>'
-)
-
-
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     base = tmp_path_factory.mktemp("files")
@@ -53,7 +32,7 @@ def folder(tmp_path_factory):
     (base / "fake.xlsx").write_bytes(b"a;b\n1;2\n")
     (base / "empty.csv").write_bytes(b"")
     (base / "notes.txt").write_bytes(b"hello")
-    (base / "book.xlsx").write_bytes(make_workbook({"Capa": '<row r="1"><c r="A1"><v>1</v></c></row>', "Dados": ROWS}))
+    (base / "book.xlsx").write_bytes(archive(3))
     bomb = io.BytesIO()
     with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/workbook.xml", b"0" * 5_000_000)
@@ -90,11 +69,51 @@ def test_encoding_of_a_sample_cut_inside_a_character(spark, tmp_path):
     assert admission.admit(spark, str(tmp_path)).first()["encoding"] == "UTF-8"
 
 
-def test_separators():
-    assert admission.sniff_separator("a;b;c\n1;2;3\n") == ";"
-    assert admission.sniff_separator("a\tb\n1\t2\n") == "\t"
-    assert admission.sniff_separator("a|b\n1|2\n") == "|"
-    assert admission.sniff_separator("coluna\nx\n") == ","
+@pytest.mark.parametrize("text, sign", [
+    ("a;b;c\n1;2;3\n", ";"), ("a\tb\n1\t2\n", "\t"), ("a|b\n1|2\n", "|"), ("coluna\nx\n", ","),
+    ("n;v\n1;2,5\n2;3,75\n", ";"), ('a,b\n"x;y;z",1\n"p;q;r",2\n', ","), ("a;b\n1;2\n\n3;4;5\n", ";"),
+])
+def test_separators(spark, text, sign):
+    files = spark.createDataFrame([("f.csv", len(text), bytearray(text.encode()))], "path string, length long, content binary")
+    assert admission.admit_contents(files).first()["separator"] == sign
+
+
+def test_last_byte_tells_the_encoding(spark, tmp_path):
+    for name, end in (("w", b"\xe7"), ("u", "ç".encode()), ("l", b"\x81")):
+        (tmp_path / f"{name}.csv").write_bytes(b"a;b\n" + b"1;2\n" * 60_000 + b"3;" + end)
+    rows = admission.admit(spark, str(tmp_path)).collect()
+    assert {r["path"][-5]: r["encoding"] for r in rows} == {"w": "windows-1252", "u": "UTF-8", "l": "ISO-8859-1"}
+    late = {layout.encoding: df for layout, df in delimited.scan_folder(spark, str(tmp_path))}
+    assert late["windows-1252"].where("a = '3'").first()["b"] == "ç"
+
+
+def test_zero_byte_far_into_a_file(spark, tmp_path):
+    (tmp_path / "z.csv").write_bytes(b"a;b\n" + b"1;2\n" * 60_000 + b"\x00\n")
+    assert admission.admit(spark, str(tmp_path)).first()["reason"] == "content does not match the extension"
+    with pytest.raises(SourceError, match="z.csv"):
+        delimited.scan_folder(spark, str(tmp_path))
+    assert delimited.scan_folder(spark, str(tmp_path), refused="skip") == []
+
+
+def test_limit_names_what_it_refuses(spark, tmp_path):
+    (tmp_path / "n.csv").write_bytes(b"a;b\n" + b"1;2\n" * 5000)
+    (_, df), = delimited.scan_folder(spark, str(tmp_path))
+    assert df.count() == 5000
+    with pytest.raises(SourceError, match="too large"):
+        delimited.scan_folder(spark, str(tmp_path), max_bytes=1000)
+
+
+def test_header_with_a_line_end_in_quotes(spark, tmp_path):
+    (tmp_path / "h.csv").write_bytes('"first\nname";"say ""hi""";b\n1;2;3\n'.encode("utf-8-sig"))
+    (layout, df), = delimited.scan_folder(spark, str(tmp_path))
+    assert layout.columns == ["first\nname", 'say "hi"', "b"] and [tuple(r) for r in df.collect()] == [("1", "2", "3")]
+
+
+def test_long_directory_of_an_archive(spark, tmp_path):
+    (tmp_path / "many.xlsx").write_bytes(archive(15_000, 1))
+    (tmp_path / "cut.xlsx").write_bytes(archive(3)[:-30])
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in admission.admit(spark, str(tmp_path)).collect()}
+    assert rows["many.xlsx"]["ok"] and rows["cut.xlsx"]["reason"] == "archive is damaged"
 
 
 def test_repeated_files(spark, folder):
@@ -103,7 +122,7 @@ def test_repeated_files(spark, folder):
 
 
 def test_folder_of_text_files(spark, folder):
-    found = {(l.encoding, tuple(l.columns), l.multiline): df for l, df in delimited.scan_folder(spark, str(folder), max_bytes=15_000)}
+    found = {(l.encoding, tuple(l.columns), l.multiline): df for l, df in delimited.scan_folder(spark, str(folder), refused="skip", max_bytes=15_000)}
     assert set(found) == {
         ("UTF-8", ("Documento", "Valor", "Data"), False), ("windows-1252", ("Documento", "Valor", "Data"), False),
         ("UTF-8", ("nome", "texto"), True),
@@ -130,16 +149,6 @@ def test_text_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_workbooks(spark, folder):
-    (columns, df), = workbook.workbook_tables(spark, str(folder / "book.xlsx"))
-    assert columns == ("Documento", "Valor", "Coluna 3", "Data")
-    visible = df.select(*columns)
-    assert [tuple(r) for r in visible.orderBy("Documento").collect()] == [
-        ("A1", "100.5", None, "2026-01-15 00:00:00"), ("A2", "1000", "true", "2026-02-20 12:00:00"),
-    ]
-    typed = coerce(visible)
-    assert [f.dataType.simpleString() for f in typed.schema.fields] == ["string", "double", "boolean", "timestamp_ntz"]
-
-
-def test_damaged_archive_sizes():
-    assert admission.archive_sizes(b"PK\x03\x04 cut", 8) == (None, None)
+def test_damaged_directories():
+    assert admission.directory_sizes(b"PK\x01\x02 cut") == (None, None)
+    assert admission.directory_sizes(b"") == (None, None)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +21,8 @@ from tidyloom.model import (
     BOOLEAN, CURRENCY, DATE, EMPTY, HIDDEN, MAX_COLUMNS, NUMBER, TEXT, col, with_logical_types,
 )
 
-# Sample size, share of cells that must match, widest safe whole number.
-SAMPLE_SIZE = 1_000
+# Share of cells that must match, widest safe whole number.
 THRESHOLD = 0.90
-SYMBOL_SAMPLE = 100
 MAX_SAFE_DIGITS = 15
 
 # Texts that stand for a missing cell.
@@ -89,15 +87,12 @@ def header_suggests_currency(header: str) -> bool:
 
 # --- inference -------------------------------------------------------------
 
-def infer(
-    df: DataFrame, mode: str = "full", order_by: list[str] | None = None, compat: bool = False
-) -> dict[str, Strategy]:
+def infer(df: DataFrame, compat: bool = False) -> dict[str, Strategy]:
     """Strategy of every column.
 
-    ``full`` looks at every cell, in one aggregate. ``sample`` looks at the first
-    1,000 filled cells of each column in file order. ``compat`` counts a cell such
-    as ``1,234`` both as a comma and as a point number, and overlooks any letter R
-    in a number, which the conversion does not.
+    Every cell is looked at, in one aggregate. ``compat`` counts a cell such as
+    ``1,234`` both as a comma and as a point number, and overlooks any letter R in a
+    number, which the conversion does not.
     """
     fields = [f for f in df.schema.fields if not f.name.startswith(HIDDEN)]
     if not fields:
@@ -105,7 +100,7 @@ def infer(
     if len(fields) > MAX_COLUMNS:
         raise SourceError(f"A dataset may have at most {MAX_COLUMNS} columns.")
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    counts = _text_counts(df, texts, mode, order_by, compat) if texts else {}
+    counts = _text_counts(df, texts, compat) if texts else {}
     return {
         f.name: _decide(f.name, counts.get(texts.index(f.name)), compat)
         if f.name in texts
@@ -127,47 +122,24 @@ def _native(field: T.StructField) -> Strategy:
     raise SourceError(f'Column "{field.name}" has type {kind.simpleString()}; only flat columns are supported.')
 
 
-def _text_counts(
-    df: DataFrame, names: list[str], mode: str, order_by: list[str] | None, compat: bool
-) -> dict[int, Row]:
-    if mode == "full":
-        found = cells(df, {i: col(name) for i, name in enumerate(names)})
-        early = F.lit(True)
-    elif mode == "sample":
-        found = _first_cells(df, names, order_by)
-        early = F.col("number") <= SYMBOL_SAMPLE
-    else:
-        raise SourceError(f'Unknown inference mode: "{mode}".')
-    features = _features(found.where(F.col(_CELL).isNotNull()), early, compat)
-    # One row per column, at most 512.
+def _text_counts(df: DataFrame, names: list[str], compat: bool) -> dict[int, Row]:
+    found = cells(df, {i: col(name) for i, name in enumerate(names)})
+    features = _features(found.where(F.col(_CELL).isNotNull()), compat)
+    # One row per column.
     return {row["position"]: row for row in features.withColumn("position", position_of()).collect()}
 
 
-def _first_cells(df: DataFrame, names: list[str], order_by: list[str] | None) -> DataFrame:
-    """The first filled cells of every column, at most a sample each."""
-    from tidyloom.sources.tables import anchor_columns
-
-    if order_by:
-        anchors = {f"{HIDDEN}o{i}": col(name) for i, name in enumerate(order_by)}
-    else:
-        anchors = anchor_columns(df)
-    keys = [c.alias(n) for n, c in anchors.items()]
-    filled = cells(df, {i: col(name) for i, name in enumerate(names)}, keys).where(F.col(_CELL).isNotNull())
-    order = Window.partitionBy(SLOT).orderBy(*map(col, anchors))
-    return filled.withColumn("number", F.row_number().over(order)).where(F.col("number") <= SAMPLE_SIZE)
-
-
-def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
+def _features(found: DataFrame, compat: bool) -> DataFrame:
     """Counts per column of what its cells look like.
 
     Each stage prepares what the next one uses more than once; the two cheap
     shape tests spare most cells the detailed ones.
     """
-    stripped = found.select(SLOT, strip(F.col(_CELL)).alias("v"), early.alias("early"))
-    kept = stripped.select(SLOT, "v", "early", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
+    stripped = found.select(SLOT, strip(F.col(_CELL)).alias("v"))
+    kept = stripped.select(SLOT, "v", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
     bare = F.regexp_replace("v", LOOSE_MONEY_MARKS, "") if compat else _without_money_marks(F.col("v"))
-    cleaned = kept.select(SLOT, "v", "early", "low", bare.alias("bare"), F.col("v").rlike(DATE_LIKE).alias("datelike"))
-    shaped = cleaned.select(SLOT, "v", "early", "low", "datelike", _signed(F.col("bare")).alias("n"))
+    cleaned = kept.select(SLOT, "v", "low", bare.alias("bare"), F.col("v").rlike(DATE_LIKE).alias("datelike"))
+    shaped = cleaned.select(SLOT, "v", "low", "datelike", _signed(F.col("bare")).alias("n"))
     shaped = shaped.withColumn("numeric", F.col("n").rlike(NUMBER_LIKE))
     number, low, numeric = F.col("n"), F.col("low"), F.col("numeric")
     filled = number != ""
@@ -175,7 +147,7 @@ def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
     whole = F.substring_index(F.substring_index(F.ltrim(number, F.lit("-")), ",", 1), ".", 1)
     code = number.rlike(LEADING_ZERO) | (F.length(whole) > MAX_SAFE_DIGITS)
     looked = shaped.select(
-        SLOT, "v", "early", "low", "datelike", filled.alias("filled"), comma.alias("comma"), point.alias("point"),
+        SLOT, "v", "low", "datelike", filled.alias("filled"), comma.alias("comma"), point.alias("point"),
         (filled & code).alias("code"), number.rlike(GROUPED_WHOLE).alias("grouped"),
     )
     dates = [
@@ -195,7 +167,7 @@ def _features(found: DataFrame, early: Column, compat: bool) -> DataFrame:
         F.count_if(point).alias("point"),
         F.count_if(comma & point).alias("both"),
         F.count_if(point & ~comma & ~F.col("grouped")).alias("point_only"),
-        F.count_if(F.col("early") & (F.contains("v", F.lit("$")) | F.contains("v", F.lit("€")))).alias("symbols"),
+        F.count_if(F.contains("v", F.lit("$")) | F.contains("v", F.lit("€"))).alias("symbols"),
         *dates,
     )
 

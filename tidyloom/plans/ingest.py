@@ -19,9 +19,7 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     return saved
 
 
-def ingest(
-    spark: SparkSession, raw: DataFrame, path: str, mode: str = "full", order_by: list[str] | None = None
-) -> tuple[DataFrame, dict[str, Strategy]]:
+def ingest(spark: SparkSession, raw: DataFrame, path: str) -> tuple[DataFrame, dict[str, Strategy]]:
     """Infer the types of a raw table, convert it and save it."""
-    strategies = infer(raw, mode=mode, order_by=order_by)
+    strategies = infer(raw)
     return save(coerce(raw, strategies), path), strategies

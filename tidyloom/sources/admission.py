@@ -1,12 +1,12 @@
 """Admission of a folder of files: what each is, whether it is safe, how it is written.
 
-One job looks at all files. Contents are judged in the JVM; only the first lines
-of text files and the directory at the end of archives reach Python.
+Text files are judged line by line in one distributed scan over all their bytes, so
+neither their size nor the place of an odd byte matters. Of archives only the directory
+is looked at in Python.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import struct
 from collections.abc import Iterator
@@ -15,192 +15,188 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Limits on archives, the largest file taken, bytes looked at.
+# Limits on archives, separators in order of preference, extensions.
 MAX_RATIO = 150
 MAX_EXPANDED = 2 * 1024**3
-MAX_BYTES = 100 * 1024**2
-HEAD_BYTES = 64_000
-HEAD_LINES = 20
 SEPARATORS = (";", ",", "\t", "|")
 EXTENSIONS = (".xlsx", ".xls", ".csv")
-# The longest end of an archive: its end record with a comment, and a directory
-# of about 10,000 entries; a longer directory is read from the whole file.
-TAIL_BYTES = 1024**2
+# The end record of an archive with the longest comment it may have.
+END_BYTES = 22 + 65535
 
 _ZIP_START = b"PK\x03\x04"
 _OLE_START = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+_TEXT_FILES = "*.[cC][sS][vV]"
 
+#: Characters of the Windows code page where it differs from Latin-1.
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
 
-def admit(spark: SparkSession, *paths: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row per file: path, size, kind, encoding, separator, header, ok and reason.
 
-    Files over the size limit are refused by their length, without being opened.
+def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> DataFrame:
+    """One row per file: path, size, kind, encoding, separator, header, multiline, ok and reason.
+
+    With ``max_bytes`` longer files are refused, by their length, without being opened.
     """
-    files = list_files(spark, *paths)
-    large = files.where(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("kind"), *_no_dialect(),
-        F.lit(None).cast("double").alias("ratio"), F.lit("file is too large").alias("reason"),
+    files = list_files(spark, *paths).withColumn("kind", _kind())
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _TEXT_FILES).text(list(paths))
+        .select(
+            _same_form(F.col("_metadata.file_path")).alias("path"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+            F.col("value").cast("binary").alias("line"),
+        )
     )
-    opened = _verdict(_inspect(files.where(F.col("length") <= max_bytes)))
-    return _admitted(opened.unionByName(large).unionByName(_empty_files(spark, files)))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    judged = _verdict(files.withColumn("large", large), lines)
+    return judged.unionByName(_empty_files(spark, files))
 
 
 def admit_contents(files: DataFrame) -> DataFrame:
     """The same verdicts for files already held as ``(path, length, content)``."""
-    return _admitted(_verdict(_inspect(files)))
+    named = files.withColumn("kind", _kind())
+    split = named.where("kind = 'csv'").select(
+        "path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\r\n|\r|\n")).alias("no", "latin")
+    )
+    lines = split.select(_same_form(F.col("path")).alias("path"), F.struct("no").alias("at"), F.encode("latin", "ISO-8859-1").alias("line"))
+    return _verdict(named.withColumn("large", F.lit(False)), lines)
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
 
 
-def _admitted(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select(
-        "path", "length", "kind", "encoding", "separator", "header", "ratio",
-        F.col("reason").isNull().alias("ok"), "reason",
-    )
+def _same_form(path: Column) -> Column:
+    """Path without the differences in how Spark writes it."""
+    return F.regexp_replace(F.coalesce(F.try_url_decode(path), path), "^file:/+", "file:/")
+
+
+def _kind() -> Column:
+    kind = F.lit(None).cast("string")
+    for extension in EXTENSIONS:
+        kind = F.when(F.endswith(F.lower("path"), F.lit(extension)), extension[1:]).otherwise(kind)
+    return kind
 
 
 def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Files without a byte: the reader lists them, but gives no row for them."""
-    def same_form(path: Column) -> Column:
-        return F.regexp_replace(F.try_url_decode(path), "^file:/+", "file:/")
-
-    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
-        same_form(F.col("path")).alias("path")
-    )
-    seen = files.select(same_form(F.col("path")).alias("path"))
+    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(_same_form(F.col("path")).alias("path"))
+    seen = files.select(_same_form(F.col("path")).alias("path"))
+    none = F.lit(None).cast("string")
     return paths.join(seen, "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("kind"), *_no_dialect(),
-        F.lit(None).cast("double").alias("ratio"), F.lit("file is empty").alias("reason"),
+        "path", F.lit(0).cast("long").alias("length"), none.alias("kind"), none.alias("encoding"), none.alias("separator"),
+        none.alias("header"), F.lit(False).alias("multiline"), F.lit(None).cast("double").alias("ratio"),
+        F.lit(False).alias("ok"), F.lit("file is empty").alias("reason"),
     )
 
 
-def _no_dialect() -> list[Column]:
-    return [F.lit(None).cast("string").alias(name) for name in ("encoding", "separator", "header")]
-
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """How the lines ``(path, at, line)`` of each file are written; one aggregate, combined per task.
 
-def _inspect(files: DataFrame) -> DataFrame:
-    content = F.col("content")
-    name = F.lower("path")
-    kind = F.lit(None).cast("string")
-    for extension in EXTENSIONS:
-        kind = F.when(F.endswith(name, F.lit(extension)), extension[1:]).otherwise(kind)
-    start = F.substring(content, 1, 8)
-    is_zip = F.substring(content, 1, 4) == F.lit(_ZIP_START)
-    head = F.substring(content, 1, HEAD_BYTES)
-    is_text = F.col("kind") == "csv"
-    shown = files.select("path", "length", content, kind.alias("kind")).select(
-        "path", "length", "kind",
-        is_zip.alias("is_zip"),
-        (start == F.lit(_OLE_START)).alias("is_ole"),
-        # A zero byte cannot occur in delimited text.
-        F.contains(F.hex(head), F.lit("00")).alias("maybe_zero"),
-        F.when(is_text, head).alias("head"),
-        F.when(is_zip & (F.col("kind") == "xlsx"), _tail(content)).alias("tail"),
+    The encoding is the first that fits every byte. The separator is the sign that occurs
+    equally often in all lines; failing that, the one in most lines, then the most
+    frequent one, and a comma if there is none. Quoted parts do not count.
+    """
+    latin = F.decode("line", "ISO-8859-1")
+    bare = F.regexp_replace(latin, '"[^"]*"?', "")
+    quotes = F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))
+    counted = lines.select(
+        "path", "at", "line", latin.alias("latin"), (quotes % 2 == 1).alias("odd"),
+        *((F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"n{i}") for i, s in enumerate(SEPARATORS)),
     )
-    encoding = _encoding(F.col("head"), F.col("length"))
-    decoded = shown.withColumn("encoding", encoding)
-    # Code pages need a setting of the session, so Python finishes the decoding.
-    utf8 = F.col("encoding") == "UTF-8"
-    text = F.when(utf8, F.decode("head", "UTF-8")).otherwise(F.decode("head", "ISO-8859-1"))
-    lines = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
-    zero = F.col("maybe_zero") & F.contains(F.decode("head", "ISO-8859-1"), F.lit("\u0000"))
-    small = decoded.select(
-        "path", "length", "kind", "is_zip", "is_ole", "tail", "encoding",
-        F.coalesce(zero, F.lit(False)).alias("has_zero"),
-        F.substring_index(lines, "\n", HEAD_LINES).alias("lines"),
+    filled = F.trim("latin") != ""
+    numbers = [
+        F.struct(
+            (F.min(F.when(filled, F.col(f"n{i}"))) == F.max(F.when(filled, F.col(f"n{i}")))).alias("even"),
+            F.count_if(F.col(f"n{i}") > 0).alias("lines"), F.sum(f"n{i}").alias("times"),
+            F.lit(-i).alias("order"), F.lit(s).alias("sign"),
+        ).alias(f"s{i}")
+        for i, s in enumerate(SEPARATORS)
+    ]
+    per_file = counted.groupBy("path").agg(
+        F.every(F.is_valid_utf8(F.col("line").cast("string"))).alias("utf8"),
+        F.some(F.col("latin").rlike(_UNDEFINED)).alias("undefined"),
+        F.some(F.contains("latin", F.lit("\u0000"))).alias("zero"),
+        F.some("odd").alias("multiline"),
+        F.min_by("line", "at").alias("first"),
+        *numbers,
     )
-    return small.mapInPandas(
-        _look, "path string, length long, kind string, is_zip boolean, is_ole boolean, has_zero boolean, "
-        "encoding string, separator string, header string, ratio double, expanded double",
+    encoding = F.when(F.col("utf8"), "UTF-8").when(~F.col("undefined"), "windows-1252").otherwise("ISO-8859-1")
+    found = F.filter(F.array(*(f"s{i}" for i in range(len(SEPARATORS)))), lambda s: s["times"] > 0)
+    first = F.decode("first", "ISO-8859-1")
+    windows = F.translate(first, "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    header = F.when(F.col("utf8"), F.decode("first", "UTF-8")).when(~F.col("undefined"), windows).otherwise(first)
+    return per_file.select(
+        "path", encoding.alias("encoding"), F.coalesce(F.array_max(found)["sign"], F.lit(",")).alias("separator"),
+        F.regexp_replace(header, "^\ufeff", "").alias("header"), "multiline", "zero",
+        F.substring("first", 1, 8).alias("start"),
     )
 
 
-def _tail(content: Column) -> Column:
-    """End of an archive: its directory of entries. Whole when the directory is long."""
-    length = F.octet_length(content)
-    start = F.greatest(F.lit(1), length - TAIL_BYTES + 1)
-    return F.substr(content, start, F.lit(TAIL_BYTES))
+def _archives(files: DataFrame) -> DataFrame:
+    """Packed and expanded size of every archive, by its directory however long that is."""
+    content = F.col("content")
+    found = files.where("kind IN ('xlsx', 'xls')").select("path", "kind", F.substring(content, 1, 8).alias("start"), content)
+    is_zip = F.substring("start", 1, 4) == F.lit(_ZIP_START)
+    ends = F.hex(F.substr(content, F.greatest(F.lit(1), F.octet_length(content) - END_BYTES + 1), F.lit(END_BYTES)))
+    # The end record holds size and start of the directory, low byte first.
+    record = F.when(F.contains(ends, F.lit("504B0506")), F.substring_index(ends, "504B0506", -1))
 
+    def number(at: int) -> Column:
+        parts = [F.substring(record, at + 2 * i, 2) for i in (3, 2, 1, 0)]
+        return F.conv(F.concat(*parts), 16, 10).cast("long")
 
-def _encoding(head: Column, length: Column) -> Column:
-    """First encoding that fits. A cut at the end of the sample is moved to a line end."""
-    latin = F.decode(head, "ISO-8859-1")
-    whole_lines = F.octet_length(head) - F.length(F.substring_index(latin, "\n", -1))
-    cut = (length > HEAD_BYTES) & (whole_lines > 0)
-    sample = F.when(cut, F.substr(head, F.lit(1), whole_lines)).otherwise(head)
-    # The five bytes without a meaning in this code page.
-    undefined = F.decode(sample, "ISO-8859-1").rlike("[\u0081\u008d\u008f\u0090\u009d]")
-    return F.when(head.isNull(), F.lit(None)).when(F.is_valid_utf8(sample.cast("string")), "UTF-8").when(
-        ~undefined, "windows-1252"
-    ).otherwise("ISO-8859-1")
+    directory = F.when(is_zip & (F.col("kind") == "xlsx"), F.substr(content, (number(25) + 1).cast("int"), number(17).cast("int")))
+    return found.select(
+        _same_form(F.col("path")).alias("path"), "start", is_zip.alias("is_zip"), (F.col("start") == F.lit(_OLE_START)).alias("is_ole"),
+        directory.alias("directory"),
+    ).mapInPandas(_sizes, "path string, is_zip boolean, is_ole boolean, expanded double, ratio double")
 
 
-def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        batch["lines"] = [_finish(t, e) for t, e in zip(batch["lines"], batch["encoding"])]
-        batch["separator"] = [None if t is None else sniff_separator(t) for t in batch["lines"]]
-        batch["header"] = [None if t is None else t.split("\n", 1)[0] for t in batch["lines"]]
-        sizes = [(None, None) if t is None else archive_sizes(bytes(t), n) for t, n in zip(batch["tail"], batch["length"])]
+        sizes = [(None, None) if d is None else directory_sizes(bytes(d)) for d in batch["directory"]]
         batch["expanded"] = [float(e) if e is not None else None for _, e in sizes]
         batch["ratio"] = [e / p if p else None for p, e in sizes]
-        yield batch[
-            ["path", "length", "kind", "is_zip", "is_ole", "has_zero", "encoding", "separator", "header", "ratio", "expanded"]
-        ]
-
-
-def _finish(text: str | None, encoding: str | None) -> str | None:
-    if text is None or encoding != "windows-1252":
-        return text
-    return text.encode("latin-1").decode("cp1252", errors="replace")
+        yield batch[["path", "is_zip", "is_ole", "expanded", "ratio"]]
 
 
-def sniff_separator(lines: str) -> str:
-    """Separator of delimited text: by its structure, else the most frequent sign, else a comma."""
-    try:
-        return csv.Sniffer().sniff(lines, delimiters="".join(SEPARATORS)).delimiter
-    except csv.Error:
-        counts = {sign: lines.count(sign) for sign in SEPARATORS}
-        best = max(counts, key=counts.get)
-        return best if counts[best] else ","
-
-
-def archive_sizes(tail: bytes, length: int) -> tuple[int | None, int | None]:
+def directory_sizes(directory: bytes) -> tuple[int | None, int | None]:
     """Packed and expanded size of an archive by its directory; None if that is damaged."""
-    end = tail.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(tail):
-        return None, None
-    size, offset = struct.unpack_from("<II", tail, end + 12)
-    start = len(tail) - (length - offset)
-    if start < 0 or start + size > len(tail):
-        return None, None
     packed = expanded = 0
-    directory = io.BytesIO(tail[start : start + size])
-    while (entry := directory.read(46)) and entry[:4] == b"PK\x01\x02" and len(entry) == 46:
+    entries = io.BytesIO(directory)
+    while (entry := entries.read(46)) and entry[:4] == b"PK\x01\x02" and len(entry) == 46:
         one_packed, one_expanded, name, extra, comment = struct.unpack_from("<IIHHH", entry, 20)
         packed, expanded = packed + one_packed, expanded + one_expanded
-        directory.seek(name + extra + comment, io.SEEK_CUR)
-    return packed, expanded
-
-
-def _verdict(looked: DataFrame) -> DataFrame:
-    kind = F.col("kind")
-    is_zip, is_ole = F.col("is_zip"), F.col("is_ole")
+        entries.seek(name + extra + comment, io.SEEK_CUR)
+    return (packed, expanded) if directory and not entry else (None, None)
+
+
+def _verdict(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verdicts for ``(path, length, content, kind, large)`` and the lines of the text files."""
+    listed = files.select("path", "length", "kind", "large", _same_form(F.col("path")).alias("same"))
+    written = judge_lines(lines).withColumnsRenamed({"path": "text_of"})
+    packed = _archives(files.where(~F.col("large"))).withColumnRenamed("path", "archive_of")
+    looked = listed.join(written, F.col("same") == F.col("text_of"), "left").join(packed, F.col("same") == F.col("archive_of"), "left")
+    kind, is_zip, is_ole = F.col("kind"), F.coalesce("is_zip", F.lit(False)), F.coalesce("is_ole", F.lit(False))
+    binary = (F.substring("start", 1, 4) == F.lit(_ZIP_START)) | (F.col("start") == F.lit(_OLE_START)) | F.col("zero")
     reason = (
-        F.when(kind.isNull(), "extension is not supported")
+        F.when(F.col("large"), "file is too large")
+        .when(kind.isNull(), "extension is not supported")
         .when(F.col("length") == 0, "file is empty")
         .when((kind == "xlsx") & ~is_zip, "content does not match the extension")
         .when((kind == "xls") & ~(is_ole | is_zip), "content does not match the extension")
-        .when((kind == "csv") & (is_zip | is_ole | F.col("has_zero")), "content does not match the extension")
+        .when((kind == "csv") & F.coalesce(binary, F.lit(False)), "content does not match the extension")
         .when(kind == "xls", "binary workbooks of this kind cannot be read")
         .when((kind == "xlsx") & F.col("expanded").isNull(), "archive is damaged")
         .when(F.col("expanded") > MAX_EXPANDED, "archive is too large when expanded")
         .when(F.col("ratio") > MAX_RATIO, "archive is suspiciously compressed")
         .when((kind == "csv") & (F.trim(F.coalesce("header", F.lit(""))) == ""), "file has no columns")
     )
-    return looked.select(
-        "path", "length", "kind", "encoding", "separator", "header", "ratio", reason.alias("reason")
+    shown = looked.withColumn("reason", reason)
+    dialect = [F.when(~F.col("large"), F.col(c)).alias(c) for c in ("encoding", "separator", "header")]
+    return shown.select(
+        "path", "length", "kind", *dialect, F.coalesce("multiline", F.lit(False)).alias("multiline"), "ratio",
+        F.col("reason").isNull().alias("ok"), "reason",
     )
 
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import csv
+import io
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.errors import SourceError
-from tidyloom.model import MAX_COLUMNS
 from tidyloom.sources.admission import admit
 from tidyloom.sources.headers import normalize_headers
 
 
+# Refused files that an error names.
+NAMED = 20
+
+
 @dataclass(frozen=True)
 class Layout:
     """What files have in common that can be read together."""
@@ -26,9 +29,7 @@ class Layout:
 
     @property
     def columns(self) -> list[str]:
-        names = next(csv.reader([self.header], delimiter=self.separator))
-        if len(names) > MAX_COLUMNS:
-            raise SourceError(f"A dataset may have at most {MAX_COLUMNS} columns.")
+        names = next(csv.reader(io.StringIO(self.header), delimiter=self.separator))
         return normalize_headers(names)
 
 
@@ -58,31 +59,24 @@ def scan_delimited(
     )
 
 
-def files_with_split_cells(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files in which a quoted cell spans lines: some line has an odd number of quotes.
-
-    The check runs over lines, so even a single huge file is split among all tasks.
-    """
-    lines = spark.read.option("wholetext", "false").text(paths)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return [row["path"] for row in odd.collect()]
-
-
-def scan_folder(spark: SparkSession, *paths: str, **limits) -> list[tuple[Layout, DataFrame]]:
-    """Read all admitted text files of a folder, those of one layout together.
+def scan_folder(spark: SparkSession, *paths: str, refused: str = "raise", **limits) -> list[tuple[Layout, DataFrame]]:
+    """Read all text files of a folder, those of one layout together: one DataFrame per layout.
 
-    Returns one DataFrame per layout. Refused files are left out; ``admit`` names
-    them with the reason.
+    Files that cannot be admitted raise an error that names them, unless ``refused`` is
+    "skip"; ``admit`` lists them with the reason. Files that are not text are left to others.
     """
-    found = admit(spark, *paths, **limits).where("ok AND kind = 'csv'")
-    files = found.select("path", "encoding", "separator", "header").collect()
-    if not files:
-        return []
-    split = {_plain(p) for p in files_with_split_cells(spark, [f["path"] for f in files])}
+    found = admit(spark, *paths, **limits).where("kind = 'csv' OR reason = 'file is empty'")
+    if refused != "skip":
+        bad = found.where("NOT ok").select("path", "reason").limit(NAMED).collect()
+        if bad:
+            raise SourceError("Files were refused: " + "; ".join(f"{r['path']} ({r['reason']})" for r in bad))
+    files = found.where("ok").select("path", "encoding", "separator", "header", "multiline").collect()
     groups: dict[Layout, list[str]] = {}
     for file in sorted(files, key=lambda f: f["path"]):
-        layout = Layout(file["encoding"], file["separator"], file["header"], _plain(file["path"]) in split)
+        header = file["header"]
+        if header.count('"') % 2:
+            header = _long_header(spark, file)
+        layout = Layout(file["encoding"], file["separator"], header, file["multiline"])
         groups.setdefault(layout, []).append(file["path"])
     return [
         (layout, scan_delimited(spark, names, layout.columns, layout.separator, layout.encoding, layout.multiline))
@@ -90,6 +84,9 @@ def scan_folder(spark: SparkSession, *paths: str, **limits) -> list[tuple[Layout
     ]
 
 
-def _plain(path: str) -> str:
-    """Path without the differences in how Spark writes the scheme."""
-    return path.replace("file:///", "/").replace("file:/", "/")
+def _long_header(spark: SparkSession, file) -> str:
+    """Header whose quoted cells hold line ends, written again as it was."""
+    read = spark.read.option("multiLine", "true").option("sep", file["separator"]).option("encoding", file["encoding"])
+    first = read.option("escape", '"').csv(file["path"]).first()
+    cells = ['"' + (c or "").removeprefix("\ufeff").replace('"', '""') + '"' for c in first]
+    return file["separator"].join(cells)
