@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import MESSY_SQL, condition as c, group, keep, messy, recipe, register, table
+from tidyloom.errors import RecipeError
 from tidyloom.operators import filters
 from tidyloom.plans import recipe as recipes
 
@@ -118,3 +119,38 @@ _orders(
     filters.prune(group(c("status", "equals", value=""), group(c("price", "between", range=[1, None])), c("status", "equals", value="o"))),
     "lower(trim(status)) = 'o'",
 )
+
+
+# Whole numbers beyond what a double holds exactly.
+def _large_keys(spark, folder):
+    return table(spark, folder, "orders").select((F.col("o_orderkey") + F.lit(2**53)).alias("k"), "o_orderkey")
+
+
+_KEYS_SQL = f"(SELECT o_orderkey + {2**53} AS k, o_orderkey FROM orders) AS large"
+_filter("f_bigint_equals", _large_keys, ["k", "o_orderkey"], c("k", "equals", value=2**53 + 7), _KEYS_SQL, f"k = {2**53 + 7}")
+_filter("f_bigint_in", _large_keys, ["k", "o_orderkey"], c("k", "in", values=[2**53 + 1, str(2**53 + 5), 2**70]), _KEYS_SQL, f"k IN ({2**53 + 1}, {2**53 + 5})")
+_filter("f_bigint_between", _large_keys, ["k", "o_orderkey"], c("k", "between", range=[str(2**53 + 9), 2**53 + 3]), _KEYS_SQL, f"k BETWEEN {2**53 + 3} AND {2**53 + 9}")
+
+
+def _strict(spark, folder):
+    """Each operator asked of each column type, refused or applied: one row per pair, with the rows it leaves."""
+    source = table(spark, folder, "orders").select("o_orderstatus", "o_totalprice", "o_orderdate")
+    asked = [
+        (name, op, {"value": "2000-01-01" if name == "o_orderdate" else "5"})
+        for name in source.columns for op in ("equals", "contains", "greater_than", "date_after", "is_true")
+    ]
+    counts, refused = [], []
+    for name, op, more in asked:
+        try:
+            frame = recipes.run(source, recipe(keep(c(name, op, **more))), strict_types=True)
+            counts.append(F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), F.lit(True).alias("ok")))
+            frame.visible().schema
+        except RecipeError:
+            refused.append(F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), F.lit(False).alias("ok")))
+    return source.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(F.array(*counts, *refused)))
+
+
+register("f_strict_types", _strict, """SELECT (SELECT count(*) FROM orders) AS n, name, op, ok FROM (VALUES
+    ('o_orderstatus', 'equals', true), ('o_orderstatus', 'contains', true), ('o_orderstatus', 'greater_than', false), ('o_orderstatus', 'date_after', false), ('o_orderstatus', 'is_true', false),
+    ('o_totalprice', 'equals', true), ('o_totalprice', 'contains', false), ('o_totalprice', 'greater_than', true), ('o_totalprice', 'date_after', false), ('o_totalprice', 'is_true', false),
+    ('o_orderdate', 'equals', false), ('o_orderdate', 'contains', false), ('o_orderdate', 'greater_than', false), ('o_orderdate', 'date_after', true), ('o_orderdate', 'is_true', false)) AS t(name, op, ok)""")

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 import re
 from datetime import datetime, timedelta
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.errors import RecipeError
 from tidyloom.model import BOOLEAN, ColumnSpec
@@ -25,27 +27,35 @@ ISO_MOMENT = (
     r"(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6})\d*)?)?)?\s*Z?$"
 )
 _ISO = re.compile(ISO_MOMENT)
+_WHOLE = re.compile(r"^[+-]?\d+$")
 _NUMBER = re.compile(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 DAY = timedelta(days=1)
 
 
-def parse_number(value: Any, column: ColumnSpec) -> float:
-    """Number typed by a person: ``1.234,56``, ``R$ 5`` and ``1234.56`` all work."""
+def parse_number(value: Any, column: ColumnSpec) -> int | float | Decimal:
+    """Number typed by a person: ``1.234,56``, ``R$ 5`` and ``1234.56`` all work.
+
+    Whole numbers stay whole and decimal columns get decimals, so that no digit is lost.
+    """
     if isinstance(value, bool):
         raise RecipeError(f'A yes/no value does not fit the numeric column "{column.name}".')
-    if isinstance(value, (int, float)):
-        number = float(value)
-    else:
+    if isinstance(value, int):
+        return value
+    if not isinstance(value, float):
         text = str(value).replace("R$", "").replace(" ", "").strip()
         if "," in text:
             text = text.replace(".", "").replace(",", ".")
         if not _NUMBER.match(text):
             raise RecipeError(f'"{value}" is not a valid number for the column "{column.name}".')
-        number = float(text)
-    if not math.isfinite(number):
+        if _WHOLE.match(text):
+            return int(text)
+        if isinstance(column.data_type, T.DecimalType):
+            return Decimal(text)
+        value = float(text)
+    if not math.isfinite(value):
         raise RecipeError(f'"{value}" is not a finite number for the column "{column.name}".')
-    return number
+    return value
 
 
 def parse_moment(value: Any) -> datetime | None:
@@ -99,9 +109,14 @@ def literal(value: Any, column: ColumnSpec) -> Column:
         return F.lit(None)
     if isinstance(value, datetime):
         return moment_literal(value)
-    if isinstance(value, float) and column.is_integral and value.is_integer() and abs(value) < 2**63:
+    if isinstance(value, float) and column.is_integral and value.is_integer():
         # Keeps the column free of a cast to double, so the filter reaches the scan.
-        return F.lit(int(value))
+        value = int(value)
+    if isinstance(value, (int, Decimal)) and not isinstance(value, bool):
+        if isinstance(column.data_type, (T.DoubleType, T.FloatType)) or abs(value) >= 10**38:
+            return F.lit(float(value))
+        if isinstance(value, int) and not -(2**63) <= value < 2**63:
+            return F.lit(Decimal(value))
     return F.lit(value)
 
 

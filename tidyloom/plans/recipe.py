@@ -34,8 +34,8 @@ STEP_LABELS = {
     "fill_empty": "Preencher vazios",
 }
 
-_COLUMN_LISTS = ("drop_duplicates", "drop_empty_rows", "select_columns", "drop_columns")
-_ONE_COLUMN = ("cast", "replace_values", "fill_empty")
+COLUMN_LISTS = ("drop_duplicates", "drop_empty_rows", "select_columns", "drop_columns")
+ONE_COLUMN = ("cast", "replace_values", "fill_empty")
 
 
 def validate(recipe: dict) -> None:
@@ -61,7 +61,7 @@ def _validate_step(step: dict) -> None:
         filters.validate(step.get("filter") or {})
     if kind in ("select_columns", "drop_columns") and not step.get("columns"):
         raise RecipeError(f'The step "{kind}" must name at least one column.')
-    if kind in _ONE_COLUMN and not step.get("column"):
+    if kind in ONE_COLUMN and not step.get("column"):
         raise RecipeError(f'The step "{kind}" must name a column.')
     if kind == "cast" and step.get("to") not in ("text", "number", "date", "boolean"):
         raise RecipeError(f'A column cannot be cast to "{step.get("to")}".')
@@ -105,9 +105,9 @@ def referenced_columns(recipe: dict) -> list[str]:
         kind = step.get("kind")
         if kind == "filter":
             names += filters.referenced_columns(step["filter"])
-        elif kind in _COLUMN_LISTS:
+        elif kind in COLUMN_LISTS:
             names += step.get("columns") or []
-        elif kind in _ONE_COLUMN:
+        elif kind in ONE_COLUMN:
             names.append(step["column"])
         elif kind == "rename_columns":
             names += [entry["from"] for entry in step["mapping"]]
@@ -117,10 +117,19 @@ def referenced_columns(recipe: dict) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def apply_steps(frame: Frame, recipe: dict) -> Frame:
-    """Run the steps of a recipe in order. Nothing is computed yet."""
+def apply_steps(frame: Frame, recipe: dict, strict_types: bool = False) -> Frame:
+    """Run the steps of a recipe in order. Nothing is computed yet.
+
+    With ``strict_types`` a filter may only use the operators offered for a column's type.
+    """
     validate(recipe)
-    return reduce(lambda f, step: STEPS[step["kind"]](f, step), recipe.get("steps") or [], frame)
+
+    def step_on(f: Frame, step: dict) -> Frame:
+        if strict_types and step["kind"] == "filter":
+            filters.predicate(step["filter"], f.schema, strict_types=True)
+        return STEPS[step["kind"]](f, step)
+
+    return reduce(step_on, recipe.get("steps") or [], frame)
 
 
 def run(
@@ -130,6 +139,7 @@ def run(
     order_by: list[str] | None = None,
     group_by: list[str] | None = None,
     ordered: bool = False,
+    strict_types: bool = False,
 ) -> Frame:
     """Frame of a recipe on a DataFrame.
 
@@ -137,4 +147,4 @@ def run(
     ``ordered`` asks for the rows in their order.
     """
     anchored = not order_by and (ordered or needs_order(recipe))
-    return apply_steps(frame_of(df, types, order_by, group_by, anchored), recipe)
+    return apply_steps(frame_of(df, types, order_by, group_by, anchored), recipe, strict_types)
