@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import (
@@ -17,9 +13,11 @@ from catalog.registry import (
 from tidyloom.operators import access, fleet, history, metrics, profile
 from tidyloom.operators.infer import coerce, infer, normalize_missing
 from tidyloom.plans import recipe as recipes
+from tidyloom.plans.ingest import ingest
 from tidyloom.session import shared_folder
 from tidyloom.sinks import export
-from tidyloom.sources import admission, delimited, workbook
+from tidyloom.sources import admission, delimited
+from tidyloom.sources.headers import normalize_headers
 from tidyloom.streaming import reapply as streaming
 
 HIGH = keep(c("o_totalprice", "greater_than", value=250000))
@@ -32,6 +30,13 @@ def _scratch(spark) -> str:
 
 # --- metrics ---------------------------------------------------------------
 
+def _large_sum(spark, folder):
+    """Sums past 64 bits, beside a metric that cannot be computed."""
+    rec = recipe(metrics=[{"id": "s", "operation": "sum", "column": "large"}, {"id": "bad", "operation": "sum", "column": "l_returnflag"}, {"id": "n", "operation": "count"}])
+    lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") * F.lit(10**12)).alias("large"), "l_returnflag")
+    return metrics.compute(recipes.run(lines, rec), rec["metrics"]).select("id", "value", F.col("error").isNotNull().alias("refused"))
+
+
 def _measured(df, rec, **options):
     rows = metrics.compute(recipes.run(df, rec), rec["metrics"], **options)
     return rows.select("id", F.round("value", 2).alias("value"))
@@ -125,7 +130,19 @@ def _page(name, number, size, **options):
 
 
 _page("r_page_2", 2, 100)
-_page("r_page_deep", 9, 150, top_rows=10)
+_page("r_page_deep", 9, 150)
+
+
+def _deep_ties(spark, folder):
+    """Three pages far into lines ordered by a column with fifty values; equal keys are put in order by the other columns."""
+    by_quantity = {"kind": "sort", "by": [{"column": "l_quantity", "direction": "desc"}]}
+    frame = recipes.run(table(spark, folder, "lineitem"), recipe(by_quantity), order_by=["l_quantity"])
+    pages = [access.page(frame, n, 500) for n in (11, 12, 13)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+register("r_page_deep_ties", _deep_ties, """SELECT * FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+    l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 1500 OFFSET 5000""")
 register("r_page_file_order", lambda spark, folder: access.page(recipes.run(table(spark, folder, "events"), recipe(), ordered=True), 3, 250),
          "SELECT * FROM events ORDER BY event_id LIMIT 250 OFFSET 500")
 
@@ -191,7 +208,6 @@ _TYPED_SQL = """SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice AS
     CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS "Prioridade",
     lpad(CAST(o_custkey AS VARCHAR), 20, '0') AS "Conta", NULL::VARCHAR AS "Vazia" FROM orders"""
 register("i_coerce_frame", lambda spark, folder: coerce(_raw_orders(spark, folder)), _TYPED_SQL)
-register("i_coerce_sampled", lambda spark, folder: coerce(_raw_orders(spark, folder), mode="sample", order_by=["o_orderkey"]), _TYPED_SQL)
 
 
 def _round_trip(name, source, sql):
@@ -353,6 +369,10 @@ register("w_summary", _summary, f"""
     UNION ALL SELECT 4, 'Contagem de registros', {_comma('count(*)::DOUBLE')}, count(*)::DOUBLE {_KEPT}""")
 
 
+register("m_sum_large", _large_sum, """SELECT 's' AS id, CAST(sum(CAST(l_orderkey AS HUGEINT) * 1000000000000) AS DOUBLE) AS value, false AS refused FROM lineitem
+    UNION ALL SELECT 'bad', NULL, true UNION ALL SELECT 'n', CAST(count(*) AS DOUBLE), false FROM lineitem""")
+
+
 # --- sources ---------------------------------------------------------------
 
 def _csv_round_trip(spark, folder):
@@ -397,36 +417,66 @@ register("s_repeated_files", lambda spark, folder: admission.repeated_files(_tex
          min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) OVER (PARTITION BY text) AS first_path FROM documents) WHERE path <> first_path""")
 
 
-def _as_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each batch of customers as one workbook."""
-    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+def _separated(spark, folder):
+    """Orders as files of one line each after a header, a file per order, with the sign its status asks for."""
+    sign = F.expr("CASE o_orderstatus WHEN 'F' THEN ';' WHEN 'O' THEN '|' ELSE chr(9) END")
+    line = F.concat_ws("\n", F.concat_ws("", F.lit("id"), sign, F.lit("valor")),
+                       F.concat_ws("", "o_orderkey", sign, F.expr("replace(cast(o_totalprice AS STRING), '.', ',')")), F.lit(""))
+    content = F.encode(line, "UTF-8")
+    files = table(spark, folder, "orders").select(
+        F.concat(F.col("o_orderkey").cast("string"), F.lit(".csv")).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return admission.admit_contents(files).select("path", "separator", "header", "ok")
+
+
+_SIGN = "CASE o_orderstatus WHEN 'F' THEN ';' WHEN 'O' THEN '|' ELSE chr(9) END"
+register("s_separator", _separated, f"""SELECT o_orderkey || '.csv' AS path, {_SIGN} AS separator, 'id' || {_SIGN} || 'valor' AS header, true AS ok FROM orders""")
+
+
+def _late(spark, folder):
+    """Documents whose last byte alone tells the encoding, far behind any prefix."""
+    odd = F.expr("CASE doc_id % 3 WHEN 0 THEN X'E7' WHEN 1 THEN X'C3A7' ELSE X'81' END")
+    content = F.concat(F.encode(F.concat(F.lit("a;b\n"), F.regexp_replace("text", "[^ -~\n]", "x"), F.lit("\n;")), "UTF-8"), odd)
+    files = table(spark, folder, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return admission.admit_contents(files).select("path", "encoding", "ok")
 
-    def row(cells):
-        shown = "".join(f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{v}</t></is></c>' for v in cells)
-        return f"<row>{shown}</row>"
 
-    for batch in batches:
-        if batch.empty:
-            continue
-        body = row(batch.columns) + "".join(map(row, batch.itertuples(index=False, name=None)))
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="{links}"><sheets><sheet name="Dados" sheetId="1" r:id="r1"/></sheets></workbook>')
-            archive.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-            archive.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>')
-        yield pd.DataFrame({"path": [f"{batch.iloc[0, 0]}.xlsx"], "content": [out.getvalue()]})
+register("s_encoding_late", _late, """SELECT doc_id || '.csv' AS path,
+    CASE doc_id % 3 WHEN 0 THEN 'windows-1252' WHEN 1 THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding, true AS ok FROM documents""")
 
 
-def _workbooks(spark, folder):
-    books = table(spark, folder, "customer").mapInPandas(_as_workbooks, "path string, content binary")
-    cells = workbook.workbook_rows(books).where("row_number > 0")
-    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-    return coerce(cells.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names))))
+def _large_file(spark, folder):
+    """All documents in one text file with quoted cells, admitted and read as a folder."""
+    path = _scratch(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.regexp_replace("text", "[\r\n]", " ").alias("text"))
+    docs.coalesce(1).write.option("header", "true").option("sep", ";").option("quoteAll", "true").option("escape", '"').csv(path)
+    (_, raw), = delimited.scan_folder(spark, path)
+    return raw.select("doc_id", "lang", F.length("text").cast("long").alias("n"))
+
+
+register("s_large_file", _large_file, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text)::BIGINT AS n FROM documents")
+
+
+def _headers(spark, folder):
+    """Part names as the raw headers of a file; blanks and repeats get names of their own."""
+    names = [r[0] for r in table(spark, folder, "region").orderBy("r_regionkey").select("r_name").collect()]
+    raw = [f" {names[0]} ", "", names[0], None, "__UNNAMED__4", names[1]]
+    wide = table(spark, folder, "nation").select(*(F.concat_ws(":", F.lit(i), "n_name").alias(f"c{i}") for i in range(len(raw))))
+    return wide.toDF(*normalize_headers(raw)).select(
+        "Coluna 2", "Coluna 4", "Coluna 5", F.col(f"{names[0]} (2)").alias("again"), F.col(names[0]).alias("first"), F.col(names[1]).alias("other"))
 
 
-register("s_workbooks", _workbooks, """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey,
-    c_acctbal, c_mktsegment FROM customer""")
+register("s_headers", _headers, """SELECT '1:' || n_name AS "Coluna 2", '3:' || n_name AS "Coluna 4", '4:' || n_name AS "Coluna 5",
+    '2:' || n_name AS again, '0:' || n_name AS first, '5:' || n_name AS other FROM nation""")
+
+
+def _ingested(spark, folder):
+    """Raw text saved as a typed dataset and read back; its types come from the file."""
+    saved, _ = ingest(spark, _raw_orders(spark, folder), _scratch(spark))
+    return saved
+
+
+register("i_ingest_round_trip", _ingested, _TYPED_SQL)
 
 
 # --- history ---------------------------------------------------------------
@@ -456,6 +506,10 @@ register("h_history_total", lambda spark, folder: history.listing_total(_executi
 register("h_dataset_listing", lambda spark, folder: history.listing(
     table(spark, folder, "events"), "event_type", "purchase", "ts", "event_id", 3, 100),
     "SELECT * FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100 OFFSET 200")
+register("h_dataset_listing_far", lambda spark, folder: history.listing(
+    table(spark, folder, "lineitem"), "l_linestatus", "O", "l_shipdate", "l_orderkey", 27, 200),
+    """SELECT * FROM lineitem WHERE l_linestatus = 'O' ORDER BY l_shipdate DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag LIMIT 200 OFFSET 5200""")
 
 
 def _detail(spark, folder):
@@ -525,6 +579,30 @@ def _recipe_columns(spark, folder):
     return fleet.recipe_columns(table(spark, folder, "part").select(F.col("p_partkey").alias("recipe_id"), text.alias("definition")))
 
 
+def _deep_recipes(spark, folder):
+    """A stored recipe per part with every kind of step and a filter six levels deep; some definitions are cut off."""
+    leaf = '{"type":"condition","column":"', '","operator":"is_empty"}'
+    tree = F.concat(F.lit(leaf[0]), "p_name", F.lit(leaf[1]))
+    for level in range(5):
+        extra = f'{leaf[0]}L{level}{leaf[1]},' if level % 2 else ""
+        tree = F.concat(F.lit('{"type":"group","logic":"AND","children":[' + extra), tree, F.lit("]}"))
+    steps = F.concat(
+        F.lit('{"version":1,"steps":[{"kind":"filter","filter":'), tree,
+        F.lit('},{"kind":"rename_columns","mapping":[{"from":"old","to":"new"}]},{"kind":"sort","by":[{"column":"'), "p_type",
+        F.lit('","direction":"asc"}]},{"kind":"fill_empty","column":"gap","value":1},{"kind":"select_columns","columns":["a","'), "p_type",
+        F.lit('"]}],"metrics":[{"id":"n","operation":"count"},{"id":"s","operation":"sum","column":"'), "p_brand", F.lit('"}]}'))
+    cut = F.when(F.col("p_partkey") % 7 == 0, F.substr(steps, F.lit(1), F.lit(50))).when(F.col("p_partkey") % 11 == 0, F.lit(None)).otherwise(steps)
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("recipe_id"), cut.alias("definition"))
+
+
+_NAMED_SQL = "(SELECT DISTINCT p_partkey AS recipe_id, unnest([p_name, 'L1', 'L3', 'old', 'gap', 'a', p_type, p_brand]) AS \"column\" FROM part)"
+register("fleet_recipe_columns_deep", lambda spark, folder: fleet.recipe_columns(_deep_recipes(spark, folder)),
+         f"SELECT * FROM {_NAMED_SQL} WHERE recipe_id % 7 <> 0 AND recipe_id % 11 <> 0")
+register("fleet_bad_recipe", lambda spark, folder: fleet.refused_recipes(_deep_recipes(spark, folder)), """
+    SELECT p_partkey AS recipe_id, CASE WHEN p_partkey % 7 = 0 THEN 'definition is not valid JSON' ELSE 'definition is missing' END AS reason
+    FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0""")
+
+
 register("fleet_recipe_columns", _recipe_columns,
          'SELECT p_partkey AS recipe_id, p_name AS "column" FROM part UNION ALL SELECT p_partkey, p_type FROM part')
 

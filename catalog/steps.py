@@ -61,24 +61,24 @@ _steps("t_rename_swap", "part",
        'SELECT p_partkey, p_name AS p_brand, p_brand AS p_name, p_type, p_size AS "Size.", p_retailprice FROM part')
 
 
-# Sorting shows on a page.
+# Sorting shows in the places of all rows.
 def _sorted(*steps):
     def query(spark, folder):
         frame = recipes.run(messy(spark, folder), recipe(*steps), order_by=["o_orderkey"])
-        return access.page(frame, 1, 200)
+        return access.numbered(frame).select(F.col(access.PLACE).alias("place"), *frame.schema.names)
 
     return query
 
 
 _BY_PRICE = {"kind": "sort", "by": [{"column": "price", "direction": "desc"}]}
 _BY_PRIORITY = {"kind": "sort", "by": [{"column": "priority", "direction": "desc"}, {"column": "price", "direction": "asc"}]}
-register("t_sort_top", _sorted(_BY_PRICE), f"SELECT * FROM {MESSY_SQL} ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 200")
+register("t_sort_top", _sorted(_BY_PRICE), f"SELECT row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) - 1 AS place, * FROM {MESSY_SQL}")
 register("t_sort_two_keys", _sorted(_BY_PRIORITY),
-         f"SELECT * FROM {MESSY_SQL} ORDER BY priority DESC NULLS LAST, price ASC NULLS LAST, o_orderkey LIMIT 200")
+         f"SELECT row_number() OVER (ORDER BY priority DESC NULLS LAST, price ASC NULLS LAST, o_orderkey) - 1 AS place, * FROM {MESSY_SQL}")
 register(
     "t_sort_then_cast",
     _sorted(_BY_PRICE, {"kind": "cast", "column": "price", "to": "text"}, _select("o_orderkey", "price")),
-    f"SELECT o_orderkey, CAST(price AS VARCHAR) AS price FROM {MESSY_SQL} ORDER BY messy.price DESC NULLS LAST, o_orderkey LIMIT 200",
+    f"SELECT row_number() OVER (ORDER BY messy.price DESC NULLS LAST, o_orderkey) - 1 AS place, o_orderkey, CAST(price AS VARCHAR) AS price FROM {MESSY_SQL}",
 )
 
 

@@ -17,8 +17,11 @@ from tidyloom.session import cut_lineage
 
 MAX_PAGE = 500
 MAX_VALUES = 200
-# Last row a page may end at while every task still keeps that many rows in memory.
-TOP_ROWS = 100_000
+# Pages of the largest size up to which tasks keep all rows up to the page.
+TOP_PAGES = 10
+PLACE = HIDDEN + "place"
+# Anchors that are unique by themselves.
+SOURCE_PLACES = (HIDDEN + "row", HIDDEN + "position")
 
 
 def search(frame: Frame, text: str | None, wildcards: bool = False) -> Frame:
@@ -37,48 +40,46 @@ def search(frame: Frame, text: str | None, wildcards: bool = False) -> Frame:
     return frame.where(F.contains(haystack, F.lower(F.lit(text))))
 
 
-def page(frame: Frame, number: int = 1, size: int = 100, top_rows: int = TOP_ROWS) -> DataFrame:
-    """One page of the result in its order."""
+def _total_order(frame: Frame) -> list[Column]:
+    """Order keys and, against ties, all other columns: only equal rows may change places."""
+    keys = [k.column for k in frame.order]
+    rest = [] if any(k in SOURCE_PLACES for k in keys) else [n for n in frame.schema.names if n not in keys]
+    return [*frame.order_by(), *(col(n).asc_nulls_last() for n in rest)]
+
+
+def page(frame: Frame, number: int = 1, size: int = 100) -> DataFrame:
+    """One page of the result in its order, the same whichever way it is found."""
     if not 1 <= size <= MAX_PAGE:
         raise RecipeError(f"A page holds 1 to {MAX_PAGE} rows.")
     if not frame.order:
         raise RecipeError("Paging needs a row order.")
     start = max(number - 1, 0) * size
-    if start + size > top_rows:
-        return _deep_page(frame, start, size)
-    top = frame.df.orderBy(*frame.order_by()).offset(start).limit(size)
-    return top.select(*map(col, frame.schema.names))
+    if start + size <= TOP_PAGES * MAX_PAGE:
+        top = frame.df.orderBy(*_total_order(frame)).offset(start).limit(size)
+        return top.select(*map(col, frame.schema.names))
+    # Further on, no task may hold all rows up to the page.
+    found = numbered(frame).where(col(PLACE).between(start, start + size - 1))
+    return found.orderBy(col(PLACE)).select(*map(col, frame.schema.names))
 
 
-def _deep_page(frame: Frame, start: int, size: int) -> DataFrame:
-    """A page far into the result.
+def numbered(frame: Frame) -> DataFrame:
+    """All rows of the result with their place in its order, from 0, as column ``PLACE``.
 
-    Only the order columns are sorted, spread over all tasks, and written down.
-    The number of rows in each sorted part then tells which rows form the page.
+    Rows go through one range-partitioned sort, and each part starts after the rows
+    of the parts before it: one small row per part is all that leaves the executors.
     """
-    keys = [key.column for key in frame.order]
-    place = HIDDEN + "place"
-    ranked = frame.df.select(*map(col, keys)).orderBy(*frame.order_by())
-    ranked = cut_lineage(ranked.withColumn(place, F.monotonically_increasing_id()))
+    if not frame.order:
+        raise RecipeError("Paging needs a row order.")
+    sorted_ = frame.df.orderBy(*_total_order(frame)).withColumn(PLACE, F.monotonically_increasing_id())
+    ranked = cut_lineage(sorted_.select(*map(col, frame.schema.names), col(PLACE)))
     # The upper bits of the running number are the part, the lower 33 the row in it.
-    part = F.shiftright(col(place), 33)
-    sizes = sorted((r[0], r[1]) for r in ranked.groupBy(part.alias("part")).count().collect())
-    tests, passed = [], 0
-    for number, rows in sizes:
-        low, high = max(start - passed, 0), min(start + size - passed, rows)
-        if low < high:
-            base = number << 33
-            tests.append(col(place).between(base + low, base + high - 1))
+    part, row = F.shiftright(col(PLACE), 33), col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+    firsts, passed = [], 0
+    for number, rows in sorted((r[0], r[1]) for r in ranked.groupBy(part.alias("part")).count().collect()):
+        firsts += [F.lit(number), F.lit(passed)]
         passed += rows
-    chosen = ranked.where(tests[0] if tests else F.lit(False))
-    for test in tests[1:]:
-        chosen = chosen.unionByName(ranked.where(test))
-    marks = {k: f"{HIDDEN}at{i}" for i, k in enumerate(keys)}
-    # At most one page of rows, so it may be broadcast.
-    wanted = F.broadcast(chosen.select(col(place), *(col(k).alias(m) for k, m in marks.items())))
-    same = [frame.df[f"`{k}`"].eqNullSafe(wanted[f"`{m}`"]) for k, m in marks.items()]
-    found = frame.df.join(wanted, same)
-    return found.orderBy(col(place)).limit(size).select(*map(col, frame.schema.names))
+    first = F.create_map(*firsts)[part] if firsts else F.lit(0)
+    return ranked.withColumn(PLACE, (first + row).cast("long"))
 
 
 def total_rows(frame: Frame) -> DataFrame:

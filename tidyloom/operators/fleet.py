@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.functions.text import strip
 from tidyloom.model import MAX_COLUMNS
 from tidyloom.operators import metrics as metric_ops
+from tidyloom.operators.filters import MAX_DEPTH
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.frame import SOURCE, Frame, by_source
 
@@ -35,18 +33,82 @@ def metrics_by_source(frame: Frame, recipe: dict) -> DataFrame:
 
 # --- many recipes against many datasets ------------------------------------
 
+def _tree_schema(depth: int) -> T.StructType:
+    """Filter tree as JSON, down to a number of levels."""
+    fields = [T.StructField("type", T.StringType()), T.StructField("column", T.StringType())]
+    if depth > 1:
+        fields.append(T.StructField("children", T.ArrayType(_tree_schema(depth - 1))))
+    return T.StructType(fields)
+
+
+def _tree_columns(node: Column, depth: int) -> Column:
+    """Names in a tree: its own, if it is a condition, and those of its children."""
+    own = F.when(node["type"] == "condition", F.array(node["column"])).otherwise(F.array().cast("array<string>"))
+    if depth == 1:
+        return own
+    below = F.flatten(F.transform(node["children"], lambda child: _tree_columns(child, depth - 1)))
+    return F.concat(own, F.coalesce(below, F.array().cast("array<string>")))
+
+
+def _recipe_schema() -> T.StructType:
+    text, texts = T.StringType(), T.ArrayType(T.StringType())
+    entry = lambda name: T.ArrayType(T.StructType([T.StructField(name, text)]))
+    step = T.StructType([
+        T.StructField("kind", text), T.StructField("column", text), T.StructField("columns", texts),
+        T.StructField("by", entry("column")), T.StructField("mapping", entry("from")), T.StructField("filter", _tree_schema(MAX_DEPTH)),
+    ])
+    return T.StructType([T.StructField("steps", T.ArrayType(step)), T.StructField("metrics", entry("column"))])
+
+
 def recipe_columns(definitions: DataFrame) -> DataFrame:
-    """Columns named by recipes stored as JSON: ``(recipe_id, definition)`` to ``(recipe_id, column)``."""
-    kind = definitions.schema["recipe_id"].dataType.simpleString()
-    return definitions.select("recipe_id", "definition").mapInPandas(
-        _named_columns, f"recipe_id {kind}, column string"
+    """Columns named by recipes stored as JSON: ``(recipe_id, definition)`` to ``(recipe_id, column)``.
+
+    Definitions that are missing or no JSON name nothing; ``refused_recipes`` lists them.
+    """
+    none = F.array().cast("array<string>")
+    read = definitions.where(_reason().isNull()).select("recipe_id", F.from_json("definition", _recipe_schema()).alias("r"))
+
+    def named(step: Column) -> Column:
+        of_kind = lambda kinds, names: F.when(step["kind"].isin(*kinds), F.coalesce(names, none)).otherwise(none)
+        return F.concat(
+            of_kind(["filter"], _tree_columns(step["filter"], MAX_DEPTH)), of_kind(recipes.COLUMN_LISTS, step["columns"]),
+            of_kind(recipes.ONE_COLUMN, F.array(step["column"])), of_kind(["rename_columns"], step["mapping"]["from"]),
+            of_kind(["sort"], step["by"]["column"]),
+        )
+
+    steps = F.coalesce(F.flatten(F.transform("r.steps", named)), none)
+    every = F.array_distinct(F.array_compact(F.concat(steps, F.coalesce(F.col("r.metrics.column"), none))))
+    return read.select("recipe_id", F.explode(every).alias("column"))
+
+
+def _reason() -> Column:
+    return F.when(F.col("definition").isNull(), "definition is missing").when(
+        F.try_parse_json("definition").isNull(), "definition is not valid JSON"
     )
 
 
-def _named_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        named = [recipes.referenced_columns(json.loads(text)) for text in batch["definition"]]
-        yield pd.DataFrame({"recipe_id": batch["recipe_id"], "column": named}).explode("column").dropna()
+def refused_recipes(definitions: DataFrame) -> DataFrame:
+    """Stored recipes that cannot be read, with the reason."""
+    return definitions.select("recipe_id", _reason().alias("reason")).where("reason IS NOT NULL")
+
+
+def _lacking(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Every pair with the array of columns it lacks.
+
+    Names travel as one array per recipe and per dataset, so no row is made for a column
+    that is there. A recipe that most datasets use is repeated under a few salts.
+    """
+    salted = wanted.groupBy(F.col("recipe_id").alias("of_recipe")).agg(F.collect_set("column").alias("needed")).withColumn(
+        "of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    held = present.groupBy(F.col("dataset_id").alias("of_dataset")).agg(F.collect_set("column").alias("there"))
+    dealt = pairs.select("recipe_id", "dataset_id", F.pmod(F.xxhash64("dataset_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = dealt.join(salted, (F.col("recipe_id") == F.col("of_recipe")) & (F.col("salt") == F.col("of_salt")), "left").join(
+        held, F.col("dataset_id") == F.col("of_dataset"), "left"
+    )
+    none = F.array().cast("array<string>")
+    lacking = F.array_except(F.coalesce("needed", none), F.coalesce("there", none))
+    return joined.select("recipe_id", "dataset_id", lacking.alias("lacking"))
 
 
 def missing_columns(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -55,21 +117,15 @@ def missing_columns(pairs: DataFrame, wanted: DataFrame, present: DataFrame) ->
     ``pairs`` says which recipe is to run on which dataset; ``wanted`` is
     ``(recipe_id, column)``, ``present`` is ``(dataset_id, column)``.
     """
-    needed = pairs.select("recipe_id", "dataset_id").join(wanted.select("recipe_id", "column"), "recipe_id")
-    lacking = needed.join(present.select("dataset_id", "column"), ["dataset_id", "column"], "left_anti")
-    return lacking.select("recipe_id", "dataset_id", "column")
+    return _lacking(pairs, wanted, present).select("recipe_id", "dataset_id", F.explode("lacking").alias("column"))
 
 
 def compatibility(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Every pair with the number of columns it lacks; zero means the recipe fits."""
-    lacking = missing_columns(pairs, wanted, present).groupBy("recipe_id", "dataset_id").agg(
-        F.count(F.lit(1)).alias("missing")
-    )
-    joined = pairs.select("recipe_id", "dataset_id").join(lacking, ["recipe_id", "dataset_id"], "left")
-    return joined.select("recipe_id", "dataset_id", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
+    return _lacking(pairs, wanted, present).select("recipe_id", "dataset_id", F.size("lacking").cast("long").alias("missing"))
 
 
-def resolve_names(requests: DataFrame, present: DataFrame) -> DataFrame:
+def resolve_names(requests: DataFrame, present: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Find the column a loosely written name means.
 
     ``requests`` holds ``dataset_id`` and ``name`` among its columns; ``present``
@@ -87,8 +143,8 @@ def resolve_names(requests: DataFrame, present: DataFrame) -> DataFrame:
     listed = listed.select(
         F.col("dataset_id").alias("of_dataset"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"),
-        F.when(F.size("entries") > MAX_COLUMNS, F.raise_error(F.lit("a dataset has too many columns")))
-        .otherwise(F.transform("entries", lambda e: e["column"])).alias("names"),
+        # A dataset beyond the limit resolves nothing; it must not end the job for the others.
+        F.when(F.size("entries") <= max_columns, F.transform("entries", lambda e: e["column"])).alias("names"),
     )
     needle = F.lower(strip(F.col("name")))
     asked = requests.withColumn("needle", needle).withColumn("salt", F.pmod(F.hash(*requests.columns), F.lit(SALTS)))

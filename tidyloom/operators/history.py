@@ -6,14 +6,16 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidyloom.errors import RecipeError
+from tidyloom.operators import access
 from tidyloom.operators import metrics as metric_ops
-from tidyloom.plans.frame import Frame
+from tidyloom.plans.frame import Frame, OrderKey, frame_of
 
 EXECUTIONS = (
     "id string, user_id string, dataset_id string, dataset_name string, recipe_id string, "
@@ -25,9 +27,10 @@ EXECUTION_METRICS = (
     "execution_id string, metric_key string, label string, operation string, column_name string, "
     "value double, format string"
 )
-# Rows on a page of a listing, datasets expired in one go.
-MAX_PAGE = 500
+# Fixed value: datasets expired in one go.
 EXPIRY_BATCH = 200
+# Metric that counts the rows of a result beside those of the recipe.
+ROWS = "__rows"
 
 
 # --- writing ---------------------------------------------------------------
@@ -47,11 +50,12 @@ def logged(
     try:
         frame = frame_for()
         action(frame)
-        # Row counts and all metrics come from one aggregate each.
-        measured = metric_ops.compute(frame, recipe.get("metrics") or [])
-        rows = frame.df.agg(F.count(F.lit(1))).first()[0]
+        # One aggregate gives all metrics and the rows of the result, as one small row each.
+        counted = metric_ops.compute(frame, [*(recipe.get("metrics") or []), {"id": ROWS, "operation": "count"}])
+        found = counted.collect()
+        rows = int(found[-1]["value"])
         read = frame.base.agg(F.count(F.lit(1))).first()[0]
-        append_metrics(folder, run_id, measured)
+        append_metrics(folder, run_id, spark.createDataFrame(found[:-1], counted.schema))
         record.update(status="succeeded", input_row_count=read, output_row_count=rows)
     except Exception as error:
         record.update(status="failed", input_row_count=0, output_row_count=0, error_message=str(error)[:2000])
@@ -93,15 +97,10 @@ def listing(
     rows: DataFrame, owner_column: str, owner, created_column: str, key_column: str,
     page: int = 1, size: int = 50,
 ) -> DataFrame:
-    """One page of what an owner has, newest first; only that page is sorted out.
-
-    Every map task keeps no more than the rows up to this page.
-    """
-    if not 1 <= size <= MAX_PAGE:
-        raise RecipeError(f"A page holds 1 to {MAX_PAGE} rows.")
-    own = rows.where(F.col(owner_column) == F.lit(owner))
-    newest = own.orderBy(F.col(created_column).desc(), F.col(key_column).asc())
-    return newest.offset((page - 1) * size).limit(size)
+    """One page of what an owner has, newest first, at any depth."""
+    own = frame_of(rows.where(F.col(owner_column) == F.lit(owner)), anchored=False)
+    newest = replace(own, anchor=(OrderKey(created_column, descending=True), OrderKey(key_column)))
+    return access.page(newest, page, size)
 
 
 def execution_listing(
