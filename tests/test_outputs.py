@@ -112,17 +112,18 @@ def test_missing_columns(spark):
 
 
 def test_resolve_names(spark):
-    columns = ["Documento", "Status", "Valor da operacao", "Data", "Data de vencimento"]
+    boat = ["Hull", "Mast height", "Sail", "Sail maker"]
     present = spark.createDataFrame(
-        [(d, i, c) for d, n in (("a", 4), ("b", 5)) for i, c in enumerate(columns[:n])],
+        [(d, i, c) for d, names in (("yawl", boat), ("raft", boat[:3])) for i, c in enumerate(names)] + [("wide", i, f"c{i}") for i in range(9)],
         "dataset_id string, position int, column string",
     )
-    asked = [("a", "valor"), ("a", "STATUS"), ("a", "dat"), ("b", "dat"), ("a", "Cliente"), ("b", " data "), ("a", "o documento"), ("z", "x")]
-    got = fleet.resolve_names(spark.createDataFrame(asked, "dataset_id string, name string"), present).collect()
-    assert {(r["dataset_id"], r["name"]): r["resolved"] for r in got} == {
-        ("a", "valor"): "Valor da operacao", ("a", "STATUS"): "Status", ("a", "dat"): "Data", ("b", "dat"): None,
-        ("a", "Cliente"): None, ("b", " data "): "Data", ("a", "o documento"): "Documento", ("z", "x"): None,
+    want = {
+        ("yawl", "HULL"): "Hull", ("yawl", " mast "): "Mast height", ("yawl", "the hull of it"): "Hull", ("yawl", "sail"): "Sail",
+        ("yawl", "sai"): None, ("raft", "sai"): "Sail", ("yawl", "anchor"): None, ("none", "hull"): None, ("wide", "c1"): None,
     }
+    asked = spark.createDataFrame(list(want) + [("yawl", "HULL")], "dataset_id string, name string")
+    got = fleet.resolve_names(asked, present, max_columns=8).collect()
+    assert len(got) == len(want) + 1 and {(r["dataset_id"], r["name"]): r["resolved"] for r in got} == want
 
 
 @pytest.fixture(scope="module")
