@@ -319,22 +319,38 @@ register("p_quality", lambda spark, folder: profile.quality(profile.profile(mess
         for n, _ in _MESSY_COLUMNS))
 
 
-def _profile(spark, folder):
-    whole = profile.profile(table(spark, folder, "customer"))
-    first = F.get("topValues", F.lit(0))
-    return whole.select("position", "name", "type", "nullCount", "distinctCount", "min", "max", F.round("sum", 2).alias("sum"),
-                        first["value"].alias("topValue"), first["count"].alias("topCount"), "rowCount", "columnCount", "duplicateRowCount", "rowsWithEmptyCount")
-
-
-_TOP_SEGMENT = "(SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)"
-register("p_profile", _profile, " UNION ALL ".join(
-    f"""SELECT {i} AS position, '{n}' AS name, '{k}' AS type, count(*) - count({n}) AS "nullCount", count(DISTINCT {n}) AS "distinctCount",
-    {f'min({n})::DOUBLE' if k == 'number' else 'NULL::DOUBLE'} AS min, {f'max({n})::DOUBLE' if k == 'number' else 'NULL::DOUBLE'} AS max,
-    {f'round(sum({n})::DOUBLE, 2)' if k == 'number' else 'NULL::DOUBLE'} AS sum,
-    {f'(SELECT c_mktsegment FROM {_TOP_SEGMENT})' if n == 'c_mktsegment' else 'NULL::VARCHAR'} AS "topValue",
-    {f'(SELECT n FROM {_TOP_SEGMENT})' if n == 'c_mktsegment' else 'NULL::BIGINT'} AS "topCount",
-    count(*) AS "rowCount", 5 AS "columnCount", 0::BIGINT AS "duplicateRowCount", 0::BIGINT AS "rowsWithEmptyCount" FROM customer"""
-    for i, (n, k) in enumerate([("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text")])))
+def _profiled(name):
+    def query(spark, folder):
+        whole = profile.profile(table(spark, folder, name))
+        tops = F.coalesce(F.to_json(F.transform("topValues", lambda t: F.array(t["value"], t["count"].cast("string")))), F.lit("[]"))
+        return whole.select("position", "name", "type", "nullCount", "distinctCount", "min", "max", F.round("sum", 2).alias("sum"),
+                            tops.alias("tops"), "rowCount", "columnCount", "duplicateRowCount", "rowsWithEmptyCount")
+
+    return query
+
+
+def _profile_sql(source, columns):
+    """Every statistic and all top values of every column."""
+    def tops(name, kind):
+        if kind == "number":
+            return "'[]'"
+        ranked = f"""(SELECT {name} AS v, count(*) AS n, count(*) OVER () AS groups, row_number() OVER (ORDER BY count(*) DESC, {name}) AS r
+            FROM {source} WHERE {name} IS NOT NULL GROUP BY {name})"""
+        return f"""(SELECT coalesce('[' || string_agg(CAST(to_json([v, CAST(n AS VARCHAR)]) AS VARCHAR), ',' ORDER BY r) || ']', '[]')
+            FROM {ranked} WHERE groups <= 60 AND r <= 15)"""
+
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{n}' AS name, '{k}' AS type, count(*) - count({n}) AS "nullCount", count(DISTINCT {n}) AS "distinctCount",
+        {f'min({n})::DOUBLE' if k == 'number' else 'NULL::DOUBLE'} AS min, {f'max({n})::DOUBLE' if k == 'number' else 'NULL::DOUBLE'} AS max,
+        {f'round(sum({n})::DOUBLE, 2)' if k == 'number' else 'NULL::DOUBLE'} AS sum, {tops(n, k)} AS tops,
+        count(*) AS "rowCount", {len(columns)} AS "columnCount", 0::BIGINT AS "duplicateRowCount", 0::BIGINT AS "rowsWithEmptyCount" FROM {source}"""
+        for i, (n, k) in enumerate(columns))
+
+
+_CUSTOMER = [("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text")]
+_DOCUMENTS = [("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number")]
+register("p_profile", _profiled("customer"), _profile_sql("customer", _CUSTOMER))
+register("p_profile_documents", _profiled("documents"), _profile_sql("documents", _DOCUMENTS))
 
 
 # --- export ----------------------------------------------------------------

@@ -230,3 +230,20 @@ def test_all_columns_of_a_wide_table(spark):
     df = spark.range(20).select(*(F.concat(F.lit("t"), (F.col("id") % (i + 1)).cast("string")).alias(f"c{i}") for i in range(300)))
     rows = profile.column_statistics(df).collect()
     assert {r["name"]: r["distinctCount"] for r in rows} == {f"c{i}": min(i + 1, 20) for i in range(300)}
+
+
+def test_long_frequent_texts_are_shown_whole(spark):
+    long, other = "word " * 500, "other " * 300
+    df = spark.createDataFrame([(long,), (long,), (other,), ("short",), (None,)], "t string")
+    assert [tuple(r)[1:] for r in profile.top_values(df).orderBy("rank").collect()] == [(1, long, 2), (2, other, 1), (3, "short", 1)]
+    row = profile.profile(df, limit=2).first()
+    assert [tuple(t) for t in row["topValues"]] == [(long, 2), (other, 1)] and (row["distinctCount"], row["nullCount"]) == (3, 1)
+    assert profile.top_values(df, max_distinct=2).count() == 0
+    rough = profile.profile(df, approximate=True).first()
+    assert (rough["rowCount"], rough["duplicateRowCount"], rough["distinctCount"]) == (5, 1, 3)
+
+
+def test_rows_that_differ_in_the_place_of_a_null(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None), ("", "a"), (None, None)], "x string, y string")
+    row = profile.row_counts(df).first()
+    assert (row["rowCount"], row["duplicateRowCount"], row["rowsWithEmptyCount"]) == (5, 1, 4)

@@ -11,12 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidyloom.errors import RecipeError
 from tidyloom.functions.cells import SLOT, cells, position_of
 from tidyloom.functions.text import display_text
-from tidyloom.model import BOOLEAN, CURRENCY, NUMBER, TEXT, ColumnSpec, DatasetSchema, schema_of
+from tidyloom.model import BOOLEAN, CURRENCY, NUMBER, TEXT, DatasetSchema, schema_of
 
 # Which columns list frequent values, and how many of each.
 TOP_MAX_DISTINCT = 60
@@ -25,11 +24,9 @@ TOP_MAX_COLUMNS = 40
 # Which columns describe a category worth showing.
 CATEGORY_MIN, CATEGORY_MAX, CATEGORY_COLUMNS = 2, 15, 4
 
-# Types whose values fit one machine word.
-_WORDS = (
-    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-    T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
-)
+# Longest text that is counted as it is, and what the digest of a longer one starts with.
+KEY_BYTES = 64
+DIGEST = "\u0001sha256:"
 _FINITE_FIELDS = ("min", "max", "sum", "avg")
 
 
@@ -42,10 +39,15 @@ def _by_kind(schema: DatasetSchema) -> dict[str, dict[int, Column]]:
         elif column.is_date:
             kinds["moment"][position] = column.col().cast("timestamp_ntz")
         else:
-            kinds["text"][position] = display_text(column).cast("string")
+            kinds["text"][position] = _short(display_text(column).cast("string"))
     return {kind: values for kind, values in kinds.items() if values}
 
 
+def _short(text: Column) -> Column:
+    """The text itself, or its digest where it is long: no long text travels as a key."""
+    return F.when(F.octet_length(text) > KEY_BYTES, F.concat(F.lit(DIGEST), F.sha2(text, 256))).otherwise(text)
+
+
 def _finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
@@ -120,43 +122,73 @@ def column_statistics(
     )
 
 
-def top_values(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Most frequent values of the columns with few distinct ones: name, rank, value, count."""
+def top_values(
+    df: DataFrame, types: dict[str, str] | None = None, limit: int | None = TOP_LIMIT,
+    max_distinct: int | None = TOP_MAX_DISTINCT, max_columns: int | None = TOP_MAX_COLUMNS,
+) -> DataFrame:
+    """Most frequent values of the columns with few distinct ones: name, rank, value, count.
+
+    ``limit`` values of columns with at most ``max_distinct`` ones, of the first
+    ``max_columns`` such columns; None leaves a limit out.
+    """
     schema = schema_of(df, types)
-    return _described(_top_rows(df, schema), schema).select("name", "rank", "value", "count")
+    tops = _top_rows(df, schema, limit, max_distinct, max_columns)
+    return _described(tops, schema).select("name", "rank", "value", "count")
 
 
-def _top_rows(df: DataFrame, schema: DatasetSchema) -> DataFrame:
+def _top_rows(df: DataFrame, schema: DatasetSchema, limit: int | None, max_distinct: int | None, max_columns: int | None) -> DataFrame:
     """Frequent values of the qualifying columns, ranked.
 
-    The rank limit runs in every task before the shuffle, so a column with many
-    values sends only its top few from each.
+    The counts are those of the column statistics, so both read one shuffle. The rank
+    limit runs in every task, so a column with many values sends only its top few.
     """
-    listed = {
-        i: display_text(c).cast("string") for i, c in enumerate(schema.columns) if c.type in (TEXT, BOOLEAN)
-    }
+    texts = _by_kind(schema).get("text", {})
+    listed = [i for i, c in enumerate(schema.columns) if c.type in (TEXT, BOOLEAN)]
     if not listed:
         raise RecipeError("The dataset has no text or yes/no column.")
-    counts = _value_counts(df, listed).where(F.col("value").isNotNull())
-    order = Window.partitionBy(SLOT).orderBy(F.desc("n"), F.asc("value"))
-    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_LIMIT)
-    sizes = counts.groupBy(SLOT).agg(F.count(F.lit(1)).alias("distinct"))
-    few = sizes.where(F.col("distinct") <= TOP_MAX_DISTINCT).select(position_of().alias("chosen"))
-    # At most 512 rows, one per column, so the broadcast is bounded.
-    few = F.broadcast(few.orderBy("chosen").limit(TOP_MAX_COLUMNS))
-    tops = ranked.select(
-        position_of(), F.col("rank").cast("int").alias("rank"), "value", F.col("n").alias("count")
+    counts = _value_counts(df, texts)
+    # Nulls rank last instead of being filtered, which would make another shuffle of it.
+    order = Window.partitionBy(SLOT).orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value"))
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("rank") <= limit)
+    sizes = counts.groupBy(SLOT).agg(F.count("value").alias("distinct"))
+    few = sizes.where(F.col("distinct") <= max_distinct) if max_distinct is not None else sizes
+    few = few.select(position_of().alias("chosen")).where(F.col("chosen").isin(listed))
+    # One row per column.
+    few = F.broadcast(few.orderBy("chosen").limit(max_columns) if max_columns is not None else few)
+    tops = ranked.select(position_of(), F.col("rank").cast("int").alias("rank"), "value", F.col("n").alias("count"))
+    tops = tops.join(few, F.col("position") == F.col("chosen")).where(F.col("value").isNotNull()).drop("chosen")
+    return _written_out(df, schema, tops, listed) if limit is not None else tops
+
+
+def _written_out(df: DataFrame, schema: DatasetSchema, tops: DataFrame, listed: list[int]) -> DataFrame:
+    """Put the texts back for digests among the few values shown; nothing is read if there are none."""
+    is_long = F.startswith("value", F.lit(DIGEST))
+    wanted = F.broadcast(tops.where(is_long).select(F.col("position").alias("at"), F.col("value").alias("key")))
+    full = {i: display_text(schema.columns[i]).cast("string") for i in listed}
+    long = cells(df, full).where(F.octet_length("value") > KEY_BYTES).select(
+        position_of().alias("of"), _short(F.col("value")).alias("of_key"), F.col("value").alias("text")
     )
-    return tops.join(few, F.col("position") == F.col("chosen")).drop("chosen")
+    texts = long.join(wanted, (F.col("of") == F.col("at")) & (F.col("of_key") == F.col("key"))).groupBy("at", "key").agg(F.min("text").alias("text"))
+    joined = tops.join(F.broadcast(texts), (F.col("position") == F.col("at")) & (F.col("value") == F.col("key")), "left")
+    return joined.withColumn("value", F.coalesce("text", "value")).drop("at", "key", "text")
 
 
-def row_counts(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+def row_counts(df: DataFrame, types: dict[str, str] | None = None, approximate: bool = False) -> DataFrame:
     """One row: rows, columns, rows with an empty cell and surplus duplicates."""
     schema = schema_of(df, types)
     incomplete = F.lit(False)
     for column in schema.columns:
         incomplete = incomplete | column.col().isNull()
     marked = df.select(row_digest(schema).alias("digest"), incomplete.alias("incomplete"))
+    if approximate:
+        rows = F.count(F.lit(1))
+        return marked.agg(
+            rows.alias("rowCount"), F.lit(len(schema.columns)).alias("columnCount"),
+            F.greatest(rows - F.approx_count_distinct("digest.a", 0.01), F.lit(0)).alias("duplicateRowCount"),
+            F.count_if("incomplete").alias("rowsWithEmptyCount"),
+        )
     per_row = marked.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("incomplete")).alias("incomplete")
     )
@@ -170,49 +202,38 @@ def row_counts(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 
 
 def row_digest(schema: DatasetSchema) -> Column:
-    """SHA-256 of a row. Equal rows, and only they, have the same text behind it.
+    """128 bits of a row: two hashes over its cells and over which of them are null.
 
-    It is what the shuffle carries instead of rows that may be hundreds of
-    columns wide.
+    It is what the shuffle carries instead of rows that may be hundreds of columns wide.
+    Hashes take both zeros and every NaN for one value, as comparison does.
     """
-    return F.unhex(F.sha2(F.concat_ws("|", *(_unambiguous(c) for c in schema.columns)), 256))
-
+    values = [c.col() for c in schema.columns]
+    # Nulls leave a hash as it is, so their places are hashed as well.
+    nulls = F.concat_ws("", *(F.when(v.isNull(), "1").otherwise("0") for v in values))
+    return F.struct(F.xxhash64(nulls, *values).alias("a"), F.xxhash64(F.lit(DIGEST), nulls, *reversed(values)).alias("b"))
 
-def _unambiguous(column: ColumnSpec) -> Column:
-    """Text of a cell that shows where it ends; a lone dash stands for null."""
-    value = column.col()
-    if isinstance(column.data_type, _WORDS):
-        # On a single value of at most 64 bits this hash is one-to-one, and it
-        # takes both zeros and every NaN for one value, as comparison does. It is
-        # cheaper to print than a double or a timestamp.
-        text = F.xxhash64(value).cast("string")
-    else:
-        text = value.cast("string")
-        text = F.concat(F.octet_length(text).cast("string"), F.lit("|"), text)
-    return F.when(value.isNull(), F.lit("-")).otherwise(text)
 
+def profile(
+    df: DataFrame, types: dict[str, str] | None = None, approximate: bool = False, limit: int = TOP_LIMIT,
+    max_distinct: int | None = TOP_MAX_DISTINCT, max_columns: int | None = TOP_MAX_COLUMNS,
+) -> DataFrame:
+    """Complete profile: one row per column with its frequent values, and the row counts beside it.
 
-def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Complete profile: one row per column with its frequent values, and the row counts beside it."""
+    With ``approximate`` distinct values and duplicate rows come from sketches.
+    """
     schema = schema_of(df, types)
-    stats = column_statistics(df, types)
+    stats = column_statistics(df, types, approximate)
     if any(c.type in (TEXT, BOOLEAN) for c in schema.columns):
-        tops = (
-            # At most 15 rows for each of at most 40 columns.
-            _top_rows(df, schema)
-            .groupBy(F.col("position").alias("p"))
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked"))
-            .select(
-                "p",
-                F.transform(
-                    "ranked", lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count"))
-                ).alias("topValues"),
-            )
+        entry = F.struct("rank", "value", "count")
+        # A few rows for each column.
+        tops = _top_rows(df, schema, limit, max_distinct, max_columns).groupBy(F.col("position").alias("p")).agg(
+            F.array_sort(F.collect_list(entry)).alias("ranked")
         )
-        stats = stats.join(tops, F.col("position") == F.col("p"), "left").drop("p")
+        shown = F.transform("ranked", lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count")))
+        stats = stats.join(F.broadcast(tops.select("p", shown.alias("topValues"))), F.col("position") == F.col("p"), "left").drop("p")
     else:
         stats = stats.withColumn("topValues", F.lit(None).cast("array<struct<value:string,count:bigint>>"))
-    whole = row_counts(df, types).select(F.struct("*")).scalar()
+    whole = row_counts(df, types, approximate).select(F.struct("*")).scalar()
     return stats.withColumn("dataset", whole).select(*stats.columns, "dataset.*")
 
 
