@@ -385,6 +385,12 @@ register("w_summary", _summary, f"""
     UNION ALL SELECT 4, 'Contagem de registros', {_comma('count(*)::DOUBLE')}, count(*)::DOUBLE {_KEPT}""")
 
 
+_MANY = ["l_quantity", "l_discount", "l_returnflag", "l_shipdate", "l_partkey", "l_linenumber"]
+register("m_distinct_many", lambda spark, folder: _measured(table(spark, folder, "lineitem"), recipe(
+    keep(c("l_quantity", "less_than", value=20)), metrics=[{"id": n, "operation": "count_distinct", "column": n} for n in _MANY])),
+    " UNION ALL ".join(f"SELECT '{n}' AS id, CAST(count(DISTINCT {n}) AS DOUBLE) AS value FROM lineitem WHERE l_quantity < 20" for n in _MANY))
+
+
 register("m_sum_large", _large_sum, """SELECT 's' AS id, CAST(sum(CAST(l_orderkey AS HUGEINT) * 1000000000000) AS DOUBLE) AS value, false AS refused FROM lineitem
     UNION ALL SELECT 'bad', NULL, true UNION ALL SELECT 'n', CAST(count(*) AS DOUBLE), false FROM lineitem""")
 
