@@ -11,7 +11,7 @@ from catalog.registry import (
     MESSY_SQL, condition as c, group, keep, messy, recipe, register, spark_money, table,
 )
 from tidyloom.operators import access, fleet, history, metrics, profile
-from tidyloom.operators.infer import coerce, infer, normalize_missing
+from tidyloom.operators.infer import coerce, infer, normalize_missing, restored, stored
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.ingest import ingest
 from tidyloom.session import shared_folder
@@ -707,6 +707,51 @@ def _arriving(spark, folder):
 register("stream_reapply", _arriving, f"SELECT * EXCLUDE place FROM {_FIRSTS.format(g='')}")
 
 
+TEXT_RECIPE = recipe(
+    {"kind": "drop_duplicates", "columns": ["cliente"], "keep": "first"}, keep(c("Valor", "greater_than", value="100.000,00")),
+    metrics=[{"id": "n", "operation": "count"}, {"id": "s", "operation": "sum", "column": "Valor"}],
+)
+_TEXT_FIRSTS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS place FROM orders)
+    WHERE place = 1 AND o_totalprice > 100000)"""
+
+
+def _local_files(spark, folder):
+    """Orders as text files, one per priority, money and dates as people write them; a copy of what to expect of their cells."""
+    path = _scratch(spark)
+    text = table(spark, folder, "orders").select(
+        F.substring("o_orderpriority", 1, 1).alias("p"), "o_orderkey", F.col("o_custkey").cast("string").alias("cliente"),
+        F.expr(f"concat('R$ ', {spark_money('o_totalprice')})").alias("Valor"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Dia"))
+    # Each file holds its rows in the order of their keys.
+    text.repartition(1).sortWithinPartitions("p", "o_orderkey").select("p", "cliente", "Valor", "Dia").write.partitionBy("p").option("header", "true").option("sep", ";").csv(path)
+    return path
+
+
+def _text_reapplied(spark, folder):
+    path = _local_files(spark, folder)
+    sample = delimited.scan_delimited(spark, f"{path}/p=1", ["cliente", "Valor", "Dia"], ";")
+    kept = restored(stored(infer(sample)))
+    rows = fleet.metrics_by_source(fleet.reapply_text(spark, TEXT_RECIPE, path, strategies=kept), TEXT_RECIPE)
+    return rows.select(F.regexp_extract("source", "p=([0-9])", 1).alias("p"), "id", F.round("value", 2).alias("value"))
+
+
+_TEXT_SQL = f"""WITH kept AS (SELECT substr(o_orderpriority, 1, 1) AS p, count(*)::DOUBLE AS n, round(sum(o_totalprice), 2) AS s FROM {_TEXT_FIRSTS} GROUP BY 1)
+    SELECT p, 'n' AS id, n AS value FROM kept UNION ALL SELECT p, 's', s FROM kept"""
+register("fleet_reapply_text", _text_reapplied, _TEXT_SQL)
+
+
+def _text_streamed(spark, folder):
+    """The same files as they arrive, two at a time."""
+    path, out = _local_files(spark, folder), _scratch(spark)
+    kept = infer(delimited.scan_delimited(spark, f"{path}/p=1", ["cliente", "Valor", "Dia"], ";"))
+    arriving = streaming.read_arriving_text(spark, f"{path}/p=*", kept, ";", files_per_batch=2)
+    streaming.reapply_arriving(arriving, TEXT_RECIPE, out, f"{out}/state", once=True, strategies=kept).awaitTermination()
+    rows = spark.read.parquet(f"{out}/metrics")
+    return rows.select(F.regexp_extract("source", "p=([0-9])", 1).alias("p"), "id", F.round("value", 2).alias("value"))
+
+
+register("stream_reapply_text", _text_streamed, _TEXT_SQL)
+
+
 def _streamed_rows(spark, folder):
     out = _scratch(spark)
     rec = recipe(keep(group(c("event_type", "in", values=["CLICK", "error"]), c("value", "greater_than", value="5,5"))),

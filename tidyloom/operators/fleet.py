@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidyloom.errors import SourceError
 from tidyloom.functions.text import strip
 from tidyloom.model import MAX_COLUMNS
 from tidyloom.operators import metrics as metric_ops
 from tidyloom.operators.filters import MAX_DEPTH
+from tidyloom.operators.infer import Strategy, coerce
 from tidyloom.plans import recipe as recipes
-from tidyloom.plans.frame import SOURCE, Frame, by_source
+from tidyloom.plans.frame import SOURCE, Frame, OrderKey, by_source, frame_of
+from tidyloom.sources.delimited import scan_folder
+from tidyloom.sources.tables import anchor_columns
 
 SALTS = 16
 
@@ -26,6 +33,28 @@ def reapply(
     return recipes.run(df, recipe, types=types, group_by=[SOURCE])
 
 
+def reapply_text(
+    spark: SparkSession, recipe: dict, *paths: str, strategies: dict[str, Strategy] | None = None, **limits
+) -> Frame:
+    """The same for folders of delimited text in any mix of encodings and separators.
+
+    ``strategies`` of an earlier file fix how cells are converted; without them the types
+    are inferred from all files together. A file that lacks a column has it empty.
+    """
+    parts, anchors = [], {}
+    for _, raw in scan_folder(spark, *paths, **limits):
+        anchors = anchor_columns(raw)
+        parts.append(by_source(raw).select("*", *(c.alias(n) for n, c in anchors.items())))
+    if not parts:
+        raise SourceError("No text file was found.")
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if strategies is not None:
+        absent = [n for n in strategies if n not in raw.columns]
+        raw = raw.select("*", *(F.lit(None).cast("string").alias(n) for n in absent))
+    frame = frame_of(coerce(raw, strategies), group_by=[SOURCE])
+    return recipes.apply_steps(replace(frame, anchor=tuple(map(OrderKey, anchors))), recipe)
+
+
 def metrics_by_source(frame: Frame, recipe: dict) -> DataFrame:
     """Metrics of a recipe for each file, in one aggregate."""
     return metric_ops.compute(frame, recipe.get("metrics") or [])

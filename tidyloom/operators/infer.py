@@ -7,7 +7,8 @@ The decision is then made on the driver from one row of counts per column.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -80,6 +81,15 @@ class Strategy:
     native: bool = False
 
 
+def stored(strategies: dict[str, Strategy]) -> str:
+    """Strategies as JSON, to convert later files as the first one was."""
+    return json.dumps({name: asdict(strategy) for name, strategy in strategies.items()}, ensure_ascii=False)
+
+
+def restored(text: str) -> dict[str, Strategy]:
+    return {name: Strategy(**fields) for name, fields in json.loads(text).items()}
+
+
 def header_suggests_currency(header: str) -> bool:
     lowered = header.strip().lower()
     return any(hint in lowered for hint in CURRENCY_HINTS)

@@ -47,16 +47,18 @@ def scan_delimited(
     without it large files are split.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    return (
-        spark.read.schema(schema)
-        .option("header", "true").option("enforceSchema", "true")
-        .option("sep", separator).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"')
-        .option("multiLine", str(multiline).lower())
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-        .csv(paths if isinstance(paths, list) else [paths])
-    )
+    reader = spark.read.schema(schema)
+    for key, value in text_options(separator, encoding, multiline).items():
+        reader = reader.option(key, value)
+    return reader.csv(paths if isinstance(paths, list) else [paths])
+
+
+def text_options(separator: str, encoding: str, multiline: bool) -> dict[str, str]:
+    return {
+        "header": "true", "enforceSchema": "true", "sep": separator, "encoding": encoding, "quote": '"', "escape": '"',
+        "multiLine": str(multiline).lower(), "mode": "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
 
 
 def scan_folder(spark: SparkSession, *paths: str, refused: str = "raise", **limits) -> list[tuple[Layout, DataFrame]]:

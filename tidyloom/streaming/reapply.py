@@ -16,20 +16,34 @@ from pyspark.sql.streaming import StreamingQuery
 from tidyloom.errors import RecipeError
 from tidyloom.model import HIDDEN, col
 from tidyloom.operators import metrics as metric_ops
+from tidyloom.operators.infer import Strategy, coerce
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.frame import SOURCE, OrderKey, frame_of
+from tidyloom.sources.delimited import text_options
 
 BATCH = "batch"
 POSITION = HIDDEN + "position"
+BLOCK = HIDDEN + "block"
+# Files that one batch takes at most, also when many are waiting.
+FILES_PER_BATCH = 1000
 
 
 def read_arriving(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def read_arriving_text(
+    spark: SparkSession, path: str, strategies: dict[str, Strategy], separator: str = ",", encoding: str = "UTF-8",
+    files_per_batch: int = FILES_PER_BATCH,
+) -> DataFrame:
+    """Arriving delimited files with a header line, still as text; the columns are those of the strategies."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in strategies])
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    for key, value in text_options(separator, encoding, multiline=True).items():
+        reader = reader.option(key, value)
+    return reader.csv(path)
 
 
 def stream_rows(arriving: DataFrame, recipe: dict, types: dict[str, str] | None = None) -> DataFrame:
@@ -42,17 +56,21 @@ def stream_rows(arriving: DataFrame, recipe: dict, types: dict[str, str] | None
 def reapply_arriving(
     arriving: DataFrame, recipe: dict, output: str, checkpoint: str,
     types: dict[str, str] | None = None, once: bool = False, interval: str = "1 minute",
+    strategies: dict[str, Strategy] | None = None,
 ) -> StreamingQuery:
     """Run any recipe on every arriving file and keep results and metrics per file.
 
     Each batch writes to folders of its own and replaces them when it is repeated
-    after a failure, so nothing is lost or doubled.
+    after a failure, so nothing is lost or doubled. ``strategies`` convert text cells as
+    those of an earlier file were.
     """
     recipes.validate(recipe)
 
     def process(batch: DataFrame, number: int) -> None:
-        frame = frame_of(batch, types, group_by=[SOURCE])
-        frame = replace(frame, anchor=(OrderKey(SOURCE), OrderKey(POSITION)))
+        # Read and converted once, for the rows as well as the metrics.
+        held = _placed(batch).persist()
+        frame = frame_of(coerce(held, strategies) if strategies else held, types, group_by=[SOURCE])
+        frame = replace(frame, anchor=(OrderKey(SOURCE), OrderKey(BLOCK), OrderKey(POSITION)))
         frame = recipes.apply_steps(frame, recipe)
         rows = frame.df.select(*map(col, frame.schema.names), col(frame.group[0]).alias("source_file"))
         rows.write.mode("overwrite").parquet(f"{output}/rows/{BATCH}={number}")
@@ -60,6 +78,7 @@ def reapply_arriving(
         if wanted:
             measured = metric_ops.compute(frame, wanted)
             measured.write.mode("overwrite").parquet(f"{output}/metrics/{BATCH}={number}")
+        held.unpersist()
 
     writer = positioned(arriving).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
@@ -67,7 +86,13 @@ def reapply_arriving(
 
 def positioned(arriving: DataFrame) -> DataFrame:
     """Add file and position in the file, which a batch no longer offers by itself."""
+    fields = arriving.select("_metadata").schema[0].dataType.names
+    known = [F.col("_metadata.row_index").alias(POSITION)] if "row_index" in fields else []
     return arriving.select(
-        *map(col, arriving.columns),
-        F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.row_index").alias(POSITION),
+        *map(col, arriving.columns), F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias(BLOCK), *known
     )
+
+
+def _placed(batch: DataFrame) -> DataFrame:
+    """Rows of text files have no number of their own; their order in the task gives one."""
+    return batch if POSITION in batch.columns else batch.withColumn(POSITION, F.monotonically_increasing_id())
