@@ -106,12 +106,12 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, rows: int, m
     schema = joined.select(key, *marks, F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("value")).schema
     found = sorted(joined.mapInArrow(run, schema).collect(), key=lambda r: (r[0], r["at"], r["value"]))
     at = [np.frombuffer(r["at"], "<i4") for r in found]
-    row = np.repeat(np.arange(len(found)), [len(a) for a in at])
-    empty = np.zeros(0)
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(a) for a in at])
+    none = np.zeros(0, np.float32)
     return (
         [tuple(r[m] for m in marks) for r in found], row,
-        np.concatenate(at) if at else empty.astype(int),
-        np.concatenate([np.frombuffer(r["value"], "<f4") for r in found]).astype(float) if found else empty,
+        np.concatenate(at) if at else none.astype(np.int32),
+        np.concatenate([np.frombuffer(r["value"], "<f4") for r in found]) if found else none,
     )
 
 
@@ -121,20 +121,20 @@ class Selected:
     def __init__(self, rows: int, row: np.ndarray, at: np.ndarray, value: np.ndarray, mark: np.ndarray, most: int, damp: float, least: int = 5):
         often = np.bincount(at, minlength=SIZE)
         mean = np.bincount(at, value, minlength=SIZE) / max(1, rows)
-        centred = mark - mark.mean()
+        centred = (mark - mark.mean()).astype(np.float32)
         together = np.bincount(at, value * centred[row], minlength=SIZE)
         spread = np.sqrt(np.bincount(at, value**2, minlength=SIZE) * max(centred.var(), 1e-12)) + 1e-12
         telling = np.where(often >= least, np.abs(together / spread), 0)
         order = np.argsort(-telling, kind="stable")[:most]
         self.index = np.sort(order[telling[order] > 0])
         # Rare features are scaled up less than their rarity asks for, by ``damp``.
-        self.scale = 1 / np.sqrt(mean[self.index] + damp)
+        self.scale = (1 / np.sqrt(mean[self.index] + damp)).astype(np.float32)
         column = np.full(SIZE, -1)
         column[self.index] = np.arange(len(self.index))
         mine = column[at] >= 0
         self.matrix = np.zeros((rows, len(self.index)), np.float32)
         self.matrix[row[mine], column[at[mine]]] = value[mine]
-        self.matrix *= self.scale.astype(np.float32)
+        self.matrix *= self.scale
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         """Weights over all features for those of the matrix."""

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidyloom.llm import features
 
 #: Labelled documents that the models are fitted on, at most.
-ROWS = 10000
+ROWS = 6000
 #: Features that a model may use.
 FEATURES = 800
 DAMP = 1e-4
