@@ -33,13 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
+    drop_at_end(spark, folder)
     return folder
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the session's file system is closed."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def cut_lineage(df):
     """Materialise ``df`` reliably, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

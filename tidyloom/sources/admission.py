@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import io
 import struct
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers get the functions themselves and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Limits on archives, separators in order of preference, extensions.
 MAX_RATIO = 150
 MAX_EXPANDED = 2 * 1024**3
