@@ -92,7 +92,9 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, rows: int, m
     Returns the marks of each document, and for all features the document, index and
     density. Only the chosen keys are broadcast, so the bound is ``rows``.
     """
-    chosen = labels.where(F.col(key).isNotNull()).select(key, *marks).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows)
+    # Of labels that contradict each other the larger marks count, on every run.
+    single = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*marks)).alias("m")).select(key, "m.*")
+    chosen = single.orderBy(F.xxhash64(key), key).limit(rows)
     joined = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
