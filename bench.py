@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -17,7 +16,7 @@ from catalog.registry import condition, keep, recipe, spark_money, table  # noqa
 from tidyloom.operators import access, fleet, metrics, profile  # noqa: E402
 from tidyloom.operators.infer import coerce  # noqa: E402
 from tidyloom.plans import recipe as recipes  # noqa: E402
-from tidyloom.session import configure  # noqa: E402
+from tidyloom.session import configure, shared_folder  # noqa: E402
 from tidyloom.sinks import export  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -93,7 +92,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    scratch = shared_folder(spark)
     times = {}
     for name, run in headline(spark, scratch).items():
         taken = []
