@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import saved, whole
@@ -41,6 +41,10 @@ SIMILAR = 0.8
 CHUNK = 1 << 20
 #: Draws for an empty bin before its neighbours are asked.
 DRAWS = 64
+#: Parts of the hash range by which shingles are counted, to bound what two lines share.
+#: A count is a row of one bits, up to MOST of them, eight counts to a number.
+MOST, NUMBERS = 8, 16
+PARTS = 8 * NUMBERS
 
 EMPTY = np.iinfo(np.uint64).max
 
@@ -73,9 +77,8 @@ def _filled(minima: np.ndarray) -> np.ndarray:
     return minima
 
 
-def bands(listed: list[str]) -> np.ndarray:
-    """(lines, BANDS) hashes of the bands of every line."""
-    bins = BANDS * ROWS
+def _hashed(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, hash) of every shingle of every line."""
     points = np.frombuffer("".join(x + "\n" * max(1, SHINGLE - len(x)) for x in listed).encode("utf-32-le"), np.uint32)
     length = np.fromiter(map(len, listed), np.int64, len(listed))
     stride = length + np.maximum(1, SHINGLE - length)
@@ -85,7 +88,13 @@ def bands(listed: list[str]) -> np.ndarray:
     count = np.maximum(1, length - SHINGLE + 1)
     owner = np.repeat(np.arange(len(listed)), count)
     at = np.arange(len(owner)) + np.repeat(first - np.cumsum(count) + count, count)
-    values = mix((sums[at + SHINGLE] - sums[at]) * inverse[at])
+    return owner, mix((sums[at + SHINGLE] - sums[at]) * inverse[at])
+
+
+def bands(listed: list[str]) -> np.ndarray:
+    """(lines, BANDS) hashes of the bands of every line."""
+    bins = BANDS * ROWS
+    owner, values = _hashed(listed)
     slot = ((values >> U(32)) * U(bins) >> U(32)).astype(np.int64)
     minima = np.full(len(listed) * bins, EMPTY, U)
     np.minimum.at(minima, owner * bins + slot, values)
@@ -93,6 +102,35 @@ def bands(listed: list[str]) -> np.ndarray:
     return mix((minima * powers(WORD, ROWS)).sum(axis=2, dtype=U) + np.arange(1, BANDS + 1, dtype=U))
 
 
+def counts(listed: list[str]) -> np.ndarray:
+    """(lines, PARTS) numbers of different shingles whose hash falls into each part."""
+    owner, values = _hashed(listed)
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])))[: len(owner)]
+    part = (values[new] % U(PARTS)).astype(np.int64)
+    return np.bincount(owner[new] * PARTS + part, minlength=len(listed) * PARTS).reshape(len(listed), PARTS)
+
+
+PACKED = [f"parts{i}" for i in range(NUMBERS)]
+
+
+def packed(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, NUMBERS) counts as bits, and per line the sum of what is beyond MOST."""
+    bits = (U(1) << np.minimum(found, MOST).astype(U)) - U(1)
+    shifted = bits.reshape(len(found), NUMBERS, 8) << (U(8) * np.arange(8, dtype=U))
+    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64), np.maximum(found - MOST, 0).sum(axis=1)
+
+
+def _shared_at_most() -> Column:
+    """Sum of the smaller counts of two lines, over all parts: a bound on shingles they share.
+
+    Common bits of two counts are the smaller count; beyond the bits the smaller sum is enough.
+    """
+    common = [F.bit_count(F.col(f"{name}_a").bitwiseAND(F.col(f"{name}_b"))) for name in PACKED]
+    return sum(common[1:], common[0]) + F.least("over_a", "over_b")
+
+
 def _id(line: str) -> tuple[int, int]:
     """128-bit hash of a line as two signed numbers; the first names it in links."""
     digest = xxhash.xxh3_128_digest(line.encode())
@@ -114,7 +152,7 @@ def _banded(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(made.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "line"])
                     waiting, held = {}, 0
 
-    return docs.mapInArrow(run, "bucket long, line long")
+    return docs.mapInArrow(run, "bucket long not null, line long not null")
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
@@ -134,7 +172,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
 
 
 def _texts(joined: DataFrame) -> DataFrame:
-    """(line, text) of the lines whose numbers a document's ``want`` names."""
+    """(line, text, size, over, packed counts) of the lines whose numbers a document's ``want`` names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = [], []
@@ -142,9 +180,12 @@ def _texts(joined: DataFrame) -> DataFrame:
                 own = text.decode().split("\n")
                 ids += [w["line"] for w in want]
                 texts += [own[w["no"]] for w in want]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["line", "text"])
+            found = counts(texts) if texts else np.zeros((0, PARTS), np.int64)
+            parts, over = packed(found)
+            shown = [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(found.sum(axis=1)), pa.array(over)]
+            yield pa.RecordBatch.from_arrays([*shown, *map(pa.array, parts.T)], ["line", "text", "size", "over", *PACKED])
 
-    return joined.mapInArrow(run, "line long, text string")
+    return joined.mapInArrow(run, "line long, text string, size long, over long, " + ", ".join(f"{n} long" for n in PACKED))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,23 +219,34 @@ def line_classes(docs: DataFrame, found: DataFrame, packed: DataFrame) -> DataFr
     place = F.min(F.struct("k1", "k2", "no")).alias("at")
     want = found.join(wanted, "line").groupBy("line").agg(place).groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("line", "at.no")).alias("want"))
     # Equal documents give a line once each.
-    texts = saved(_texts(packed.join(want, ["k1", "k2"]).select("text", "want")).groupBy("line").agg(F.min("text").alias("text")))
+    texts = saved(_texts(packed.join(want, ["k1", "k2"]).select("text", "want")).groupBy("line").agg(F.min(F.struct("text", "size", "over", *PACKED)).alias("x")).select("line", "x.*"))
 
     stars = _verified(shared.select(F.col("rep").alias("a"), F.col("line").alias("b")).distinct(), texts)
     links = _linked(stars)
     roots = saved(components(links))
 
     # Pairs of a bucket in different components, near enough to its smallest line both.
-    known = shared.join(stars.withColumnsRenamed({"a": "rep", "b": "line"}), ["rep", "line"]).join(
+    known = shared.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("line"), "distance"), ["rep", "line"]).join(
         roots.withColumnRenamed("node", "line"), "line", "left"
     ).select("bucket", "line", "distance", F.coalesce("root", "line").alias("root"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    open_ = known.join(mixed, "bucket")
-    one, other = (open_.select("bucket", F.col("line").alias(s), F.col("root").alias(f"root_{s}"), F.col("distance").alias(f"from_{s}")) for s in "ab")
+    mixed = saved(known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket"))
+    open_ = saved(known.join(mixed, "bucket").join(texts.drop("text"), "line"))
+    one, other = (
+        open_.select("bucket", F.col("line").alias(s), F.col("distance").alias(f"from_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "size", "over", *PACKED)))
+        for s in "ab"
+    )
     near = F.abs(F.col("from_a") - F.col("from_b")) <= 1 - SIMILAR + 1e-9
-    rest = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
-    more = _linked(_verified(saved(rest), texts))
-    return components(links.unionByName(more)).select(F.col("node").alias("line"), "root")
+    # Lines share at most the smaller count of each part; that bounds their similarity from above.
+    share = _shared_at_most()
+    may = share >= SIMILAR * (F.col("size_a") + F.col("size_b") - share) - 1e-9
+    rest = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & may)
+    rest = saved(rest.select("a", "b", "root_a", "root_b").distinct())
+    more = _linked(_verified(rest.select("a", "b"), texts)).join(rest, ["a", "b"])
+    # New links join components as wholes.
+    joined = saved(components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    lines_ = roots.unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
+    final = lines_.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return final.select(F.col("node").alias("line"), F.coalesce("top", "root").alias("root")).distinct()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
