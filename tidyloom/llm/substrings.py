@@ -171,17 +171,18 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 def _spans(keyed: DataFrame, window: int) -> DataFrame:
     """(k1, k2, spans): per text the places of its repeated windows."""
     seeds = saved(_zones(keyed.select("__k1", "__k2", whole("text").alias("text")), window))
-    often = seeds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    # Kept as tables of their own, so that joins can split a frequent anchor among tasks.
+    often = saved(seeds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     seeds = saved(seeds.join(often, "a"))
     kinds = saved(seeds.groupBy("a", "z").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "place")).alias("at")))
     whole_zones = seeds.join(kinds.where("m > 1").select("a", "z"), ["a", "z"]).select("k1", "k2", "place").distinct()
     # An anchor whose zones differ, with one zone at least that has no equal.
-    unsettled = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where("n > 1 AND least = 1").select("a")
+    unsettled = saved(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where("n > 1 AND least = 1").select("a"))
     opened = kinds.join(unsettled, "a").select("at.k1", "at.k2", F.struct("at.place", "a", "m").alias("x")).groupBy("k1", "k2").agg(F.collect_list("x").alias("open"))
     texts = _packed(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), whole("text").alias("text")))
     # Copies of a text open the same zones, so each place is taken once.
     single = saved(_windows(texts.join(opened, ["k1", "k2"]), window).groupBy("a", "w", "k1", "k2", "s").agg(F.max("m").alias("m")))
-    again = single.groupBy("a", "w").agg(F.sum("m").alias("n")).where("n > 1").select("a", "w")
+    again = saved(single.groupBy("a", "w").agg(F.sum("m").alias("n")).where("n > 1").select("a", "w"))
     parts = single.where("m = 1").join(again, ["a", "w"]).select("k1", "k2", F.shiftleft("s", BITS).alias("place"))
     return whole_zones.unionByName(parts).groupBy("k1", "k2").agg(F.collect_list("place").alias("spans"))
 
