@@ -37,6 +37,41 @@ def test_odd_pages(page, text):
     assert main_text.extract(page) == text
 
 
+STORY = "<article><h1>Title of it</h1><p>The first paragraph of the story, long enough.</p></article>"
+STORY_TEXT = "Title of it\nThe first paragraph of the story, long enough."
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>x</title><body>{STORY}",
+    f"<html><head><title>x</title><meta charset=utf-8>{STORY}",
+    f"<head><title>x</title><script>1</script><noscript><link rel=a></noscript><body>{STORY}</body>",
+    f"<head><title>x</title><noscript><style>p{{}}</style><body>{STORY}",
+    f"<head><title>x</title><span></span>{STORY}",
+    f"<head><template><p>Not to be read, as it is a template.</p></template><body>{STORY}",
+])
+def test_head_ends_without_its_tag(page):
+    assert main_text.extract(page) == STORY_TEXT
+    assert main_text.extract("<head><title>x</title>Some plain words that stand alone, on a page of no markup at all.") != ""
+
+
+def test_self_closed_drawings_are_empty():
+    for drawing in ('<svg class="icon" />', "<svg/>", "<math/>", '<svg width=1><title/><style/></svg>', "<svg><path d=1/></svg>"):
+        assert main_text.extract(f"<body>{drawing}<div>{drawing}{STORY}</div>") == STORY_TEXT
+    # A slash at the end of an unquoted value closes nothing.
+    assert main_text.extract(f"<body><svg class=a/><text>Not to be read.</text></svg>{STORY}") == STORY_TEXT
+
+
+def test_forms_around_a_page():
+    search = "<div><label>Find</label><input><p>Please fill in all of the form, every part of it.</p></div>"
+    menu = '<nav><a href="/">Home</a></nav>'
+    for page in (STORY, f"<main>{STORY}</main>", f"<div>{STORY}</div>", STORY.replace("article>", "div>")):
+        assert main_text.extract(f'<body><form id="aspnetForm" action="x">{menu}{page}<footer>(c)</footer></form>') == STORY_TEXT
+    # Other forms stay out, as do hidden ones and what is hidden in them.
+    assert main_text.extract(f"<body><form>{search}</form>{STORY}<form>{search}</form>") == STORY_TEXT
+    assert main_text.extract(f"<body><form>{STORY.replace('</article>', '')}<form>{search}</form></article></form>") == STORY_TEXT
+    assert main_text.extract(f"<form hidden>{STORY}</form>") == main_text.extract(f"<form><div hidden>{STORY}</div></form>") == ""
+
+
 def test_pages_without_hints_keep_fluent_text():
     body = "<h1>Some head line</h1><p>This is the first paragraph of the story, long enough to be taken as text.</p><p>Then it ended.</p>" \
            "<p>And this is the last paragraph, which is also long enough, one would think.</p>"

@@ -6,8 +6,10 @@ and following blocks of one parent, are joined by edges that weaken with their d
 the document tree. The minimum cut separates content from the rest: short paragraphs stay
 with their article, and a fluent sentence in a menu goes with the menu.
 
-Scripts, styles, forms and hidden parts never become blocks. Character references are
-decoded, white space inside a block becomes one space, blocks are joined by a line feed.
+Scripts, styles and hidden parts never become blocks, nor do forms, but for one around the
+page: one that holds an article or main element, or any if there is no content outside forms.
+Character references are decoded, white space inside a block becomes one space, blocks are
+joined by a line feed.
 
 Defined cases: a null or empty page has an empty text; markup that is cut off or badly
 nested is read as far as it goes; repeated rows get equal results. Columns of the input with
@@ -41,6 +43,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their end tag, never markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = RAW | frozenset("head noscript template svg math canvas object form select option button datalist audio video map dialog".split())
+#: Elements that may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Elements of other languages, where a tag may close itself.
+FOREIGN = frozenset("svg math".split())
+#: A tag ends in an unquoted value, of which a slash at the end is part.
+UNQUOTED = re.compile(r"=\s*[^\s\"']*\Z")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br"
@@ -68,7 +76,7 @@ NEXT, SIBLING = 1.0, 1.0
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "apart", "main", "dropped", "last")
+    __slots__ = ("name", "parent", "depth", "apart", "main", "article", "dropped", "foreign", "form", "wide", "last")
 
     def __init__(self, name: str, parent: Element | None, names: set[str], hidden: bool):
         self.name, self.parent = name, parent
@@ -76,7 +84,16 @@ class Element:
         main = bool(parent and parent.main)
         self.main = main or name in MAIN or bool(names & MAIN_NAMES)
         self.apart = bool(parent and parent.apart) or name in APART or bool(names & APART_NAMES) or (name == "header" and not main)
+        self.article = bool(parent and parent.article) or name in MAIN
+        self.form: Element | None = parent.form if parent else None
         self.dropped = hidden or bool(parent and parent.dropped) or name in DROPPED
+        if name == "form" and not (self.article or self.form or hidden or parent.dropped):
+            # It may turn out to be around the page.
+            self.form, self.dropped = self, False
+        self.wide = False
+        if name in MAIN and self.form and not self.dropped:
+            self.form.wide = True
+        self.foreign = bool(parent and parent.foreign) or name in FOREIGN
         self.last: int | None = None
 
 
@@ -101,8 +118,8 @@ def _marks(rest: str) -> tuple[set[str], bool]:
     return names, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order."""
+def blocks(page: str, forms: bool = False) -> list[Block]:
+    """Text blocks of a page in order, without those of forms unless one is around the page or ``forms`` is set."""
     root = Element("", None, set(), False)
     at, found, pieces, linked, in_link, place = root, [], [], 0, False, 0
 
@@ -118,6 +135,8 @@ def blocks(page: str) -> list[Block]:
     while True:
         token = TOKEN.search(page, place)
         raw = page[place : token.start() if token else len(page)]
+        if at.name == "head" and raw.strip():
+            at = at.parent
         if raw and not at.dropped:
             piece = html.unescape(raw) if "&" in raw else raw
             pieces.append(piece)
@@ -131,6 +150,16 @@ def blocks(page: str) -> list[Block]:
         name, ends = name.lower(), bool(token["end"] or token["end2"])
         if name == "a":
             in_link = not ends
+        if not ends and name not in HEAD:
+            if at.name == "head":
+                at = at.parent
+            elif name == "body":
+                # It ends a head with all that is left open there.
+                up = at
+                while up.parent is not None and up.name not in ("head", "template"):
+                    up = up.parent
+                if up.name == "head":
+                    at = up.parent
         if name not in BLOCKS and name not in DROPPED:
             # An inline element matters only for what it hides or sets apart.
             rest = token["rest"] or token["rest2"] or ""
@@ -166,14 +195,16 @@ def blocks(page: str) -> list[Block]:
             if up.name == "p":
                 at = up.parent
         rest = token["rest"] or token["rest2"] or ""
+        if rest.endswith("/") and (at.foreign or name in FOREIGN) and not UNQUOTED.search(rest):
+            continue
         names, hidden = _marks(rest) if rest else (set(), False)
         if name in RAW:
             close = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, place)
             place = close.end() if close else len(page)
-        elif not rest.endswith("/") or name not in VOID:
+        else:
             at = Element(name, at, names, hidden)
     flush()
-    return found
+    return [b for b in found if forms or b.element.form is None or b.element.form.wide]
 
 
 def odds(block: Block) -> float:
@@ -279,6 +310,15 @@ def _max_flow(nodes: list[int], source: list[float], sink: list[float], near: li
 def extract(page: str | None) -> str:
     """The blocks on the content side of the cut, one a line."""
     found = blocks(page or "")
+    text = _content(found)
+    if not text:
+        # Without content elsewhere a form may be around the page, which then is read as if it had none.
+        every = blocks(page or "", forms=True)
+        text = _content(every) if len(every) > len(found) else ""
+    return text
+
+
+def _content(found: list[Block]) -> str:
     if not found:
         return ""
     chance = [odds(b) for b in found]
