@@ -72,6 +72,29 @@ def test_forms_around_a_page():
     assert main_text.extract(f"<form hidden>{STORY}</form>") == main_text.extract(f"<form><div hidden>{STORY}</div></form>") == ""
 
 
+@pytest.mark.parametrize("page", [
+    f"<body class='right-sidebar'>{STORY}", f"<html class='no-banner'><body>{STORY}",
+    f"<div class='content-sidebar-wrap'><main>{STORY}</main></div>", f"<main aria-label='Search results'>{STORY}</main>",
+    f"<div class='content-sidebar-wrap'><div>{STORY}</div></div>", f"<main><div class='content-sidebar-wrap'>{STORY}</div></main>",
+    STORY.replace("<article", "<article class='post tag-social'"),
+    f"<div class='content-sidebar-wrap'><main>{STORY.replace('article>', 'div>')}</main></div>",
+    f"<div class='has-comments'>{STORY}</div>",
+])
+def test_names_around_the_article(page):
+    assert main_text.extract(page) == STORY_TEXT
+
+
+def test_names_beside_or_in_the_article():
+    other = "<p>Another text of some length that nobody asked for, with all its many words.</p>"
+    for beside in (f"<div class='sidebar'>{other}</div>", f"<div id='comments'><article class='comment'>{other}</article></div>",
+                   f"<div id='comments'><article>{other * 4}</article></div>", f"<div class='related'><article>{other}</article></div>",
+                   f"<div class='sidebar'><article>{other}</article></div>", f"<nav>{STORY}</nav>", f"<aside><article>{other}</article></aside>"):
+        for page in (f"{STORY}{beside}", f"<main>{STORY}{beside}</main>", f"<body class='right-sidebar'><div class='sidebar-wrap'>{STORY}{beside}</div>",
+                     f"<div class='sidebar-wrap'>{beside}<main>{STORY}</main></div>", STORY.replace("</article>", f"{beside}</article>"),
+                     f"<main>{STORY.replace('article>', 'div>')}{beside}</main>"):
+            assert main_text.extract(page) == STORY_TEXT
+
+
 def test_pages_without_hints_keep_fluent_text():
     body = "<h1>Some head line</h1><p>This is the first paragraph of the story, long enough to be taken as text.</p><p>Then it ended.</p>" \
            "<p>And this is the last paragraph, which is also long enough, one would think.</p>"

@@ -66,6 +66,10 @@ APART_NAMES = frozenset(
     " sponsor sponsored subscribe subscription tags teaser toolbar topbar widget alert complementary contentinfo navigation banners"
     .split()
 )
+#: Elements whose names say how a page is laid out, not what they hold.
+PAGE = frozenset("html body main".split())
+#: Names of what follows an article and may hold articles of its own.
+AFTER_NAMES = frozenset("comment comments commentlist disqus discussion recommended related replies reply respond".split())
 MAIN = frozenset("article main".split())
 MAIN_NAMES = frozenset("article content entry main post story maincontent articlebody postbody".split())
 
@@ -76,18 +80,22 @@ NEXT, SIBLING = 1.0, 1.0
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "apart", "main", "article", "dropped", "foreign", "form", "wide", "last")
+    __slots__ = ("name", "parent", "depth", "firm", "named", "apart", "main", "inner", "article", "dropped", "foreign", "form", "wide", "last")
 
     def __init__(self, name: str, parent: Element | None, names: set[str], hidden: bool):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         main = bool(parent and parent.main)
         self.main = main or name in MAIN or bool(names & MAIN_NAMES)
-        self.apart = bool(parent and parent.apart) or name in APART or bool(names & APART_NAMES) or (name == "header" and not main)
-        self.article = bool(parent and parent.article) or name in MAIN
+        #: Set apart by what it or an element around it is; ``named`` by its own names, which ``set_apart`` weighs.
+        self.firm = self.apart = bool(parent and parent.firm) or name in APART or (name == "header" and not main)
+        self.named = frozenset() if name in PAGE else APART_NAMES & names
+        self.inner = bool(parent and parent.inner) or name in MAIN
+        #: The outermost article element around it, or itself.
+        self.article: Element | None = (parent.article if parent else None) or (self if name == "article" else None)
         self.form: Element | None = parent.form if parent else None
         self.dropped = hidden or bool(parent and parent.dropped) or name in DROPPED
-        if name == "form" and not (self.article or self.form or hidden or parent.dropped):
+        if name == "form" and not (self.inner or self.form or hidden or parent.dropped):
             # It may turn out to be around the page.
             self.form, self.dropped = self, False
         self.wide = False
@@ -121,7 +129,7 @@ def _marks(rest: str) -> tuple[set[str], bool]:
 def blocks(page: str, forms: bool = False) -> list[Block]:
     """Text blocks of a page in order, without those of forms unless one is around the page or ``forms`` is set."""
     root = Element("", None, set(), False)
-    at, found, pieces, linked, in_link, place = root, [], [], 0, False, 0
+    at, made, found, pieces, linked, in_link, place = root, [], [], [], 0, False, 0
 
     def flush() -> None:
         nonlocal linked, in_link
@@ -168,6 +176,7 @@ def blocks(page: str, forms: bool = False) -> list[Block]:
                 if hidden or names & APART_NAMES:
                     flush()
                     at = Element(name, at, names, hidden)
+                    made.append(at)
             elif ends and at.name == name:
                 flush()
                 at = at.parent or root
@@ -203,8 +212,57 @@ def blocks(page: str, forms: bool = False) -> list[Block]:
             place = close.end() if close else len(page)
         else:
             at = Element(name, at, names, hidden)
+            made.append(at)
     flush()
-    return [b for b in found if forms or b.element.form is None or b.element.form.wide]
+    found = [b for b in found if forms or b.element.form is None or b.element.form.wide]
+    set_apart(made, found)
+    return found
+
+
+def set_apart(made: list[Element], found: list[Block]) -> None:
+    """Set apart what elements or names say, but for names of what contains the main element or article.
+
+    The main article is one that has half the text of the longest at least, and fewest names
+    around it. Articles among comments or related ones count if there is no other content.
+    """
+    around: set[Element] = set()
+
+    def clear(element: Element | None) -> None:
+        while element is not None and element not in around:
+            around.add(element)
+            element = element.parent
+
+    def mark() -> None:
+        for e in made:
+            e.apart = e.firm or e.parent.apart or (bool(e.named) and e not in around)
+
+    for e in made:
+        if e.name == "main" and not e.firm and not e.dropped:
+            clear(e.parent)
+    mark()
+    if not any(e.article is e and e.apart and not e.firm for e in made):
+        return
+    size: dict[Element, int] = {}
+    elsewhere = 0
+    for b in found:
+        article = b.element.article
+        if article is None:
+            elsewhere += len(b.text) if odds(b) > 0 else 0
+        elif not b.element.firm:
+            size[article] = size.get(article, 0) + len(b.text)
+    names: dict[Element, list[frozenset[str]]] = {}
+    for article in size:
+        up, names[article] = article, []
+        while up is not None:
+            if up.named and up not in around:
+                names[article].append(up.named)
+            up = up.parent
+    first = [a for a in size if not AFTER_NAMES & frozenset().union(*names[a])]
+    choice = first or ([] if elsewhere else list(size))
+    longest = max([elsewhere, *(size[a] for a in choice)])
+    if choice and 2 * elsewhere < longest:
+        clear(min((a for a in choice if 2 * size[a] >= longest), key=lambda a: (len(names[a]), -size[a])))
+        mark()
 
 
 def odds(block: Block) -> float:
