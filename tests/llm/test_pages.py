@@ -95,6 +95,26 @@ def test_names_beside_or_in_the_article():
             assert main_text.extract(page) == STORY_TEXT
 
 
+@pytest.mark.parametrize("rest", [
+    'data-title="The hidden life of trees"', 'title="Hidden gems"', "title='A class=ad of its own'", 'data-hidden="false"', "data-hidden",
+    'data-class="sidebar"', "data-a=1 title=hidden", 'title="x hidden', 'aria-hidden="false"', 'class="overflow-hidden"', 'class="post" class="sidebar"',
+    "data-style='display:none'", "x-role=navigation", 'title = "id=comments" lang=en', "title='hidden'data-x", "href=/hidden/role=nav",
+])
+def test_only_whole_attribute_names_count(rest):
+    names, hidden = main_text._marks(" " + rest)
+    assert not hidden and not names & main_text.APART_NAMES
+    assert main_text.extract(f"<section {rest}>{STORY}</section>") == STORY_TEXT
+    assert main_text.extract(STORY.replace("<h1", f"<h1 {rest}")) == STORY_TEXT
+
+
+@pytest.mark.parametrize("rest", [
+    "hidden", "HIDDEN", 'hidden=""', "hidden/", 'title="x"hidden', "title=x\nhidden", 'style="color:red; display : none"', "style=display:none",
+    "aria-hidden = 'true'", 'title="a=b" data-x hidden class=y', "title='' hidden", "= hidden",
+])
+def test_hidden_elements_stay_out(rest):
+    assert main_text.extract(f"<div {rest}>{STORY}</div>") == ""
+
+
 def test_pages_without_hints_keep_fluent_text():
     body = "<h1>Some head line</h1><p>This is the first paragraph of the story, long enough to be taken as text.</p><p>Then it ended.</p>" \
            "<p>And this is the last paragraph, which is also long enough, one would think.</p>"

@@ -36,7 +36,9 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, name and value; a quote that is not closed goes on to the end.
+ATTRIBUTE = re.compile(r"(=?[^ \t\n\r\f/=]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^ \t\n\r\f\"']\S*)))?")
+NAMED_BY = frozenset("class id role aria-label".split())
 PART = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,14 +116,19 @@ class Block:
 
 def _marks(rest: str) -> tuple[set[str], bool]:
     """Name parts in class, id, role and label, and whether the element is hidden."""
-    names, hidden = set(), False
+    names, hidden, seen = set(), False, set()
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), next((v for v in values if v), "").lower()
+        # Of an attribute that is given twice the first counts.
+        if key in seen:
+            continue
+        seen.add(key)
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             hidden = True
         elif key == "style":
-            hidden = hidden or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
-        elif key != "aria-hidden":
+            bare = "".join(value.split())
+            hidden = hidden or "display:none" in bare or "visibility:hidden" in bare
+        elif key in NAMED_BY:
             names.update(PART.split(value))
     return names, hidden
 
