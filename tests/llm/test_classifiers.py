@@ -82,3 +82,15 @@ def test_sample_is_bounded(data):
     marks, row, at, value = features.sample(docs, labels, "doc_id", "text", 50, ["quality"])
     assert len(marks) == 50 and row.max() == 49 and at.max() < features.SIZE and (value >= 0).all()
     assert docs.select(F.count("*")).first()[0] > 50
+
+
+def test_sample_takes_a_repeated_key_once(spark):
+    labels = spark.range(1, 11).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    single = spark.range(1, 11).selectExpr("id AS doc_id", "concat('a text of number ', id) AS text")
+    copies = spark.range(400).selectExpr("3L AS doc_id", "if(id % 2 = 0, 'a text of number 3', concat('b other text ', id)) AS text")
+    empty = spark.range(5).selectExpr("4L AS doc_id", "cast(NULL AS string) AS text")
+    want = features.sample(single, labels, "doc_id", "text", 10, ["quality"])
+    found = features.sample(single.union(copies).union(empty), labels, "doc_id", "text", 10, ["quality"])
+    assert len(found[0]) == 10 and found[0] == want[0]
+    assert all((a == b).all() for a, b in zip(found[1:], want[1:], strict=True))
+    assert len(features.sample(single.union(copies), labels, "doc_id", "text", 4, ["quality"])[0]) == 4

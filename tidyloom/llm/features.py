@@ -90,12 +90,15 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, rows: int, m
     """Features of at most ``rows`` labelled documents, chosen by a hash of their key.
 
     Returns the marks of each document, and for all features the document, index and
-    density. Only the chosen keys are broadcast, so the bound is ``rows``.
+    density. Only the chosen keys are broadcast, and a key that several documents have counts
+    once, with the least of their texts, so the bound is ``rows``.
     """
     # Of labels that contradict each other the larger marks count, on every run.
     single = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*marks)).alias("m")).select(key, "m.*")
     chosen = single.orderBy(F.xxhash64(key), key).limit(rows)
     joined = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    # Combined in the map tasks, so a hot key is one row for each of them.
+    joined = joined.groupBy(key, *marks).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
