@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import decontaminate, line_dedup, main_text, mixing, quality, rules, sharding, simhash, substrings, toxicity
+from tidyloom.llm import conversations, decontaminate, line_dedup, main_text, mixing, quality, rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).drop("text").withColumn("toxic", F.col("is_toxic"))
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    rows = conversations.damaged(table(spark, folder, "conversations"))
+    return conversations.summaries(rows, gone=F.col("gone"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -96,4 +102,5 @@ QUERIES: dict[str, Query] = {
     "op8_rules": op8_rules,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_conversations": op11_conversations,
 }
