@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import conversations, decontaminate, line_dedup, main_text, mixing, quality, rules, sharding, simhash, substrings, toxicity
+from tidyloom.llm import conversations, decontaminate, line_dedup, main_text, mixing, periodic, quality, rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,12 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.summaries(rows, gone=F.col("gone"))
 
 
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, some of them planted."""
+    docs = periodic.planted(table(spark, folder, "documents"))
+    return periodic.runs(docs, keep=False).drop("n_words")
+
+
 QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -103,4 +109,5 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op13_periodic": op13_periodic,
 }
