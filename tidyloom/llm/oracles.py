@@ -144,5 +144,87 @@ def op3_mixing() -> str:
     SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM mixed"""
 
 
-ORACLES = {"op3_mixing": op3_mixing(), "op5_substrings": op5_substrings(),
-    "op6_decontamination": op6_decontamination(), "op8_rules": op8_rules()}
+def op11_conversations() -> str:
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"
+    bare = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    # Costs, audits and repaired texts of what follows, per state: 0 nothing yet, s, u, a.
+    text = lambda role: f"'{role}:' || text"
+    option = lambda cost, letter, made, to: f"{{c: {cost} + {to}.c, l: '{letter}' || {to}.l, r: list_prepend({made}, {to}.r)}}"
+    never = "{c: 999999999999, l: '', r: []::VARCHAR[]}"
+
+    def row(state: str) -> str:
+        to, role = ("a", "assistant") if state == "u" else ("u", "user")
+        delete = f"{{c: 3 + p{state}.c, l: 'D' || p{state}.l, r: p{state}.r}}"
+        keep = f"CASE WHEN NOT gone AND i = '{to}' THEN {option('cut', 'K', "role || ':' || text", 'p' + to)} ELSE {never} END"
+        if state == "n":
+            keep += f", CASE WHEN NOT gone AND i = 's' THEN {option('cut', 'K', "role || ':' || text", 'ps')} ELSE {never} END"
+        rerole = f"CASE WHEN NOT gone THEN {option('2 + cut', 'R', text(role), 'p' + to)} ELSE {never} END"
+        return f"list_min([{delete}, {keep}, {rerole}])"
+
+    insert = lambda role, to: f"{{c: 2 + {to}.c, l: 'I' || {to}.l, r: list_prepend('{role}:', {to}.r)}}"
+    return f"""
+    WITH RECURSIVE bits AS (
+        SELECT n, n AS c, 0 AS k FROM range(256) AS x(n)
+        UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+    ), codes AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+    named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+    ), harmed AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM named, codes),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM harmed, range(2) AS copies(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, {bare} AS bare, role[1] AS i
+        FROM damaged
+    ), judged AS (
+        SELECT *, bare = '' AS blank, bare <> '' AND nth > 1 AS again,
+               bare <> '' AND nth = 1 AND bare[-1] NOT IN ('.', '!', '?') AS short,
+               row_number() OVER own AS pos, lag(i) OVER own AS before
+        FROM numbered WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth)
+    ), rows AS (
+        SELECT conv_id, pos, blank OR again AS gone, short::BIGINT AS cut, i, role, text FROM judged
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank,
+               count(*) FILTER (again)::BIGINT AS duplicate, count(*) FILTER (short)::BIGINT AS truncated,
+               count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, count(*) AS size
+        FROM judged GROUP BY conv_id
+    ), convs AS (SELECT DISTINCT conv_id FROM conversations),
+    solved AS (
+        SELECT v.conv_id, coalesce(size, 0) AS pos, {{c: 0::BIGINT, l: '', r: []::VARCHAR[]}} AS pn, {{c: 4::BIGINT, l: 'II', r: ['user:', 'assistant:']}} AS ps,
+               {{c: 2::BIGINT, l: 'I', r: ['assistant:']}} AS pu, {{c: 0::BIGINT, l: '', r: []::VARCHAR[]}} AS pa
+        FROM convs AS v LEFT JOIN counted AS c ON v.conv_id IS NOT DISTINCT FROM c.conv_id
+        UNION ALL
+        SELECT conv_id, pos, list_min([n, {insert("user", "u2")}]), list_min([s, {insert("user", "u2")}]), u2, a2 FROM (
+            SELECT *, list_min([u, {insert("assistant", "a")}]) AS u2, list_min([a, {insert("user", "u")}]) AS a2 FROM (
+                SELECT d.conv_id, d.pos - 1 AS pos, {row("n")} AS n, {row("s")} AS s, {row("u")} AS u, {row("a")} AS a
+                FROM solved AS d JOIN rows AS r ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND d.pos = r.pos
+            )
+        )
+    )
+    SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, pn.c AS cost, pn.l AS audit, sha256(array_to_string(pn.r, chr(10))) AS repaired_sha256
+    FROM solved AS s LEFT JOIN counted AS c ON s.conv_id IS NOT DISTINCT FROM c.conv_id WHERE s.pos = 0"""
+
+
+def op12_products() -> str:
+    return """
+    WITH points AS (
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.row, q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score
+        FROM points AS q JOIN points AS e ON q.row <> e.row WHERE q.vec_id % 20 = 0
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+ORACLES = {
+    "op3_mixing": op3_mixing(),
+    "op5_substrings": op5_substrings(),
+    "op6_decontamination": op6_decontamination(),
+    "op8_rules": op8_rules(),
+    "op11_conversations": op11_conversations(),
+    "op12_products": op12_products(),
+}

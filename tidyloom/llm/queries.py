@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import conversations, decontaminate, line_dedup, main_text, mixing, periodic, quality, rules, sharding, simhash, substrings, toxicity
+from tidyloom.llm import conversations, decontaminate, line_dedup, main_text, metric_search, mixing, periodic, quality, rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ SHARDS = 24
 POLICY = "v2"
 #: Lowest grade that selection keeps.
 GRADE = 1
+#: Every so-many-th vector is a query, for so many results.
+ASKED, RESULTS = 20, 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +93,12 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.summaries(rows, gone=F.col("gone"))
 
 
+def op12_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The highest inner products of every twentieth vector with all others."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return metric_search.top_products(rows, F.col("vec_id") % ASKED == 0, RESULTS)
+
+
 def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in every document, some of them planted."""
     docs = periodic.planted(table(spark, folder, "documents"))
@@ -109,5 +117,6 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op12_products": op12_products,
     "op13_periodic": op13_periodic,
 }
