@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,12 @@ def cut_lineage(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """The same as a table in the shared folder, whose size later plans know; it goes with the session."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ END_BYTES = 22 + 65535
 
 _ZIP_START = b"PK\x03\x04"
 _OLE_START = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
-_TEXT_FILES = "*.[cC][sS][vV]"
+TEXT_FILES = "*.[cC][sS][vV]"
 
 #: Characters of the Windows code page where it differs from Latin-1.
 _WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -44,9 +44,9 @@ def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> Dat
     """
     files = list_files(spark, *paths).withColumn("kind", _kind())
     lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _TEXT_FILES).text(list(paths))
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_FILES).text(list(paths))
         .select(
-            _same_form(F.col("_metadata.file_path")).alias("path"),
+            same_form(F.col("_metadata.file_path")).alias("path"),
             F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
             F.col("value").cast("binary").alias("line"),
         )
@@ -62,7 +62,7 @@ def admit_contents(files: DataFrame) -> DataFrame:
     split = named.where("kind = 'csv'").select(
         "path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\r\n|\r|\n")).alias("no", "latin")
     )
-    lines = split.select(_same_form(F.col("path")).alias("path"), F.struct("no").alias("at"), F.encode("latin", "ISO-8859-1").alias("line"))
+    lines = split.select(same_form(F.col("path")).alias("path"), F.struct("no").alias("at"), F.encode("latin", "ISO-8859-1").alias("line"))
     return _verdict(named.withColumn("large", F.lit(False)), lines)
 
 
@@ -70,7 +70,7 @@ def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
 
 
-def _same_form(path: Column) -> Column:
+def same_form(path: Column) -> Column:
     """Path without the differences in how Spark writes it."""
     return F.regexp_replace(F.coalesce(F.try_url_decode(path), path), "^file:/+", "file:/")
 
@@ -84,8 +84,8 @@ def _kind() -> Column:
 
 def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Files without a byte: the reader lists them, but gives no row for them."""
-    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(_same_form(F.col("path")).alias("path"))
-    seen = files.select(_same_form(F.col("path")).alias("path"))
+    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(same_form(F.col("path")).alias("path"))
+    seen = files.select(same_form(F.col("path")).alias("path"))
     none = F.lit(None).cast("string")
     return paths.join(seen, "path", "left_anti").select(
         "path", F.lit(0).cast("long").alias("length"), none.alias("kind"), none.alias("encoding"), none.alias("separator"),
@@ -94,6 +94,13 @@ def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     )
 
 
+def decoded(content: Column, encoding: Column) -> Column:
+    """Text of bytes in one of the encodings that files are judged to have."""
+    latin = F.decode(content, "ISO-8859-1")
+    windows = F.translate(latin, "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    return F.when(encoding == "UTF-8", F.decode(content, "UTF-8")).when(encoding == "windows-1252", windows).otherwise(latin)
+
+
 def judge_lines(lines: DataFrame) -> DataFrame:
     """How the lines ``(path, at, line)`` of each file are written; one aggregate, combined per task.
 
@@ -127,9 +134,7 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     )
     encoding = F.when(F.col("utf8"), "UTF-8").when(~F.col("undefined"), "windows-1252").otherwise("ISO-8859-1")
     found = F.filter(F.array(*(f"s{i}" for i in range(len(SEPARATORS)))), lambda s: s["times"] > 0)
-    first = F.decode("first", "ISO-8859-1")
-    windows = F.translate(first, "".join(_WINDOWS), "".join(_WINDOWS.values()))
-    header = F.when(F.col("utf8"), F.decode("first", "UTF-8")).when(~F.col("undefined"), windows).otherwise(first)
+    header = decoded(F.col("first"), encoding)
     return per_file.select(
         "path", encoding.alias("encoding"), F.coalesce(F.array_max(found)["sign"], F.lit(",")).alias("separator"),
         F.regexp_replace(header, "^\ufeff", "").alias("header"), "multiline", "zero",
@@ -152,7 +157,7 @@ def _archives(files: DataFrame) -> DataFrame:
 
     directory = F.when(is_zip & (F.col("kind") == "xlsx"), F.substr(content, (number(25) + 1).cast("int"), number(17).cast("int")))
     return found.select(
-        _same_form(F.col("path")).alias("path"), "start", is_zip.alias("is_zip"), (F.col("start") == F.lit(_OLE_START)).alias("is_ole"),
+        same_form(F.col("path")).alias("path"), "start", is_zip.alias("is_zip"), (F.col("start") == F.lit(_OLE_START)).alias("is_ole"),
         directory.alias("directory"),
     ).mapInPandas(_sizes, "path string, is_zip boolean, is_ole boolean, expanded double, ratio double")
 
@@ -178,7 +183,7 @@ def directory_sizes(directory: bytes) -> tuple[int | None, int | None]:
 
 def _verdict(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Verdicts for ``(path, length, content, kind, large)`` and the lines of the text files."""
-    listed = files.select("path", "length", "kind", "large", _same_form(F.col("path")).alias("same"))
+    listed = files.select("path", "length", "kind", "large", same_form(F.col("path")).alias("same"))
     written = judge_lines(lines).withColumnsRenamed({"path": "text_of"})
     packed = _archives(files.where(~F.col("large"))).withColumnRenamed("path", "archive_of")
     looked = listed.join(written, F.col("same") == F.col("text_of"), "left").join(packed, F.col("same") == F.col("archive_of"), "left")
