@@ -11,12 +11,12 @@ from catalog.registry import (
     MESSY_SQL, condition as c, group, keep, messy, recipe, register, spark_money, table,
 )
 from tidyloom.operators import access, fleet, history, metrics, profile
-from tidyloom.operators.infer import coerce, infer, normalize_missing, restored, stored
+from tidyloom.operators.infer import coerce, infer, infer_files, normalize_missing, restored, stored
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.ingest import ingest
-from tidyloom.session import shared_folder
+from tidyloom.session import shared_folder, written
 from tidyloom.sinks import export
-from tidyloom.sources import admission, delimited
+from tidyloom.sources import admission, delimited, records
 from tidyloom.sources.headers import normalize_headers
 from tidyloom.streaming import reapply as streaming
 
@@ -468,10 +468,10 @@ register("s_encoding_late", _late, """SELECT doc_id || '.csv' AS path,
 
 
 def _large_file(spark, folder):
-    """All documents in one text file with quoted cells, admitted and read as a folder."""
+    """All documents in text files with quoted cells, written by range, admitted and read as a folder."""
     path = _scratch(spark)
     docs = table(spark, folder, "documents").select("doc_id", "lang", F.regexp_replace("text", "[\r\n]", " ").alias("text"))
-    docs.coalesce(1).write.option("header", "true").option("sep", ";").option("quoteAll", "true").option("escape", '"').csv(path)
+    docs.repartitionByRange("doc_id").write.option("header", "true").option("sep", ";").option("quoteAll", "true").option("escape", '"').csv(path)
     (_, raw), = delimited.scan_folder(spark, path)
     return raw.select("doc_id", "lang", F.length("text").cast("long").alias("n"))
 
@@ -711,45 +711,114 @@ TEXT_RECIPE = recipe(
     {"kind": "drop_duplicates", "columns": ["cliente"], "keep": "first"}, keep(c("Valor", "greater_than", value="100.000,00")),
     metrics=[{"id": "n", "operation": "count"}, {"id": "s", "operation": "sum", "column": "Valor"}],
 )
-_TEXT_FIRSTS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS place FROM orders)
-    WHERE place = 1 AND o_totalprice > 100000)"""
+# Keys of one file of a priority, so that files keep their size while their number grows.
+FILE_KEYS = 100_000
+_TEXT_FIRSTS = f"""(SELECT *, o_orderkey // {FILE_KEYS} AS f FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderkey // {FILE_KEYS}, o_custkey ORDER BY o_orderkey) = 1)"""
 
 
-def _local_files(spark, folder):
-    """Orders as text files, one per priority, money and dates as people write them; a copy of what to expect of their cells."""
+def _local_files(spark, folder, mixed=False):
+    """Orders as text files, some per priority, money and dates as people write them; if ``mixed``, every second priority in another way."""
     path = _scratch(spark)
-    text = table(spark, folder, "orders").select(
-        F.substring("o_orderpriority", 1, 1).alias("p"), "o_orderkey", F.col("o_custkey").cast("string").alias("cliente"),
-        F.expr(f"concat('R$ ', {spark_money('o_totalprice')})").alias("Valor"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Dia"))
+    orders = table(spark, folder, "orders").select(
+        F.substring("o_orderpriority", 1, 1).alias("p"), F.floor(F.col("o_orderkey") / FILE_KEYS).alias("f"), "o_orderkey",
+        F.col("o_custkey").cast("string").alias("cliente"), "o_totalprice", "o_orderdate")
     # Each file holds its rows in the order of their keys.
-    text.repartition(1).sortWithinPartitions("p", "o_orderkey").select("p", "cliente", "Valor", "Dia").write.partitionBy("p").option("header", "true").option("sep", ";").csv(path)
+    orders = orders.repartition("p", "f").sortWithinPartitions("p", "f", "o_orderkey")
+    local = [F.expr(f"concat('R$ ', {spark_money('o_totalprice')})").alias("Valor"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Dia")]
+    plain = [F.format_number("o_totalprice", 2).alias("Valor"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Dia"), F.lit("x\ny").alias("nota")]
+    other = F.col("p").isin("2", "4") if mixed else F.lit(False)
+    files = lambda df, sep, **more: df.write.mode("append").partitionBy("p", "f").options(header="true", sep=sep, escape='"', **more).csv(path)
+    files(orders.where(~other).select("p", "f", "cliente", *local), ";", encoding="ISO-8859-1")
+    if mixed:
+        files(orders.where(other).select("p", "f", *plain[:2], "cliente", plain[2]), ",", quoteAll="true")
     return path
 
 
+def _file_metrics(rows):
+    place = [F.regexp_extract("source", f"{x}=([0-9]+)", 1).alias(x) for x in "pf"]
+    return rows.select(*place, "id", F.round("value", 2).alias("value"))
+
+
+_FILE_SQL = f"""WITH kept AS (SELECT substr(o_orderpriority, 1, 1) AS p, f::VARCHAR AS f, count(*)::DOUBLE AS n, round(sum(o_totalprice), 2) AS s
+    FROM {_TEXT_FIRSTS} WHERE o_totalprice > 100000 GROUP BY 1, 2)
+    SELECT p, f, 'n' AS id, n AS value FROM kept UNION ALL SELECT p, f, 's', s FROM kept"""
+
+
+def _first_way(spark, path):
+    """Strategies of the files of one priority, kept for all others."""
+    sample = delimited.scan_delimited(spark, f"{path}/p=1", ["cliente", "Valor", "Dia"], ";").select("cliente", "Valor", "Dia")
+    return restored(stored(infer(sample)))
+
+
 def _text_reapplied(spark, folder):
     path = _local_files(spark, folder)
-    sample = delimited.scan_delimited(spark, f"{path}/p=1", ["cliente", "Valor", "Dia"], ";")
-    kept = restored(stored(infer(sample)))
-    rows = fleet.metrics_by_source(fleet.reapply_text(spark, TEXT_RECIPE, path, strategies=kept), TEXT_RECIPE)
-    return rows.select(F.regexp_extract("source", "p=([0-9])", 1).alias("p"), "id", F.round("value", 2).alias("value"))
+    frame = fleet.reapply_text(spark, TEXT_RECIPE, path, strategies=_first_way(spark, path))
+    return _file_metrics(fleet.metrics_by_source(frame, TEXT_RECIPE))
+
+
+register("fleet_reapply_text", _text_reapplied, _FILE_SQL)
+
 
+def _text_mixed(spark, folder):
+    """Files with different decimal signs, date orders, separators, column orders and headers, each typed by its own cells."""
+    frame = fleet.reapply_text(spark, TEXT_RECIPE, _local_files(spark, folder, mixed=True))
+    return frame.df.select(
+        F.regexp_extract(frame.group[0], "p=([0-9])", 1).alias("p"), F.col("cliente").cast("long").alias("cliente"),
+        F.round("Valor", 2).alias("valor"), "Dia", F.length("nota").cast("long").alias("nota")).withColumnRenamed("Dia", "dia")
 
-_TEXT_SQL = f"""WITH kept AS (SELECT substr(o_orderpriority, 1, 1) AS p, count(*)::DOUBLE AS n, round(sum(o_totalprice), 2) AS s FROM {_TEXT_FIRSTS} GROUP BY 1)
-    SELECT p, 'n' AS id, n AS value FROM kept UNION ALL SELECT p, 's', s FROM kept"""
-register("fleet_reapply_text", _text_reapplied, _TEXT_SQL)
+
+register("fleet_reapply_mixed", _text_mixed, f"""SELECT substr(o_orderpriority, 1, 1) AS p, o_custkey AS cliente, round(o_totalprice, 2) AS valor,
+    date_trunc('day', o_orderdate)::TIMESTAMP AS dia, CASE WHEN substr(o_orderpriority, 1, 1) IN ('2', '4') THEN 3 END::BIGINT AS nota
+    FROM {_TEXT_FIRSTS} WHERE o_totalprice > 100000""")
+
+
+def _file_types(spark, folder):
+    """Type, decimal sign and date format of every column of every file."""
+    found = records.read_records(spark, _local_files(spark, folder, mixed=True))
+    rows = infer_files(found.rows, found.headers)
+    place = [F.regexp_extract("source", f"{x}=([0-9]+)", 1).alias(x) for x in "pf"]
+    return rows.select(*place, "position", "name", "type", "decimal", "date_format")
+
+
+register("fleet_file_types", _file_types, f"""WITH files AS (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS p, (o_orderkey // {FILE_KEYS})::VARCHAR AS f FROM orders),
+    ways AS (SELECT * FROM (VALUES (false, 0, 'cliente', 'number', '.', NULL), (false, 1, 'Valor', 'currency', ',', NULL), (false, 2, 'Dia', 'date', NULL, 'd/M/yyyy'),
+    (true, 0, 'Valor', 'currency', '.', NULL), (true, 1, 'Dia', 'date', NULL, 'yyyy-M-d'), (true, 2, 'cliente', 'number', '.', NULL), (true, 3, 'nota', 'text', NULL, NULL))
+    AS w(other, position, name, type, decimal, date_format))
+    SELECT p, f, position, name, type, decimal, date_format
+    FROM files JOIN ways ON other = (p IN ('2', '4'))""")
 
 
 def _text_streamed(spark, folder):
-    """The same files as they arrive, two at a time."""
-    path, out = _local_files(spark, folder), _scratch(spark)
-    kept = infer(delimited.scan_delimited(spark, f"{path}/p=1", ["cliente", "Valor", "Dia"], ";"))
-    arriving = streaming.read_arriving_text(spark, f"{path}/p=*", kept, ";", files_per_batch=2)
-    streaming.reapply_arriving(arriving, TEXT_RECIPE, out, f"{out}/state", once=True, strategies=kept).awaitTermination()
-    rows = spark.read.parquet(f"{out}/metrics")
-    return rows.select(F.regexp_extract("source", "p=([0-9])", 1).alias("p"), "id", F.round("value", 2).alias("value"))
+    """The same files as they arrive, two at a time; each by its own layout and types."""
+    path, out = _local_files(spark, folder, mixed=True), _scratch(spark)
+    arriving = streaming.read_arriving_lines(spark, path, files_per_batch=2)
+    wanted = {"cliente": "number", "Valor": "currency", "Dia": "date"}
+    streaming.reapply_arriving_text(
+        arriving, TEXT_RECIPE, out, f"{out}/state", columns=list(wanted), types=wanted, once=True).awaitTermination()
+    return _file_metrics(spark.read.parquet(f"{out}/metrics"))
+
 
+register("stream_reapply_text", _text_streamed, _FILE_SQL)
 
-register("stream_reapply_text", _text_streamed, _TEXT_SQL)
+
+def _multiline_split(spark, folder):
+    """Documents with their line ends in quoted cells, in files of many tasks each."""
+    path = _scratch(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.regexp_replace("text", "\r", " ").alias("text"))
+    docs.repartitionByRange(2, "doc_id").write.options(header="true", sep=";", quoteAll="true", escape='"').csv(path)
+    size, spark_size = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(size, "64k")
+    try:
+        found = records.read_records(spark, path)
+        rows = written(records.columns_of(found, ["doc_id", "lang", "text"]))
+    finally:
+        spark.conf.set(size, spark_size)
+    return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5("text").alias("h"))
+
+
+register("s_multiline_split", _multiline_split, """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text)::BIGINT AS n, md5(replace(text, chr(13), ' ')) AS h
+    FROM documents""")
 
 
 def _streamed_rows(spark, folder):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +10,14 @@ from pyspark.sql import types as T
 
 from tidyloom.errors import SourceError
 from tidyloom.functions.text import strip
-from tidyloom.model import MAX_COLUMNS
+from tidyloom.model import CURRENCY, EMPTY, HIDDEN, MAX_COLUMNS, NUMBER, with_logical_types
 from tidyloom.operators import metrics as metric_ops
 from tidyloom.operators.filters import MAX_DEPTH
-from tidyloom.operators.infer import Strategy, coerce
+from tidyloom.operators.infer import Strategy, coerce, convert_by, infer_files
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.frame import SOURCE, Frame, OrderKey, by_source, frame_of
-from tidyloom.sources.delimited import scan_folder
-from tidyloom.sources.tables import anchor_columns
+from tidyloom.session import written
+from tidyloom.sources.records import Records, columns_of, name_refused, read_records
 
 SALTS = 16
 
@@ -34,25 +33,97 @@ def reapply(
 
 
 def reapply_text(
-    spark: SparkSession, recipe: dict, *paths: str, strategies: dict[str, Strategy] | None = None, **limits
+    spark: SparkSession, recipe: dict, *paths: str, strategies: dict[str, Strategy] | None = None,
+    columns: list[str] | None = None, types: dict[str, str] | None = None, refused: str = "raise", **limits
 ) -> Frame:
-    """The same for folders of delimited text in any mix of encodings and separators.
+    """The same for folders of delimited text in any mix of encodings, separators, headers and ways to write cells.
 
-    ``strategies`` of an earlier file fix how cells are converted; without them the types
-    are inferred from all files together. A file that lacks a column has it empty.
+    Every file is read by its own layout and converted by types inferred from its own cells, so one
+    may write ``1.234,56`` and ``31/12/2024`` where another writes ``1234.56`` and ``2024-12-31``.
+    A file that lacks a column has it empty. ``strategies`` of an earlier file fix the conversion of
+    all instead. ``columns`` keeps these only; by default all columns of all files appear.
+
+    A column has one type in the result: that of ``types``, else the one all files agree on,
+    empty columns apart. Files that disagree raise an error that names them, unless ``refused`` is "skip".
     """
-    parts, anchors = [], {}
-    for _, raw in scan_folder(spark, *paths, **limits):
-        anchors = anchor_columns(raw)
-        parts.append(by_source(raw).select("*", *(c.alias(n) for n, c in anchors.items())))
-    if not parts:
-        raise SourceError("No text file was found.")
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reapply_records(read_records(spark, *paths, refused=refused, **limits), recipe, strategies, columns, types, refused)
+
+
+def reapply_records(
+    found: Records, recipe: dict, strategies: dict[str, Strategy] | None = None, columns: list[str] | None = None,
+    types: dict[str, str] | None = None, refused: str = "raise",
+) -> Frame:
+    """The same for records that are read already."""
     if strategies is not None:
-        absent = [n for n in strategies if n not in raw.columns]
-        raw = raw.select("*", *(F.lit(None).cast("string").alias(n) for n in absent))
-    frame = frame_of(coerce(raw, strategies), group_by=[SOURCE])
-    return recipes.apply_steps(replace(frame, anchor=tuple(map(OrderKey, anchors))), recipe)
+        names = columns or list(strategies)
+        raw = columns_of(found, names)
+        typed = coerce(_hidden(raw), {n: strategies[n] for n in names})
+    else:
+        typed = typed_records(found, columns, types, refused)
+    frame = frame_of(typed, group_by=[SOURCE])
+    return recipes.apply_steps(replace(frame, anchor=(OrderKey(BLOCK), OrderKey(ROW))), recipe)
+
+
+BLOCK, ROW = HIDDEN + "block", HIDDEN + "row"
+
+
+def _hidden(raw: DataFrame) -> DataFrame:
+    return raw.withColumnsRenamed({"source": SOURCE, "block": BLOCK, "row": ROW})
+
+
+def _kinds(strategies: DataFrame, columns: list[str] | None) -> DataFrame:
+    """Per column: its first position, the kinds it has in files, empty ones apart; money and numbers are one kind."""
+    wanted = strategies if columns is None else strategies.where(F.col("name").isin(columns))
+    kind = F.when(F.col("type") == CURRENCY, NUMBER).when(F.col("type") != EMPTY, F.col("type"))
+    return wanted.groupBy("name").agg(
+        F.min("position").alias("position"), F.min(kind).alias("least"), F.max(kind).alias("most"),
+        F.max((F.col("type") == CURRENCY).cast("int")).alias("money"),
+    )
+
+
+def typed_records(
+    found: Records, columns: list[str] | None = None, types: dict[str, str] | None = None, refused: str = "raise", max_columns: int = MAX_COLUMNS
+) -> DataFrame:
+    """Typed columns of records, each file converted by its own strategies, with its name and row order in hidden columns."""
+    strategies = written(infer_files(found.rows, found.headers))
+    # One row per column of the result.
+    rows = _kinds(strategies, columns).orderBy("position", "name").limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise SourceError(f"The files have more than {max_columns} different columns; name those to keep.")
+    kinds = {r["name"]: (CURRENCY if r["money"] else NUMBER) if r["least"] == NUMBER else r["least"] or EMPTY for r in rows} | (types or {})
+    names = columns if columns is not None else [r["name"] for r in rows]
+    kinds = {n: kinds.get(n, EMPTY) for n in names}
+    split = [r["name"] for r in rows if r["least"] != r["most"] and r["name"] not in (types or {})]
+    keep = found.headers
+    if split:
+        keep = _agreeing(found.headers, strategies, split, kinds, refused)
+    entry = F.struct("name", F.struct("position", "type", "decimal", "date_format").alias("how"))
+    told = strategies.groupBy("source").agg(F.map_from_entries(F.collect_list(entry)).alias("told")).join(keep.select("source"), "source")
+    joined = found.rows.join(told, "source")
+    how = lambda n: F.try_element_at("told", F.lit(n))
+    values = [strip(F.get("cells", how(n)["position"])) for n in names]
+    placed = joined.select(
+        F.col("source").alias(SOURCE), F.col("block").alias(BLOCK), F.col("row").alias(ROW),
+        *(v.alias(f"v{i}") for i, v in enumerate(values)), *(how(n).alias(f"h{i}") for i, n in enumerate(names)),
+    )
+    typed = placed.select(*(convert_by(F.col(f"v{i}"), kinds[n], F.col(f"h{i}")).alias(n) for i, n in enumerate(names)), SOURCE, BLOCK, ROW)
+    return with_logical_types(typed, kinds)
+
+
+def _agreeing(headers: DataFrame, strategies: DataFrame, split: list[str], kinds: dict[str, str], refused: str) -> DataFrame:
+    """Files whose columns have the kind that most files give them; of equals the first in the alphabet."""
+    kind = F.when(F.col("type") == CURRENCY, NUMBER).otherwise(F.col("type"))
+    seen = strategies.where(F.col("name").isin(split) & (F.col("type") != EMPTY)).select("source", "name", kind.alias("kind"))
+    counted = seen.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("name").agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("best"))
+    if refused != "skip":
+        bad = seen.join(best, "name").where("kind <> best")
+        name_refused(bad.select(F.col("source").alias("path"), F.format_string('column "%s" is %s, in most files %s', "name", "kind", "best").alias("reason")))
+    # One row per column that files disagree on.
+    for row in best.collect():
+        money = strategies.where((F.col("name") == row["name"]) & (F.col("type") == CURRENCY)).limit(1).count()
+        kinds[row["name"]] = (CURRENCY if money else NUMBER) if row["best"] == NUMBER else row["best"]
+    return headers.join(seen.join(best, "name").where("kind <> best").select("source").distinct(), "source", "left_anti")
 
 
 def metrics_by_source(frame: Frame, recipe: dict) -> DataFrame:

@@ -2,7 +2,8 @@
 
 All columns are looked at together: each cell becomes one row of
 (column position, text), and one aggregate counts what the cells look like.
-The decision is then made on the driver from one row of counts per column.
+The decision is an expression over such a row of counts, so many files can be decided
+apart from each other in the same aggregate, grouped by file and column.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def header_suggests_currency(header: str) -> bool:
 
 # --- inference -------------------------------------------------------------
 
-def infer(df: DataFrame, compat: bool = False) -> dict[str, Strategy]:
+def infer(df: DataFrame, compat: bool = False, max_columns: int = MAX_COLUMNS) -> dict[str, Strategy]:
     """Strategy of every column.
 
     Every cell is looked at, in one aggregate. ``compat`` counts a cell such as
@@ -107,16 +108,11 @@ def infer(df: DataFrame, compat: bool = False) -> dict[str, Strategy]:
     fields = [f for f in df.schema.fields if not f.name.startswith(HIDDEN)]
     if not fields:
         raise SourceError("The dataset has no columns.")
-    if len(fields) > MAX_COLUMNS:
-        raise SourceError(f"A dataset may have at most {MAX_COLUMNS} columns.")
+    if len(fields) > max_columns:
+        raise SourceError(f"A dataset may have at most {max_columns} columns.")
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    counts = _text_counts(df, texts, compat) if texts else {}
-    return {
-        f.name: _decide(f.name, counts.get(texts.index(f.name)), compat)
-        if f.name in texts
-        else _native(f)
-        for f in fields
-    }
+    found = _text_strategies(df, texts, compat) if texts else {}
+    return {f.name: found.get(f.name, Strategy(EMPTY)) if f.name in texts else _native(f) for f in fields}
 
 
 def _native(field: T.StructField) -> Strategy:
@@ -132,24 +128,44 @@ def _native(field: T.StructField) -> Strategy:
     raise SourceError(f'Column "{field.name}" has type {kind.simpleString()}; only flat columns are supported.')
 
 
-def _text_counts(df: DataFrame, names: list[str], compat: bool) -> dict[int, Row]:
+def _text_strategies(df: DataFrame, names: list[str], compat: bool) -> dict[str, Strategy]:
     found = cells(df, {i: col(name) for i, name in enumerate(names)})
-    features = _features(found.where(F.col(_CELL).isNotNull()), compat)
+    features = _features(found.where(F.col(_CELL).isNotNull()), compat).withColumn("position", position_of())
+    header = F.get(F.array(*map(F.lit, names)), F.col("position"))
     # One row per column.
-    return {row["position"]: row for row in features.withColumn("position", position_of()).collect()}
+    rows = features.select("position", _decision(header, compat).alias("s")).collect()
+    return {names[r["position"]]: Strategy(**r["s"].asDict()) for r in rows}
 
 
-def _features(found: DataFrame, compat: bool) -> DataFrame:
+#: Strategy of a column of a file, as a type.
+STRATEGY = "struct<type: string, decimal: string, date_format: string>"
+
+
+def infer_files(rows: DataFrame, headers: DataFrame, compat: bool = False) -> DataFrame:
+    """``(source, position, name, type, decimal, date_format)`` for every column of every file.
+
+    ``rows`` is ``(source, cells)``, ``headers`` ``(source, names)``. Every file is decided by its own
+    cells, in one aggregate for all; positions count from 0, and a column without cells is empty.
+    """
+    found = rows.select("source", F.posexplode("cells").alias("position", _CELL)).where(F.col(_CELL).isNotNull())
+    keys = ["source", "position"]
+    features = _features(found, compat, keys)
+    named = headers.select("source", F.posexplode("names").alias("position", "name"))
+    decided = named.join(features, keys, "left").withColumn("s", _decision(F.col("name"), compat))
+    return decided.select(*keys, "name", "s.*")
+
+
+def _features(found: DataFrame, compat: bool, keys: list[str] | tuple[str, ...] = (SLOT,)) -> DataFrame:
     """Counts per column of what its cells look like.
 
     Each stage prepares what the next one uses more than once; the two cheap
     shape tests spare most cells the detailed ones.
     """
-    stripped = found.select(SLOT, strip(F.col(_CELL)).alias("v"))
-    kept = stripped.select(SLOT, "v", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
+    stripped = found.select(*keys, strip(F.col(_CELL)).alias("v"))
+    kept = stripped.select(*keys, "v", F.lower("v").alias("low")).where(~F.col("low").isin(*NULL_TOKENS))
     bare = F.regexp_replace("v", LOOSE_MONEY_MARKS, "") if compat else _without_money_marks(F.col("v"))
-    cleaned = kept.select(SLOT, "v", "low", bare.alias("bare"), F.col("v").rlike(DATE_LIKE).alias("datelike"))
-    shaped = cleaned.select(SLOT, "v", "low", "datelike", _signed(F.col("bare")).alias("n"))
+    cleaned = kept.select(*keys, "v", "low", bare.alias("bare"), F.col("v").rlike(DATE_LIKE).alias("datelike"))
+    shaped = cleaned.select(*keys, "v", "low", "datelike", _signed(F.col("bare")).alias("n"))
     shaped = shaped.withColumn("numeric", F.col("n").rlike(NUMBER_LIKE))
     number, low, numeric = F.col("n"), F.col("low"), F.col("numeric")
     filled = number != ""
@@ -157,7 +173,7 @@ def _features(found: DataFrame, compat: bool) -> DataFrame:
     whole = F.substring_index(F.substring_index(F.ltrim(number, F.lit("-")), ",", 1), ".", 1)
     code = number.rlike(LEADING_ZERO) | (F.length(whole) > MAX_SAFE_DIGITS)
     looked = shaped.select(
-        SLOT, "v", "low", "datelike", filled.alias("filled"), comma.alias("comma"), point.alias("point"),
+        *keys, "v", "low", "datelike", filled.alias("filled"), comma.alias("comma"), point.alias("point"),
         (filled & code).alias("code"), number.rlike(GROUPED_WHOLE).alias("grouped"),
     )
     dates = [
@@ -167,7 +183,7 @@ def _features(found: DataFrame, compat: bool) -> DataFrame:
         for i, (pattern, shape) in enumerate(DATE_FORMATS)
     ]
     comma, point = F.col("comma"), F.col("point")
-    return looked.groupBy(SLOT).agg(
+    return looked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(low.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias("truths"),
         F.count_if(low.isin("0", "1")).alias("bits"),
@@ -182,34 +198,30 @@ def _features(found: DataFrame, compat: bool) -> DataFrame:
     )
 
 
-def _decide(header: str, seen: Row | None, compat: bool) -> Strategy:
-    if seen is None or seen["cells"] == 0:
-        return Strategy(EMPTY)
-    filled = seen["cells"]
-    if seen["truths"] == filled and seen["bits"] < filled:
-        return Strategy(BOOLEAN)
-    decimal = _decimal_sign(seen, compat)
-    if decimal:
-        money = header_suggests_currency(header) or seen["symbols"] > 0
-        return Strategy(CURRENCY if money else NUMBER, decimal=decimal)
-    for index, (pattern, _) in enumerate(DATE_FORMATS):
-        if seen[f"date{index}"] / filled >= THRESHOLD:
-            return Strategy(DATE, date_format=pattern)
-    return Strategy(TEXT)
-
-
-def _decimal_sign(seen: Row, compat: bool) -> str | None:
-    """Decimal sign of a number column, one for the whole column; None if it is none."""
-    numbers = seen["numbers"]
-    if numbers == 0 or seen["codes"] > 0:
-        return None
-    comma, point, both = seen["comma"], seen["point"], seen["both"]
-    matching = comma + point - (0 if compat else both)
+def _decision(header: Column, compat: bool) -> Column:
+    """Strategy as a struct, from the counts of a column and its header."""
+    filled, numbers, comma, point, both = (F.col(c) for c in ("cells", "numbers", "comma", "point", "both"))
+    matching = comma + point - (F.lit(0) if compat else both)
     # Cells that only make sense with a decimal point overrule ambiguous ones.
-    readable = compat or comma > both or seen["point_only"] == 0
-    if comma > 0 and readable and matching / numbers >= THRESHOLD:
-        return ","
-    return "." if point / numbers >= THRESHOLD else None
+    readable = F.lit(True) if compat else (comma > both) | (F.col("point_only") == 0)
+    decimal = F.when((numbers > 0) & (F.col("codes") == 0), F.when(
+        (comma > 0) & readable & (matching / numbers >= THRESHOLD), ","
+    ).when(point / numbers >= THRESHOLD, "."))
+    lowered = F.lower(strip(header))
+    hinted = F.exists(F.array(*map(F.lit, CURRENCY_HINTS)), lambda hint: F.contains(lowered, hint))
+    none = F.lit(None).cast("string")
+
+    def strategy(kind: str | Column, decimal: Column = none, date_format: Column = none) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("type"), decimal.alias("decimal"), date_format.alias("date_format"))
+
+    money = F.when(hinted | (F.col("symbols") > 0), CURRENCY).otherwise(NUMBER)
+    chosen = F.when(F.coalesce(filled, F.lit(0)) == 0, strategy(EMPTY))
+    chosen = chosen.when((F.col("truths") == filled) & (F.col("bits") < filled), strategy(BOOLEAN))
+    chosen = chosen.when(decimal.isNotNull(), strategy(money, decimal))
+    for index, (pattern, _) in enumerate(DATE_FORMATS):
+        chosen = chosen.when(F.col(f"date{index}") / filled >= THRESHOLD, strategy(DATE, none, F.lit(pattern)))
+    return chosen.otherwise(strategy(TEXT))
 
 
 # --- conversion ------------------------------------------------------------
@@ -238,6 +250,21 @@ def convert(value: Column, strategy: Strategy, decimal_scale: int | None = None)
     return missing_to_null(value)
 
 
+def convert_by(value: Column, kind: str, strategy: Column) -> Column:
+    """A stripped text as ``kind``, by the decimal sign and date format of a strategy in a column.
+
+    For files that write the same kind of column differently.
+    """
+    if kind in (NUMBER, CURRENCY):
+        return F.when(strategy["decimal"] == ",", _number(value, ",")).otherwise(_number(value, "."))
+    if kind == DATE:
+        moments = [
+            F.when((strategy["date_format"] == pattern) & value.rlike(shape), to_moment(value, pattern)) for pattern, shape in DATE_FORMATS
+        ]
+        return F.coalesce(*moments)
+    return convert(value, Strategy(kind))
+
+
 def missing_to_null(text: Column) -> Column:
     """Null for a stripped text that stands for a missing cell."""
     return F.when(~F.lower(text).isin(*NULL_TOKENS), text)

@@ -106,7 +106,8 @@ def judge_lines(lines: DataFrame) -> DataFrame:
 
     The encoding is the first that fits every byte. The separator is the sign that occurs
     equally often in all lines; failing that, the one in most lines, then the most
-    frequent one, and a comma if there is none. Quoted parts do not count.
+    frequent one, and a comma if there is none. Quoted parts do not count. Where cells hold
+    line ends, most lines may be parts of cells, so only signs of the header are looked at.
     """
     latin = F.decode("line", "ISO-8859-1")
     bare = F.regexp_replace(latin, '"[^"]*"?', "")
@@ -120,7 +121,7 @@ def judge_lines(lines: DataFrame) -> DataFrame:
         F.struct(
             (F.min(F.when(filled, F.col(f"n{i}"))) == F.max(F.when(filled, F.col(f"n{i}")))).alias("even"),
             F.count_if(F.col(f"n{i}") > 0).alias("lines"), F.sum(f"n{i}").alias("times"),
-            F.lit(-i).alias("order"), F.lit(s).alias("sign"),
+            F.lit(-i).alias("order"), F.lit(s).alias("sign"), F.min_by(f"n{i}", "at").alias("ahead"),
         ).alias(f"s{i}")
         for i, s in enumerate(SEPARATORS)
     ]
@@ -134,6 +135,8 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     )
     encoding = F.when(F.col("utf8"), "UTF-8").when(~F.col("undefined"), "windows-1252").otherwise("ISO-8859-1")
     found = F.filter(F.array(*(f"s{i}" for i in range(len(SEPARATORS)))), lambda s: s["times"] > 0)
+    ahead = F.filter(found, lambda s: s["ahead"] > 0)
+    found = F.when(F.col("multiline") & (F.size(ahead) > 0), ahead).otherwise(found)
     header = decoded(F.col("first"), encoding)
     return per_file.select(
         "path", encoding.alias("encoding"), F.coalesce(F.array_max(found)["sign"], F.lit(",")).alias("separator"),

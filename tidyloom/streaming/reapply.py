@@ -15,10 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidyloom.errors import RecipeError
 from tidyloom.model import HIDDEN, col
+from tidyloom.operators import fleet
 from tidyloom.operators import metrics as metric_ops
 from tidyloom.operators.infer import Strategy, coerce
 from tidyloom.plans import recipe as recipes
 from tidyloom.plans.frame import SOURCE, OrderKey, frame_of
+from tidyloom.session import written
+from tidyloom.sources import records
+from tidyloom.sources.admission import TEXT_FILES
 from tidyloom.sources.delimited import text_options
 
 BATCH = "batch"
@@ -46,6 +50,12 @@ def read_arriving_text(
     return reader.csv(path)
 
 
+def read_arriving_lines(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Lines of arriving text files, whatever their separators, encodings and headers; long files are split among tasks."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", TEXT_FILES).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+
+
 def stream_rows(arriving: DataFrame, recipe: dict, types: dict[str, str] | None = None) -> DataFrame:
     """Recipe of row-wise steps as a transformation of the stream itself."""
     if not recipes.is_stateless(recipe):
@@ -84,6 +94,38 @@ def reapply_arriving(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def reapply_arriving_text(
+    arriving: DataFrame, recipe: dict, output: str, checkpoint: str, strategies: dict[str, Strategy] | None = None,
+    columns: list[str] | None = None, types: dict[str, str] | None = None, once: bool = False, interval: str = "1 minute",
+) -> StreamingQuery:
+    """The same for the lines of text files, each read by its own layout and converted by types of its own.
+
+    ``columns`` and ``types`` keep the results of all batches alike; ``strategies`` fix the conversion as
+    well. Files that cannot be read, or disagree with most files of their batch on a type, are named in ``refused``.
+    """
+    recipes.validate(recipe)
+
+    def process(batch: DataFrame, number: int) -> None:
+        # Read once from the source; the lines of a batch are looked at several times.
+        lines = written(records.placed_lines(batch))
+        files = written(records.judged_files(lines))
+        found = records.records(lines, files)
+        frame = fleet.reapply_records(found, recipe, strategies, columns, types, refused="skip")
+        rows = frame.df.select(*map(col, frame.schema.names), col(frame.group[0]).alias("source_file"))
+        rows.write.mode("overwrite").parquet(f"{output}/rows/{BATCH}={number}")
+        wanted = recipe.get("metrics") or []
+        if wanted:
+            metric_ops.compute(frame, wanted).write.mode("overwrite").parquet(f"{output}/metrics/{BATCH}={number}")
+        read = frame.base.select(col(SOURCE).alias("source")).distinct()
+        # Files with nothing but a header have no rows to tell that they were read.
+        named = found.headers.select("source").join(found.rows.select("source").distinct(), "source", "left_anti").unionByName(read)
+        refused = lines.select("source").distinct().join(named, "source", "left_anti")
+        refused.write.mode("overwrite").parquet(f"{output}/refused/{BATCH}={number}")
+
+    writer = arriving.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
 def positioned(arriving: DataFrame) -> DataFrame:
     """Add file and position in the file, which a batch no longer offers by itself."""
     fields = arriving.select("_metadata").schema[0].dataType.names
