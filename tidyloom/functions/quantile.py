@@ -1,128 +1,98 @@
-"""Exact medians that never gather a whole column in one task.
+"""Exact medians by radix selection, for all groups and columns together.
 
-The built-in exact percentile keeps every distinct value of a group in memory.
-Beyond a checked number of rows, sketches of bounded size cut the value range
-first; only rows in the narrow span that holds the middle are looked at again.
+A double becomes a whole number of the same order. Four rounds find the one at a
+position, 16 bits at a time from the top: a histogram of the next bits, counted in
+the map tasks, tells in which of at most 65,536 bins the position lies, and only the values
+of that bin are looked at in the next round. No task sorts or holds the values of a group,
+however large, and there is one way for all sizes. Equal values are counted once for all rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyloom.session import cut_lineage
-
-# Most values of one group that are gathered and sorted in one array.
-EXACT_ROWS = 1_000_000
-# Most groups whose spans are broadcast; one row of a few numbers each.
-BROADCAST_GROUPS = 10_000
-CUTS = 1000
-ACCURACY = 10_000
-# Margin for the rank error of a sketch, as a fraction of the rows it saw.
-SLACK = 2.0 / ACCURACY
-
-
-def exact_median(values: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Median per group of a DataFrame ``(g, v)``, as ``(g, median)``.
-
-    Rows whose ``v`` is null must be gone already.
-    """
-    values = values.select("g", F.col("v").cast("double").alias("v"))
-    sizes = values.groupBy("g").agg(F.count("v").alias("n"))
-    state = cut_lineage(sizes.withColumn("position", F.expr("(n - 1) div 2")))
-    lower = cut_lineage(_at_position(values, state, exact_rows))
-
-    # An even number of rows has a second middle row: the same value if that is
-    # repeated often enough, else the next larger one.
-    beside = _with_groups(values, lower).groupBy("g").agg(
-        F.count_if(~(F.col("v") > F.col("x"))).alias("up_to"),
-        F.min(F.when(F.col("v") > F.col("x"), F.col("v"))).alias("next"),
-        F.count("v").alias("n"),
-        F.any_value("x").alias("x"),
+from tidyloom.session import written
+
+BITS = 16
+# Fixed values of the double format: bits of the fraction, offset and greatest value of the exponent.
+FRACTION, OFFSET, TOP = 52, 1023, 2047
+LEAST_NORMAL = 2.0**-1022
+# Half of the power that makes the least double a one; the whole is beyond the range.
+STEP = 2.0**537
+NAN_KEY = 2**63 - 1
+
+
+def sort_key(value: Column) -> Column:
+    """Whole number that sorts like the double: both zeros alike, NaN after all others."""
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    # The logarithm is rounded, so it may be one off.
+    power = F.when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), power + 1) <= size, power + 1).otherwise(power)
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * 2.0**FRACTION).cast("long")
+    bits = (
+        F.when(size == float("inf"), F.lit(TOP << FRACTION))
+        .when(size < LEAST_NORMAL, (size * STEP * STEP).cast("long"))
+        .otherwise(F.shiftleft((power + OFFSET).cast("long"), FRACTION) + fraction)
     )
-    upper = F.when(F.col("up_to") > F.expr("n div 2"), F.col("x")).otherwise(F.col("next"))
-    return beside.select("g", ((F.col("x") + upper) / 2).alias("median"))
-
-
-def _at_position(values: DataFrame, state: DataFrame, exact_rows: int) -> DataFrame:
-    """Value at a position (from 0) of each sorted group: ``(g, n, position)`` to ``(g, x)``."""
-    found = []
-    while (state.agg(F.max("n")).first()[0] or 0) > exact_rows:
-        placed = cut_lineage(_place(values, state))
-        found.append(placed.where("settled").select("g", "x"))
-        state = placed.where("not settled").select("g", "n", "position")
-        spans = placed.where("not settled").select("g", "lo", "hi")
-        inside = _with_groups(values, spans).where(_above("lo") & _below("hi"))
-        values = cut_lineage(inside.select("g", "v"))
-    arrays = values.groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("sorted"))
-    last = _with_groups(arrays, state).select("g", F.get("sorted", F.col("position").cast("int")).alias("x"))
-    for part in found:
-        last = last.unionByName(part)
-    return last
-
-
-def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Join rows with one row per group; broadcast only a checked number of groups."""
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    right = groups.withColumnRenamed("g", "of_group")
-    joined = rows.join(F.broadcast(right) if few else right, rows["g"].eqNullSafe(right["of_group"]))
-    return joined.drop("of_group")
+    return F.when(F.isnan(value), F.lit(NAN_KEY)).when(value < 0, -bits).otherwise(bits)
 
 
-def _above(bound: str) -> Column:
-    return F.col(bound).isNull() | (F.col("v") > F.col(bound))
-
-
-def _below(bound: str) -> Column:
-    return F.col(bound).isNull() | (F.col("v") < F.col(bound))
-
-
-def _place(values: DataFrame, state: DataFrame) -> DataFrame:
-    """Find the span around the wanted position and where in it the position falls.
-
-    A sketch only proposes the span; exact counts then decide whether the
-    position lies on an edge, between the edges or outside.
-    """
-    sketch = values.groupBy("g").agg(
-        F.percentile_approx("v", [i / CUTS for i in range(CUTS + 1)], ACCURACY).alias("cuts")
+def of_key(key: Column) -> Column:
+    """The double that a number stands for."""
+    bits = F.abs(key)
+    power, fraction = F.shiftright(bits, FRACTION), bits.bitwiseAND(F.lit((1 << FRACTION) - 1)).cast("double")
+    size = (
+        F.when(power == TOP, F.lit(float("inf")))
+        .when(power == 0, fraction / STEP / STEP)
+        .otherwise((fraction / 2.0**FRACTION + 1) * F.pow(F.lit(2.0), power - OFFSET))
     )
-    share = F.col("position") / F.col("n")
-    first = F.floor((share - SLACK) * CUTS).cast("int")
-    last = F.ceil((share + SLACK) * CUTS).cast("int")
-    spans = _with_groups(sketch, state).select(
-        "g", "n", "position",
-        F.when(first > 0, F.get("cuts", first)).alias("lo"),
-        F.when(last < CUTS, F.get("cuts", last)).alias("hi"),
-    )
-    spans = cut_lineage(spans)
-    value, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    counted = _with_groups(values, spans).groupBy("g").agg(
-        F.count_if(value < lo).alias("below"),
-        F.count_if(value == lo).alias("at_lo"),
-        F.count_if(_above("lo") & _below("hi")).alias("inside"),
-        F.count_if((value == hi) & ~lo.eqNullSafe(hi)).alias("at_hi"),
-        *(F.any_value(c).alias(c) for c in ("n", "position", "lo", "hi")),
-    )
-    position = F.col("position")
-    to_lo = F.col("below")
-    to_inside = to_lo + F.col("at_lo")
-    to_hi = to_inside + F.col("inside")
-    to_above = to_hi + F.col("at_hi")
-
-    def choose(below, at_lo, inside, at_hi, above) -> Column:
-        return (
-            F.when(position < to_lo, below).when(position < to_inside, at_lo)
-            .when(position < to_hi, inside).when(position < to_above, at_hi).otherwise(above)
-        )
-
-    none = F.lit(None).cast("double")
-    zero = F.lit(0).cast("long")
-    return counted.select(
-        "g",
-        choose(F.lit(False), F.lit(True), F.lit(False), F.lit(True), F.lit(False)).alias("settled"),
-        choose(none, lo, none, hi, none).alias("x"),
-        choose(none, none, lo, none, hi).alias("lo"),
-        choose(lo, none, hi, none, none).alias("hi"),
-        choose(to_lo, zero, F.col("inside"), zero, F.col("n") - to_above).alias("n"),
-        (position - choose(zero, zero, to_inside, zero, to_above)).alias("position"),
+    return F.when(key == NAN_KEY, F.lit(float("nan"))).when(key < 0, -size).otherwise(size)
+
+
+def exact_medians(values: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """Median of ``value`` for each group of ``by``, as columns ``by`` and ``median``; nulls do not count."""
+    named = {name: f"__g{i}" for i, name in enumerate(by)}
+    groups = list(named.values())
+    doubles = values.select(*(F.col(n).alias(g) for n, g in named.items()), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    counted = written(doubles.groupBy(*groups, sort_key(F.col("v")).alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    # The two middle positions of a group; with an odd number of values both are the same.
+    sizes = counted.groupBy(*groups).agg(F.sum("n").alias("n"))
+    middle = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))).alias("position")
+    state = sizes.select(*groups, F.lit(0).cast("long").alias("prefix"), middle, F.lit(False).alias("found"))
+    for shift in range(64 - BITS, -1, -BITS):
+        state = written(_next(counted, state, groups, shift))
+        if shift and state.where(~F.col("found")).isEmpty():
+            break
+    middles = state.select(*groups, of_key(F.col("prefix")).alias("x"))
+    median = F.when(F.min("x") == F.max("x"), F.min("x")).otherwise((F.min("x") + F.max("x")) / 2)
+    return middles.groupBy(*groups).agg(median.alias("median")).withColumnsRenamed({g: n for n, g in named.items()})
+
+
+def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
+    test = left["prefix"] == right["prefix"]
+    for g in groups:
+        test = test & left[g].eqNullSafe(right[g])
+    return test
+
+
+def _next(counted: DataFrame, state: DataFrame, groups: list[str], shift: int) -> DataFrame:
+    """Positions with their next bits. A bin with a single value settles it: ``prefix`` is that value then."""
+    above = F.lit(0).cast("long") if shift + BITS == 64 else F.shiftright("key", shift + BITS)
+    open_ = state.where(~F.col("found"))
+    bins = counted.withColumn("prefix", above)
+    if shift + BITS < 64:
+        wanted = open_.select(*groups, "prefix").distinct()
+        bins = bins.join(wanted, _same(bins, wanted, groups), "left_semi")
+    bins = bins.groupBy(*groups, "prefix", F.shiftright("key", shift).alias("bin")).agg(
+        F.sum("n").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")
     )
+    upto = F.sum("n").over(Window.partitionBy(*groups, "prefix").orderBy("bin"))
+    bins = bins.withColumn("below", upto - F.col("n"))
+    joined = open_.join(bins, _same(open_, bins, groups)).where((F.col("below") <= F.col("position")) & (F.col("position") < F.col("below") + F.col("n")))
+    settled = F.col("least") == F.col("most")
+    now = joined.select(
+        *(open_[g] for g in groups), F.when(settled, F.col("least")).otherwise(F.col("bin")).alias("prefix"),
+        (F.col("position") - F.col("below")).alias("position"), settled.alias("found"),
+    )
+    return now.unionByName(state.where("found"))
