@@ -1,10 +1,10 @@
 """Exact medians by radix selection, for all groups and columns together.
 
-A double becomes a whole number of the same order. Four rounds find the one at a
-position, 16 bits at a time from the top: a histogram of the next bits, counted in
-the map tasks, tells in which of at most 65,536 bins the position lies, and only the values
+A double becomes a whole number of the same order. Four rounds at most find the one at a
+position, 20 bits at a time from the top: a histogram of the next bits, counted in
+the map tasks, tells in which of at most a million bins the position lies, and only the values
 of that bin are looked at in the next round. No task sorts or holds the values of a group,
-however large, and there is one way for all sizes. Equal values are counted once for all rounds.
+however large, and there is one way for all sizes.
 """
 
 from __future__ import annotations
@@ -14,40 +14,23 @@ from pyspark.sql import functions as F
 
 from tidyloom.session import written
 
-BITS = 16
-# Fixed values of the double format: bits of the fraction, offset and greatest value of the exponent.
-FRACTION, OFFSET, TOP = 52, 1023, 2047
-LEAST_NORMAL = 2.0**-1022
-# Half of the power that makes the least double a one; the whole is beyond the range.
-STEP = 2.0**537
-NAN_KEY = 2**63 - 1
+#: Bits of a round: few rounds, and histograms that a task sorts in memory.
+BITS = 20
+#: Bits of a double without its sign.
+SIZE = (1 << 63) - 1
 
 
 def sort_key(value: Column) -> Column:
     """Whole number that sorts like the double: both zeros alike, NaN after all others."""
-    size = F.abs(value)
-    power = F.floor(F.log2(size))
-    # The logarithm is rounded, so it may be one off.
-    power = F.when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), power + 1) <= size, power + 1).otherwise(power)
-    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * 2.0**FRACTION).cast("long")
-    bits = (
-        F.when(size == float("inf"), F.lit(TOP << FRACTION))
-        .when(size < LEAST_NORMAL, (size * STEP * STEP).cast("long"))
-        .otherwise(F.shiftleft((power + OFFSET).cast("long"), FRACTION) + fraction)
-    )
-    return F.when(F.isnan(value), F.lit(NAN_KEY)).when(value < 0, -bits).otherwise(bits)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    size = bits.bitwiseAND(F.lit(SIZE))
+    return F.when(value == 0, F.lit(0).cast("long")).when(value < 0, -size).otherwise(size)
 
 
 def of_key(key: Column) -> Column:
     """The double that a number stands for."""
-    bits = F.abs(key)
-    power, fraction = F.shiftright(bits, FRACTION), bits.bitwiseAND(F.lit((1 << FRACTION) - 1)).cast("double")
-    size = (
-        F.when(power == TOP, F.lit(float("inf")))
-        .when(power == 0, fraction / STEP / STEP)
-        .otherwise((fraction / 2.0**FRACTION + 1) * F.pow(F.lit(2.0), power - OFFSET))
-    )
-    return F.when(key == NAN_KEY, F.lit(float("nan"))).when(key < 0, -size).otherwise(size)
+    size = F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.abs(key)).cast("double")
+    return F.when(key < 0, -size).otherwise(size)
 
 
 def exact_medians(values: DataFrame, by: list[str], value: str = "v") -> DataFrame:
@@ -55,44 +38,45 @@ def exact_medians(values: DataFrame, by: list[str], value: str = "v") -> DataFra
     named = {name: f"__g{i}" for i, name in enumerate(by)}
     groups = list(named.values())
     doubles = values.select(*(F.col(n).alias(g) for n, g in named.items()), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    counted = written(doubles.groupBy(*groups, sort_key(F.col("v")).alias("key")).agg(F.count(F.lit(1)).alias("n")))
-    # The two middle positions of a group; with an odd number of values both are the same.
-    sizes = counted.groupBy(*groups).agg(F.sum("n").alias("n"))
-    middle = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))).alias("position")
-    state = sizes.select(*groups, F.lit(0).cast("long").alias("prefix"), middle, F.lit(False).alias("found"))
-    for shift in range(64 - BITS, -1, -BITS):
-        state = written(_next(counted, state, groups, shift))
-        if shift and state.where(~F.col("found")).isEmpty():
-            break
+    keys = written(doubles.select(*groups, sort_key(F.col("v")).alias("key")))
+    state, shift = None, 64
+    while shift and (state is None or not state.where(~F.col("found")).isEmpty()):
+        above, shift = shift, max(0, shift - BITS)
+        state = written(_next(keys, state, groups, above, shift))
     middles = state.select(*groups, of_key(F.col("prefix")).alias("x"))
     median = F.when(F.min("x") == F.max("x"), F.min("x")).otherwise((F.min("x") + F.max("x")) / 2)
     return middles.groupBy(*groups).agg(median.alias("median")).withColumnsRenamed({g: n for n, g in named.items()})
 
 
-def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
-    test = left["prefix"] == right["prefix"]
-    for g in groups:
-        test = test & left[g].eqNullSafe(right[g])
-    return test
-
+def _next(keys: DataFrame, state: DataFrame | None, groups: list[str], above: int, shift: int) -> DataFrame:
+    """Bins ``(groups, prefix, low, high, found)`` that hold the two middle positions of groups, by the bits from
+    ``above`` down to ``shift``.
 
-def _next(counted: DataFrame, state: DataFrame, groups: list[str], shift: int) -> DataFrame:
-    """Positions with their next bits. A bin with a single value settles it: ``prefix`` is that value then."""
-    above = F.lit(0).cast("long") if shift + BITS == 64 else F.shiftright("key", shift + BITS)
-    open_ = state.where(~F.col("found"))
-    bins = counted.withColumn("prefix", above)
-    if shift + BITS < 64:
-        wanted = open_.select(*groups, "prefix").distinct()
-        bins = bins.join(wanted, _same(bins, wanted, groups), "left_semi")
-    bins = bins.groupBy(*groups, "prefix", F.shiftright("key", shift).alias("bin")).agg(
-        F.sum("n").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")
+    Only values in the bins found so far are looked at. With an odd number of values both positions are
+    the same; if only one of them lies in a bin, the other is null there. A bin with a single value settles
+    it: ``prefix`` is that value then.
+    """
+    none = F.lit(None).cast("long")
+    if state is None:
+        near = keys.select("*", F.lit(0).cast("long").alias("of"), none.alias("low"), none.alias("high"))
+    else:
+        wanted = state.where(~F.col("found")).select(*(F.col(g).alias(f"{g}_of") for g in groups), F.col("prefix").alias("of"), "low", "high")
+        same = F.shiftright("key", above) == F.col("of")
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"{g}_of"))
+        near = keys.join(wanted, same)
+    bins = near.groupBy(*groups, "of", F.shiftright("key", shift).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("low").alias("low"), F.max("high").alias("high")
     )
-    upto = F.sum("n").over(Window.partitionBy(*groups, "prefix").orderBy("bin"))
-    bins = bins.withColumn("below", upto - F.col("n"))
-    joined = open_.join(bins, _same(open_, bins, groups)).where((F.col("below") <= F.col("position")) & (F.col("position") < F.col("below") + F.col("n")))
+    part = Window.partitionBy(*groups, "of")
+    bins = bins.withColumn("upto", F.sum("n").over(part.orderBy("bin")))
+    if state is None:
+        size = F.sum("n").over(part)
+        bins = bins.withColumn("size", size).withColumns({"low": F.expr("(size - 1) div 2"), "high": F.expr("size div 2")})
+    below = F.col("upto") - F.col("n")
+    here = {c: F.when((F.col(c) >= below) & (F.col(c) < F.col("upto")), F.col(c) - below) for c in ("low", "high")}
     settled = F.col("least") == F.col("most")
-    now = joined.select(
-        *(open_[g] for g in groups), F.when(settled, F.col("least")).otherwise(F.col("bin")).alias("prefix"),
-        (F.col("position") - F.col("below")).alias("position"), settled.alias("found"),
-    )
-    return now.unionByName(state.where("found"))
+    found = bins.select(
+        *groups, F.when(settled, F.col("least")).otherwise(F.col("bin")).alias("prefix"), *(v.alias(c) for c, v in here.items()), settled.alias("found")
+    ).where("low IS NOT NULL OR high IS NOT NULL")
+    return found if state is None else found.unionByName(state.where("found"))
