@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import MESSY_SQL, condition as c, group, keep, messy, recipe, register, table
 from tidyloom.errors import RecipeError
+from tidyloom.model import schema_of
 from tidyloom.operators import filters
 from tidyloom.plans import recipe as recipes
 
@@ -139,18 +140,64 @@ def _strict(spark, folder):
         (name, op, {"value": "2000-01-01" if name == "o_orderdate" else "5"})
         for name in source.columns for op in ("equals", "contains", "greater_than", "date_after", "is_true")
     ]
-    counts, refused = [], []
+    rows = []
     for name, op, more in asked:
+        told = [F.lit(name).alias("name"), F.lit(op).alias("op")]
         try:
-            frame = recipes.run(source, recipe(keep(c(name, op, **more))), strict_types=True)
-            counts.append(F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), F.lit(True).alias("ok")))
-            frame.visible().schema
+            recipes.run(source, recipe(keep(c(name, op, **more))), strict_types=True)
+            left = F.count_if(filters.predicate(c(name, op, **more), schema_of(source), strict_types=True))
+            rows.append(F.struct(*told, F.lit(True).alias("ok"), left.alias("n")))
         except RecipeError:
-            refused.append(F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), F.lit(False).alias("ok")))
-    return source.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(F.array(*counts, *refused)))
+            rows.append(F.struct(*told, F.lit(False).alias("ok"), F.lit(None).cast("long").alias("n")))
+    # All predicates are counted in one scan.
+    return source.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-register("f_strict_types", _strict, """SELECT (SELECT count(*) FROM orders) AS n, name, op, ok FROM (VALUES
+register("f_strict_types", _strict, """SELECT name, op, ok, CASE WHEN ok THEN (SELECT CASE name || op
+        WHEN 'o_orderstatusequals' THEN count(*) FILTER (lower(o_orderstatus) = '5') WHEN 'o_orderstatuscontains' THEN count(*) FILTER (o_orderstatus LIKE '%5%')
+        WHEN 'o_totalpriceequals' THEN count(*) FILTER (o_totalprice = 5) WHEN 'o_totalpricegreater_than' THEN count(*) FILTER (o_totalprice > 5)
+        ELSE count(*) FILTER (o_orderdate >= TIMESTAMP '2000-01-02') END FROM orders) END AS n FROM (VALUES
     ('o_orderstatus', 'equals', true), ('o_orderstatus', 'contains', true), ('o_orderstatus', 'greater_than', false), ('o_orderstatus', 'date_after', false), ('o_orderstatus', 'is_true', false),
     ('o_totalprice', 'equals', true), ('o_totalprice', 'contains', false), ('o_totalprice', 'greater_than', true), ('o_totalprice', 'date_after', false), ('o_totalprice', 'is_true', false),
     ('o_orderdate', 'equals', false), ('o_orderdate', 'contains', false), ('o_orderdate', 'greater_than', false), ('o_orderdate', 'date_after', true), ('o_orderdate', 'is_true', false)) AS t(name, op, ok)""")
+
+
+def _nested(levels: int) -> dict:
+    tree = c("o_totalprice", "greater_than", value=1000)
+    for _ in range(levels):
+        tree = group(tree)
+    return tree
+
+
+def _refused(spark, folder):
+    """Recipes at and past their limits: refused, or applied with the rows they leave."""
+    source = table(spark, folder, "orders")
+    price = c("o_totalprice", "greater_than", value=200000)
+    status = lambda op, **more: recipe(keep(c("o_orderstatus", op, **more)))
+    asked = {
+        "deep": recipe(keep(_nested(filters.MAX_DEPTH - 1))), "too deep": recipe(keep(_nested(filters.MAX_DEPTH))),
+        "many": recipe(keep(group(*[price] * (filters.MAX_NODES - 1)))), "too many": recipe(keep(group(*[price] * filters.MAX_NODES))),
+        "long list": status("in", values=["F"] + ["x"] * (filters.MAX_LIST - 1)), "too long list": status("in", values=["F"] * (filters.MAX_LIST + 1)),
+        "no list": status("in", values=[]), "long text": status("not_equals", value="x" * filters.MAX_TEXT), "too long text": status("not_equals", value="x" * (filters.MAX_TEXT + 1)),
+        "no value": status("equals"), "one end": recipe(keep(c("o_totalprice", "between", range=[1]))), "both ends": recipe(keep(c("o_totalprice", "between", range=[100000, 50000]))),
+        "unknown operator": status("resembles", value="F"), "unknown column": recipe(keep(c("missing", "equals", value=1))), "no column": recipe(keep(c("", "equals", value=1))),
+        "odd logic": recipe({"kind": "filter", "filter": group(price, logic="XOR")}), "bare condition": recipe({"kind": "filter", "filter": price}),
+        "nothing": recipe({"kind": "filter", "filter": group()}), "unknown step": recipe({"kind": "explode"}), "odd value": status("equals", value={"a": 1}),
+    }
+    rows = []
+    for name, wanted in asked.items():
+        try:
+            frame = recipes.run(source, wanted)
+            left = F.count_if(F.coalesce(filters.predicate(wanted["steps"][0]["filter"], frame.schema), F.lit(False)))
+            rows.append(F.struct(F.lit(name).alias("name"), F.lit(True).alias("ok"), left.alias("n")))
+        except RecipeError:
+            rows.append(F.struct(F.lit(name).alias("name"), F.lit(False).alias("ok"), F.lit(None).cast("long").alias("n")))
+    return source.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+register("f_refused", _refused, """SELECT name, test IS NOT NULL AS ok, CASE test WHEN 'price' THEN (SELECT count(*) FROM orders WHERE o_totalprice > 200000)
+    WHEN 'low' THEN (SELECT count(*) FROM orders WHERE o_totalprice > 1000) WHEN 'F' THEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')
+    WHEN 'span' THEN (SELECT count(*) FROM orders WHERE o_totalprice BETWEEN 50000 AND 100000) WHEN 'all' THEN (SELECT count(*) FROM orders) END AS n
+    FROM (VALUES ('deep', 'low'), ('too deep', NULL), ('many', 'price'), ('too many', NULL), ('long list', 'F'), ('too long list', NULL), ('no list', NULL),
+    ('long text', 'all'), ('too long text', NULL), ('no value', NULL), ('one end', NULL), ('both ends', 'span'), ('unknown operator', NULL), ('unknown column', NULL),
+    ('no column', NULL), ('odd logic', NULL), ('bare condition', NULL), ('nothing', 'all'), ('unknown step', NULL), ('odd value', NULL)) AS t(name, test)""")

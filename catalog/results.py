@@ -832,3 +832,40 @@ def _streamed_rows(spark, folder):
 
 
 register("stream_rows", _streamed_rows, "SELECT event_id, CAST(value AS VARCHAR) AS value FROM events WHERE event_type IN ('click', 'error') AND value > 5.5")
+
+
+def _admitted(spark, folder):
+    """Documents as text files longer than the limit for whole files, which only bounds readers that hold one."""
+    path = _scratch(spark)
+    docs = table(spark, folder, "documents").select("lang", "doc_id", F.regexp_replace("text", "[\r\n]", " ").alias("text"))
+    docs.repartition("lang").write.partitionBy("lang").options(header="true", sep="|", quoteAll="true", escape='"').csv(path)
+    most = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(most, "1000")
+    try:
+        verdicts = written(admission.admit(spark, path))
+    finally:
+        spark.conf.unset(most)
+    lang = F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")
+    return verdicts.groupBy(lang).agg(
+        F.count(F.lit(1)).alias("files"), F.every("ok").alias("ok"), F.min("separator").alias("separator"), F.min("encoding").alias("encoding"),
+        F.every(F.col("length") > 1000).alias("long"))
+
+
+register("s_admission_mixed", _admitted, """SELECT lang, 1::BIGINT AS files, true AS ok, '|' AS separator, 'UTF-8' AS encoding, true AS long
+    FROM documents GROUP BY lang""")
+register("p_top_values_all", lambda spark, folder: profile.top_values(
+    table(spark, folder, "documents").select("source", "text"), limit=None, max_distinct=None).select("name", F.md5("value").alias("value"), "count"),
+    """SELECT 'source' AS name, md5(source) AS value, count(*) AS count FROM documents WHERE source IS NOT NULL GROUP BY source
+    UNION ALL SELECT 'text', md5(text), count(*) FROM documents WHERE text IS NOT NULL GROUP BY text""")
+
+
+def _wide_mean(spark, folder):
+    """A mean beyond the range of decimals, beside metrics that can be computed."""
+    asked = [{"id": o, "operation": o, "column": "wide"} for o in ("avg", "sum", "count_empty")] + [{"id": "n", "operation": "count"}]
+    lines = table(spark, folder, "lineitem").select(F.expr("cast(repeat('9', 37) AS decimal(38,0)) - l_orderkey").alias("wide"))
+    rows = metrics.compute(recipes.run(lines, recipe(metrics=asked)), asked)
+    return rows.select("id", "value", F.col("error").isNotNull().alias("refused"))
+
+
+register("m_avg_decimal_overflow", _wide_mean, """SELECT id, CASE id WHEN 'n' THEN (SELECT count(*) FROM lineitem)::DOUBLE WHEN 'count_empty' THEN 0::DOUBLE END AS value,
+    id IN ('avg', 'sum') AS refused FROM (VALUES ('avg'), ('sum'), ('count_empty'), ('n')) AS t(id)""")

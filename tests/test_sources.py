@@ -1,13 +1,15 @@
 """Admitting folders of files and reading delimited text."""
 
 import io
+import struct
 import zipfile
 
 import pytest
 
 from tidyloom.errors import SourceError
-from tidyloom.operators import access
+from tidyloom.operators import access, profile
 from tidyloom.plans import recipe as recipes
+from tidyloom.plans.ingest import ingest
 from tidyloom.sources import admission, delimited
 from tidyloom.sources.headers import normalize_headers
 
@@ -152,3 +154,48 @@ def test_text_files_keep_their_order(spark, tmp_path):
 def test_damaged_directories():
     assert admission.directory_sizes(b"PK\x01\x02 cut") == (None, None)
     assert admission.directory_sizes(b"") == (None, None)
+
+
+def test_archive_of_three_gigabytes_is_read_by_its_directory(spark, tmp_path):
+    """A hole of 3 GiB in front of the archive, and one whose member needs sizes of 64 bits."""
+    inner = archive(3)
+    with open(tmp_path / "hole.xlsx", "wb") as f:
+        f.write(b"PK\x03\x04")
+        f.seek(3 * 1024**3)
+        f.write(inner)
+    name = b"xl/a.xml"
+    wide = struct.pack("<HHQQ", 1, 16, 6 * 1024**3, 5 * 1024**3)
+    entry = struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 45, 45, 0, 8, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(wide), 0, 0, 0, 0, 0) + name + wide
+    end = struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, 1, 1, len(entry), 4, 0)
+    (tmp_path / "wide.xlsx").write_bytes(b"PK\x03\x04" + entry + end)
+    record = struct.pack("<4sQ2H2I4Q", b"PK\x06\x06", 44, 45, 45, 0, 0, 3, 3, len(entry), 4)
+    locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, 4 + len(entry), 1)
+    end = struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    (tmp_path / "very wide.xlsx").write_bytes(b"PK\x03\x04" + entry + record + locator + end)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in admission.admit(spark, str(tmp_path)).collect()}
+    assert rows["hole.xlsx"]["ok"] and rows["hole.xlsx"]["length"] > 3 * 1024**3
+    for name in ("wide.xlsx", "very wide.xlsx"):
+        assert rows[name]["reason"] == "archive is too large when expanded" and rows[name]["ratio"] == 6 / 5
+
+
+def test_long_text_file_needs_no_whole_reader(spark, tmp_path):
+    (tmp_path / "long.csv").write_bytes(b"a;b\n" + b"1;2\n" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert admission.admit(spark, str(tmp_path)).first()["ok"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_refused_ingest_leaves_the_place_free(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "x")], "a string, b string")
+    with pytest.raises(SourceError, match="no rows"):
+        ingest(spark, raw.limit(0), str(tmp_path / "d"))
+    saved, _ = ingest(spark, raw, str(tmp_path / "d"))
+    assert [tuple(r) for r in saved.collect()] == [(1.0, "x")]
+
+
+def test_all_top_values_are_texts(spark):
+    rows = [("long " * 30 + str(i % 3), "short") for i in range(9)]
+    got = profile.top_values(spark.createDataFrame(rows, "a string, b string"), limit=None).collect()
+    assert {(r.name, r.value, r["count"]) for r in got} == {("a", "long " * 30 + str(i), 3) for i in range(3)} | {("b", "short", 9)}

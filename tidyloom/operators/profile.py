@@ -159,19 +159,19 @@ def _top_rows(df: DataFrame, schema: DatasetSchema, limit: int | None, max_disti
     few = F.broadcast(few.orderBy("chosen").limit(max_columns) if max_columns is not None else few)
     tops = ranked.select(position_of(), F.col("rank").cast("int").alias("rank"), "value", F.col("n").alias("count"))
     tops = tops.join(few, F.col("position") == F.col("chosen")).where(F.col("value").isNotNull()).drop("chosen")
-    return _written_out(df, schema, tops, listed) if limit is not None else tops
+    return _written_out(df, schema, tops, listed, limit is not None)
 
 
-def _written_out(df: DataFrame, schema: DatasetSchema, tops: DataFrame, listed: list[int]) -> DataFrame:
-    """Put the texts back for digests among the few values shown; nothing is read if there are none."""
-    is_long = F.startswith("value", F.lit(DIGEST))
-    wanted = F.broadcast(tops.where(is_long).select(F.col("position").alias("at"), F.col("value").alias("key")))
+def _written_out(df: DataFrame, schema: DatasetSchema, tops: DataFrame, listed: list[int], few: bool) -> DataFrame:
+    """Put the texts back for digests among the values shown; with ``few`` of them the texts need no shuffle."""
+    is_long, sent = F.startswith("value", F.lit(DIGEST)), F.broadcast if few else (lambda small: small)
+    wanted = sent(tops.where(is_long).select(F.col("position").alias("at"), F.col("value").alias("key")))
     full = {i: display_text(schema.columns[i]).cast("string") for i in listed}
     long = cells(df, full).where(F.octet_length("value") > KEY_BYTES).select(
         position_of().alias("of"), _short(F.col("value")).alias("of_key"), F.col("value").alias("text")
     )
     texts = long.join(wanted, (F.col("of") == F.col("at")) & (F.col("of_key") == F.col("key"))).groupBy("at", "key").agg(F.min("text").alias("text"))
-    joined = tops.join(F.broadcast(texts), (F.col("position") == F.col("at")) & (F.col("value") == F.col("key")), "left")
+    joined = tops.join(sent(texts), (F.col("position") == F.col("at")) & (F.col("value") == F.col("key")), "left")
     return joined.withColumn("value", F.coalesce("text", "value")).drop("at", "key", "text")
 
 

@@ -8,11 +8,14 @@ is looked at in Python.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import sys
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,9 @@ EXTENSIONS = (".xlsx", ".xls", ".csv")
 # The end record of an archive with the longest comment it may have.
 END_BYTES = 22 + 65535
 
+# Stands for a size that does not fit into 32 bits.
+_WIDE = 0xFFFFFFFF
+
 _ZIP_START = b"PK\x03\x04"
 _OLE_START = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 TEXT_FILES = "*.[cC][sS][vV]"
@@ -42,7 +48,8 @@ def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> Dat
 
     With ``max_bytes`` longer files are refused, by their length, without being opened.
     """
-    files = list_files(spark, *paths).withColumn("kind", _kind())
+    # Without their content: files are listed here, and no reader holds a whole one.
+    files = list_files(spark, *paths).select("path", "length").withColumn("kind", _kind())
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_FILES).text(list(paths))
         .select(
@@ -52,7 +59,8 @@ def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> Dat
         )
     )
     large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
-    judged = _verdict(files.withColumn("large", large), lines)
+    files = files.withColumn("large", large)
+    judged = _verdict(files, lines, archives_at(files.where(~F.col("large"))))
     return judged.unionByName(_empty_files(spark, files))
 
 
@@ -63,7 +71,7 @@ def admit_contents(files: DataFrame) -> DataFrame:
         "path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\r\n|\r|\n")).alias("no", "latin")
     )
     lines = split.select(same_form(F.col("path")).alias("path"), F.struct("no").alias("at"), F.encode("latin", "ISO-8859-1").alias("line"))
-    return _verdict(named.withColumn("large", F.lit(False)), lines)
+    return _verdict(named.withColumn("large", F.lit(False)), lines, _archives(named))
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -165,6 +173,74 @@ def _archives(files: DataFrame) -> DataFrame:
     ).mapInPandas(_sizes, "path string, is_zip boolean, is_ole boolean, expanded double, ratio double")
 
 
+def archives_at(files: DataFrame) -> DataFrame:
+    """The same for files ``(path, kind, length)`` by their places: only the start, the end record and the directory are read."""
+    found = files.where("kind IN ('xlsx', 'xls')").select(same_form(F.col("path")).alias("path"), F.col("path").alias("place"), "kind", "length")
+    return found.mapInPandas(_sizes_at, "path string, is_zip boolean, is_ole boolean, expanded double, ratio double")
+
+
+def _sizes_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, place, kind, length in batch.itertuples(index=False):
+            with opened(place) as file:
+                start = file.read(8)
+                is_zip = start[:4] == _ZIP_START
+                packed, expanded = read_directory(file, length) if is_zip and kind == "xlsx" else (None, None)
+            ratio = expanded / packed if packed else None
+            rows.append((path, is_zip, start == _OLE_START, None if expanded is None else float(expanded), ratio))
+        yield pd.DataFrame(rows, columns=["path", "is_zip", "is_ole", "expanded", "ratio"])
+
+
+def opened(place: str):
+    """File of a URI or local path, to be read at any place in it."""
+    # Paths are listed without escapes.
+    if ":" not in place or place.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", place))
+    store, path = fs.FileSystem.from_uri(quote(place, safe=":/@"))
+    return store.open_input_file(path)
+
+
+def read_directory(file, length: int) -> tuple[int | None, int | None]:
+    """Packed and expanded size of the archive in a file, entry by entry; None if its directory is damaged."""
+    tail_at = max(0, length - END_BYTES)
+    file.seek(tail_at)
+    tail = file.read(length - tail_at)
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0 or len(tail) < at + 22:
+        return None, None
+    (size,) = struct.unpack_from("<I", tail, at + 12)
+    end, locator = tail_at + at, at - 20
+    if size == _WIDE and locator >= 0 and tail[locator : locator + 4] == b"PK\x06\x07":
+        # The size is in a record of its own, to which the locator points.
+        (end,) = struct.unpack_from("<Q", tail, locator + 8)
+        file.seek(end)
+        wide = file.read(56)
+        if len(wide) < 56 or wide[:4] != b"PK\x06\x06":
+            return None, None
+        (size,) = struct.unpack_from("<Q", wide, 40)
+    if not 0 < size <= end:
+        return None, None
+    # The directory lies right before its end record, also if something was put in front of the archive.
+    file.seek(end - size)
+    return directory_sizes_of(_Bounded(file, size))
+
+
+class _Bounded:
+    """The next ``left`` bytes of a file, read in pieces."""
+
+    def __init__(self, file, left: int):
+        self.file, self.left, self.held = file, left, b""
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and self.left:
+            piece = self.file.read(min(self.left, 1 << 20))
+            self.left = self.left - len(piece) if piece else 0
+            self.held += piece
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sizes = [(None, None) if d is None else directory_sizes(bytes(d)) for d in batch["directory"]]
@@ -175,20 +251,40 @@ def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def directory_sizes(directory: bytes) -> tuple[int | None, int | None]:
     """Packed and expanded size of an archive by its directory; None if that is damaged."""
-    packed = expanded = 0
-    entries = io.BytesIO(directory)
-    while (entry := entries.read(46)) and entry[:4] == b"PK\x01\x02" and len(entry) == 46:
-        one_packed, one_expanded, name, extra, comment = struct.unpack_from("<IIHHH", entry, 20)
-        packed, expanded = packed + one_packed, expanded + one_expanded
-        entries.seek(name + extra + comment, io.SEEK_CUR)
-    return (packed, expanded) if directory and not entry else (None, None)
+    return directory_sizes_of(io.BytesIO(directory))
 
 
-def _verdict(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Verdicts for ``(path, length, content, kind, large)`` and the lines of the text files."""
+def directory_sizes_of(entries) -> tuple[int | None, int | None]:
+    packed = expanded = seen = 0
+    while (entry := entries.read(46)) and entry[:4] == b"PK\x01\x02" and len(entry) == 46:
+        one_packed, one_expanded, name, extra, comment = struct.unpack_from("<IIHHH", entry, 20)
+        more = entries.read(name + extra + comment)[name : name + extra]
+        if _WIDE in (one_packed, one_expanded):
+            one_packed, one_expanded = _wide_sizes(more, one_packed, one_expanded)
+        packed, expanded, seen = packed + one_packed, expanded + one_expanded, seen + 1
+    return (packed, expanded) if seen and not entry else (None, None)
+
+
+def _wide_sizes(extra: bytes, packed: int, expanded: int) -> tuple[int, int]:
+    """Sizes beyond 32 bits, which an extra field holds: first the expanded one, then the packed one."""
+    at = 0
+    while at + 4 <= len(extra):
+        kind, size = struct.unpack_from("<HH", extra, at)
+        if kind == 1:
+            numbers = list(struct.unpack_from(f"<{min(size, len(extra) - at - 4) // 8}Q", extra, at + 4))
+            if expanded == _WIDE and numbers:
+                expanded = numbers.pop(0)
+            if packed == _WIDE and numbers:
+                packed = numbers.pop(0)
+        at += 4 + size
+    return packed, expanded
+
+
+def _verdict(files: DataFrame, lines: DataFrame, archives: DataFrame) -> DataFrame:
+    """Verdicts for ``(path, length, kind, large)``, the lines of the text files and the sizes of the archives."""
     listed = files.select("path", "length", "kind", "large", same_form(F.col("path")).alias("same"))
     written = judge_lines(lines).withColumnsRenamed({"path": "text_of"})
-    packed = _archives(files.where(~F.col("large"))).withColumnRenamed("path", "archive_of")
+    packed = archives.withColumnRenamed("path", "archive_of")
     looked = listed.join(written, F.col("same") == F.col("text_of"), "left").join(packed, F.col("same") == F.col("archive_of"), "left")
     kind, is_zip, is_ole = F.col("kind"), F.coalesce("is_zip", F.lit(False)), F.coalesce("is_ole", F.lit(False))
     binary = (F.substring("start", 1, 4) == F.lit(_ZIP_START)) | (F.col("start") == F.lit(_OLE_START)) | F.col("zero")
