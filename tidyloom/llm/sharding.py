@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import before, whole
+from tidyloom.llm.common import before, saved, whole
 
 # Fixed values of the published method: the multiplier of the generator and its range.
 MULTIPLIER = 2862933555777941757
@@ -23,6 +23,8 @@ RANGE = float(1 << 31)
 LOW = 0xFFFFFFFF
 #: Parts into which the rows of all shards are dealt for numbering, at least.
 PARTS = 1 << 16
+#: A part is numbered by tasks if it has so many rows, and so many times the mean of all parts beyond.
+LEAST_HEAVY, TIMES_HEAVY = 1000, 4
 
 
 def _times(x: Column, factor: int) -> Column:
@@ -76,22 +78,31 @@ def slots(sharded: DataFrame, shards: int, order: list[str]) -> DataFrame:
     """Number the rows of every shard from 0 without gaps, as ``slot``.
 
     A shard is dealt into parts by a hash of ``order``; parts are numbered on their own
-    and start after the rows of the parts before, so no task sees a whole shard.
+    and start after the rows of the parts before, so no task sees a whole shard. Equal rows
+    share a part; a part with far more rows than most is kept as a table of its own and
+    numbered apart for each task that reads it. Equal rows may change places.
     """
     parts = max(1, PARTS // shards)
     dealt = sharded.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    first = counts.select(
-        "shard", "__part", F.coalesce(F.sum("__n").over(before(["shard"], ["__part"])), F.lit(0)).alias("__first")
-    )
-    own = F.row_number().over(Window.partitionBy("shard", "__part").orderBy(*order)) - 1
+    place = ["shard", "__part"]
     # At most max(PARTS, shards) rows of three numbers: bounded by parameters, not by data.
-    return (
-        dealt.withColumn("__own", own)
-        .join(F.broadcast(first), ["shard", "__part"])
-        .withColumn("slot", F.col("__first") + F.col("__own"))
-        .drop("__part", "__own", "__first")
+    counts = saved(dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("__n")))
+    first = F.broadcast(counts.select(
+        *place, F.coalesce(F.sum("__n").over(before(["shard"], ["__part"])), F.lit(0)).alias("__first")
+    ))
+    mean = counts.agg(F.avg("__n")).first()[0] or 0.0
+    heavy = F.broadcast(counts.where(F.col("__n") > LEAST_HEAVY + TIMES_HEAVY * mean).select(*place))
+    own = F.row_number().over(Window.partitionBy(*place).orderBy(*order)) - 1
+    light = dealt.join(heavy, place, "left_anti").withColumn("__own", own)
+
+    large = saved(dealt.join(heavy, place, "left_semi").withColumn("__task", F.spark_partition_id()))
+    tasks = large.groupBy(*place, "__task").agg(F.count(F.lit(1)).alias("__n")).select(
+        *place, "__task", F.coalesce(F.sum("__n").over(before(place, ["__task"])), F.lit(0)).alias("__earlier")
     )
+    own = F.row_number().over(Window.partitionBy(*place, "__task").orderBy(*order)) - 1
+    split = large.withColumn("__own", own).join(tasks, [*place, "__task"]).withColumn("__own", F.col("__own") + F.col("__earlier"))
+    numbered = light.unionByName(split.select(*light.columns))
+    return numbered.join(first, place).withColumn("slot", F.col("__first") + F.col("__own")).drop("__part", "__own", "__first")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
