@@ -44,6 +44,17 @@ def test_sharding(docs, none):
     assert sharding.shard(none, 24).count() == 0
 
 
+def test_sharding_splits_a_third_of_equal_rows(spark, monkeypatch):
+    """The numbering of equal rows is split by the tasks that read them, and slots stay gapless."""
+    monkeypatch.setattr(sharding, "LEAST_HEAVY", 100)
+    rows = [(5, "same text", "s")] * 900 + [(i, odd.prose(random.Random(i), 3), "s") for i in range(100, 1900)]
+    placed = sharding.shard(odd.table(spark, rows).repartition(6), 24)
+    slots = defaultdict(list)
+    for r in placed.select("shard", "slot").collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 2700 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_jump_moves_rows_only_into_the_new_shard(spark):
     rows = spark.range(2000).select(sharding.jump(F.col("id") * 7919 - 5000, 9).alias("j")).collect()
     moved = [r.j for r in rows if r.j.shard != r.j.grown]
@@ -69,18 +80,44 @@ def mixed(rows):
         full |= more
 
 
+def miss(copies, size, target):
+    """Half of the shortest document that was not taken once more, and a word for the whole number of the target."""
+    times = int(target // size) if size else 0
+    untaken = [n for c, n in copies if c == times and n]
+    return (min(untaken) if untaken else max(n for _, n in copies)) / 2 + 1
+
+
+@pytest.mark.parametrize("times, words, others", [(1000, 40, 31), (300, 200, 201), (300, 20, 61), (400, 7, 90)])
+@pytest.mark.parametrize("same_id", [True, False])
+def test_mixing_meets_targets_with_repeated_rows(spark, times, words, others, same_id):
+    """A third of a source's rows are one row; sources of other sizes make all fractions occur."""
+    rng = random.Random(times)
+    text = lambda n: " ".join(rng.choice(odd.VOCABULARY) for _ in range(n))
+    hot = text(words)
+    rows = [(5 if same_id else -5 - i, hot, "s") for i in range(times)] + [(1000 + i, text(others), "s") for i in range(2 * times)]
+    rows += [(10**6 + i, text(others), "t") for i in range(times)] + [(2 * 10**6 + i, hot, "u") for i in range(times // 5)]
+    want, taken, copies = mixed(rows), defaultdict(int), defaultdict(list)
+    for r in mixing.mix(odd.table(spark, rows)).select("source", "size", "copies", "taken").collect():
+        taken[r.source] += r.taken
+        copies[r.source].append((r.copies, r.size))
+        assert r.copies <= 3
+    assert {s: len(c) for s, c in copies.items()} == {s: sum(r[2] == s for r in rows) for s in "stu"}
+    for s in want:
+        assert abs(taken[s] - want[s][1]) <= miss(copies[s], *want[s]), s
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken").collect()
     want = mixed(odd.texts())
     assert len(rows) == len(odd.texts())
-    taken, smallest = defaultdict(int), defaultdict(lambda: 10**9)
+    taken, copies = defaultdict(int), defaultdict(list)
     for r in rows:
         assert r.size == len(odd.words(r.text)) and r.taken == r.copies * r.size <= 3 * r.size
         assert r.source_size == want[r.source][0] and r.target == pytest.approx(want[r.source][1])
         taken[r.source] += r.taken
-    largest = max(r.size for r in rows)
-    assert all(abs(taken[s] - want[s][1]) <= largest for s in want)
-    assert abs(taken["hot"] - want["hot"][1]) < 100
+        copies[r.source].append((r.copies, r.size))
+    for s in want:
+        assert abs(taken[s] - want[s][1]) <= miss(copies[s], *want[s])
     again = mixing.mix(docs.repartition(5)).select("doc_id", "copies")
     assert odd.counted(again.collect()) == odd.counted((r.doc_id, r.copies) for r in rows)
     assert mixing.mix(none).count() == 0

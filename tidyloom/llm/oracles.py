@@ -87,7 +87,7 @@ def op6_decontamination() -> str:
 def mixed(docs: str) -> str:
     """CTEs that end in ``mixed``: the rows of ``docs`` with what the mix takes of them."""
     listed = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
-    chain = f"""
+    return f"""
     sized AS (
         SELECT *, len({_WORDS})::BIGINT AS size,
                md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS h
@@ -108,34 +108,30 @@ def mixed(docs: str) -> str:
         SELECT source, s::BIGINT AS source_size, CASE WHEN full_up THEN cap::DOUBLE ELSE level.l::DOUBLE * w::DOUBLE / level.ws::DOUBLE END AS target,
                (CASE WHEN full_up THEN cap ELSE (level.l * w)::HUGEINT // level.ws::HUGEINT END)::BIGINT AS aim
         FROM clamped, level
-    ), state0 AS (
+    ), state AS (
         SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE aim // source_size END AS times,
                CASE WHEN source_size = 0 THEN aim ELSE aim % source_size END AS need
         FROM aimed
-    ), rows0 AS (SELECT *, false AS extra FROM sized)"""
-    for r in range(mixing.FILLS):
-        room = "state0.need" if r else "state0.source_size"
-        room = room.replace("state0", f"state{r}")
-        chain += f""", summed{r} AS (
-        SELECT d.source, h, doc_id, size, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size) AS upto, need
-        FROM rows{r} AS d JOIN state{r} ON d.source IS NOT DISTINCT FROM state{r}.source
-        WHERE need > 0 AND size > 0 AND size <= {room} AND NOT extra
-    ), got{r} AS (SELECT DISTINCT source, h, doc_id, size FROM summed{r} WHERE upto <= need),
-    rows{r + 1} AS (
-        SELECT d.* REPLACE (extra OR g.h IS NOT NULL AS extra) FROM rows{r} AS d LEFT JOIN got{r} AS g
-        ON d.h = g.h AND d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.size = g.size AND d.source IS NOT DISTINCT FROM g.source
-    ), used{r} AS (SELECT source, max(upto) AS n FROM summed{r} WHERE upto <= need GROUP BY source),
-    state{r + 1} AS (
-        SELECT s.* REPLACE ((need - coalesce(n, 0))::BIGINT AS need) FROM state{r} AS s LEFT JOIN used{r} AS u ON s.source IS NOT DISTINCT FROM u.source
-    )"""
-    n = mixing.FILLS
-    return chain + f""", last AS (
-        SELECT d.source, min((size, h, doc_id)) AS l FROM rows{n} AS d JOIN state{n} AS s ON d.source IS NOT DISTINCT FROM s.source
-        WHERE need > 0 AND size > 0 AND size < 2 * need AND NOT extra GROUP BY d.source
+    ), places AS (SELECT source, h, doc_id, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL),
+    one AS (
+        SELECT p.*, need, greatest(0, least(n, (need - upto + size * n) // size)) AS a FROM (
+            SELECT p.*, need, sum(size * n) OVER (PARTITION BY p.source ORDER BY h, doc_id NULLS FIRST, size) AS upto
+            FROM places AS p JOIN state ON p.source IS NOT DISTINCT FROM state.source
+        ) AS p
+    ), open1 AS (SELECT *, need - sum(a * size) OVER (PARTITION BY source) AS r FROM one),
+    two AS (
+        SELECT *, CASE WHEN size <= r THEN greatest(0, least(n - a, (r - filled + size * (n - a)) // size)) ELSE 0 END AS b FROM (
+            SELECT *, sum(size * (n - a)) OVER (PARTITION BY source ORDER BY size, h, doc_id NULLS FIRST) AS filled FROM open1
+        )
+    ), open2 AS (SELECT *, r - sum(b * size) OVER (PARTITION BY source) AS o FROM two),
+    last AS (SELECT source, min((size, h, doc_id)) AS l FROM open2 WHERE o > 0 AND n > a + b AND size < 2 * o GROUP BY source),
+    allowed AS (
+        SELECT t.*, a + b + coalesce(l = (size, h, doc_id), false)::INT AS k FROM open2 AS t LEFT JOIN last ON t.source IS NOT DISTINCT FROM last.source
     ), mixed AS (
-        SELECT d.*, s.source_size, s.target, (times + (extra OR coalesce(l = (size, h, doc_id), false))::INT)::BIGINT AS copies
-        FROM rows{n} AS d JOIN state{n} AS s ON d.source IS NOT DISTINCT FROM s.source
-        LEFT JOIN last ON d.source IS NOT DISTINCT FROM last.source
+        SELECT d.*, s.source_size, s.target, (times + (coalesce(k, 0) >= no)::INT)::BIGINT AS copies
+        FROM (SELECT *, row_number() OVER (PARTITION BY source, h, doc_id, size) AS no FROM sized) AS d
+        JOIN state AS s ON d.source IS NOT DISTINCT FROM s.source
+        LEFT JOIN allowed AS k ON d.h = k.h AND d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.size = k.size AND d.source IS NOT DISTINCT FROM k.source
     )"""
 
 
