@@ -572,6 +572,29 @@ register("h_logged_run", _logged, """SELECT 'orders' AS dataset_name, 'succeeded
     count(*) AS output_row_count, 's' AS metric_key, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_totalprice > 250000""")
 
 
+def _logged_export(spark, folder):
+    """A logged export in order: one pass writes the rows and counts them with the metrics."""
+    path = _scratch(spark)
+    wanted = ["count", "sum", "avg", "min", "max", "percentage", "count_distinct", "median"]
+    rec = recipe(HIGH, {"kind": "sort", "by": [{"column": "o_totalprice", "direction": "desc"}]}, metrics=[{"id": o, "operation": o, "column": "o_totalprice"} for o in wanted])
+    history.logged(
+        spark, path, rec, lambda: recipes.run(table(spark, folder, "orders"), rec, order_by=["o_orderkey"]),
+        watched=lambda frame, watch: export.write_delimited(frame, f"{path}/csv", ["o_orderkey"], watch=watch), dataset_name="orders")
+    exported = spark.read.option("header", "true").csv(f"{path}/csv").agg(F.count(F.lit(1)))
+    runs, measured = (spark.read.parquet(f"{path}/{name}") for name in ("executions", "execution_metrics"))
+    return runs.join(measured, F.col("id") == F.col("execution_id")).select(
+        "input_row_count", "output_row_count", exported.scalar().alias("exported"), "metric_key", F.round("value", 2).alias("value"))
+
+
+_EXPORTED = "FROM orders WHERE o_totalprice > 250000"
+register("h_logged_export", _logged_export, " UNION ALL ".join(
+    f"""SELECT (SELECT count(*) FROM orders) AS input_row_count, (SELECT count(*) {_EXPORTED}) AS output_row_count,
+    (SELECT count(*) {_EXPORTED}) AS exported, '{name}' AS metric_key, round(CAST({value} AS DOUBLE), 2) AS value {_EXPORTED}"""
+    for name, value in (("count", "count(*)"), ("sum", "sum(o_totalprice)"), ("avg", "avg(o_totalprice)"), ("min", "min(o_totalprice)"),
+                        ("max", "max(o_totalprice)"), ("percentage", "100.0 * count(*) / (SELECT count(*) FROM orders)"),
+                        ("count_distinct", "count(DISTINCT o_totalprice)"), ("median", "median(o_totalprice)"))))
+
+
 # --- many datasets ---------------------------------------------------------
 
 def _pairs(spark, folder):

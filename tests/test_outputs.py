@@ -85,6 +85,32 @@ def test_logged_runs(spark, odd_rows, tmp_path):
     assert history.execution_listing(executions, users, "u1", page=2, size=1).first()["status"] == "succeeded"
 
 
+@pytest.mark.parametrize("steps", [[], [{"kind": "filter", "filter": {"type": "group", "logic": "AND", "children": [
+    {"type": "condition", "column": "n", "operator": "greater_than", "value": 10**6}]}}]])
+def test_watched_export(spark, odd_rows, tmp_path, steps):
+    """The watch sees what a metric computed afterwards sees, also of an empty result and of unwritten columns."""
+    wanted = [{"id": f"{o}-{c}", "operation": o, "column": c} for o in metrics.OPERATIONS for c in ("n", "v", "+text")]
+    frame = recipes.run(odd_rows, {"version": 1, "steps": steps}, order_by=["n"])
+    for ordered in (True, False):
+        watch = metrics.Watch(frame, wanted)
+        export.write_delimited(frame, f"{tmp_path}/{ordered}", ["n", "v"], ordered=ordered, watch=watch)
+        assert watch.rows == frame.df.count() == spark.read.option("header", "true").csv(f"{tmp_path}/{ordered}").count()
+        seen, computed = watch.metrics(), metrics.compute(frame, wanted)
+        assert seen.orderBy("position").collect() == computed.orderBy("position").collect()
+        summed = [export.summary(frame, seen, "s", "now", rows).orderBy("position").collect() for rows in (watch.rows, None)]
+        assert summed[0] == summed[1]
+
+
+def test_watched_export_counts_each_row_once(spark, tmp_path):
+    """Sorting samples its input in a pass of its own, which the watch must not count."""
+    frame = recipes.run(spark.range(20_000).repartition(7), {"version": 1, "steps": []}, order_by=["id"])
+    wanted = [{"id": "s", "operation": "sum", "column": "id"}]
+    history.logged(spark, str(tmp_path), {"metrics": wanted}, lambda: frame, watched=lambda f, w: export.write_delimited(f, f"{tmp_path}/csv", watch=w))
+    run = spark.read.parquet(f"{tmp_path}/executions").first()
+    assert (run.input_row_count, run.output_row_count) == (20_000, 20_000)
+    assert [r.value for r in spark.read.parquet(f"{tmp_path}/execution_metrics").collect()] == [sum(range(20_000))]
+
+
 def test_versions(spark):
     recipes_df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "recipe_id int, name string")
     versions = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "recipe_id int, version_number int, definition string")

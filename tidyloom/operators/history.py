@@ -37,12 +37,15 @@ ROWS = "__rows"
 
 def logged(
     spark: SparkSession, folder: str, recipe: dict, frame_for: Callable[[], Frame],
-    action: Callable[[Frame], None] = lambda frame: None, **context: str,
+    action: Callable[[Frame], None] = lambda frame: None,
+    watched: Callable[[Frame, metric_ops.Watch], None] | None = None, **context: str,
 ) -> str:
     """Run ``action`` on a recipe result and append the run to the history.
 
-    Failures are written down too, then raised again. ``context`` fills the
-    columns that tell user, dataset and recipe.
+    An action that reads the whole result once, such as an export, is given as ``watched`` and
+    puts the watch into its plan; then rows and simple metrics come from that pass and the
+    recipe does not run again for them. Failures are written down too, then raised again.
+    ``context`` fills the columns that tell user, dataset and recipe.
     """
     run_id = str(uuid.uuid4())
     started, clock = _now(), time.perf_counter()
@@ -50,8 +53,14 @@ def logged(
     try:
         frame = frame_for()
         action(frame)
-        # One aggregate gives all metrics and the rows of the result, as one small row each.
-        counted = metric_ops.compute(frame, [*(recipe.get("metrics") or []), {"id": ROWS, "operation": "count"}])
+        # All metrics and the rows of the result, as one small row each.
+        wanted = [*(recipe.get("metrics") or []), {"id": ROWS, "operation": "count"}]
+        if watched:
+            watch = metric_ops.Watch(frame, wanted)
+            watched(frame, watch)
+            counted = watch.metrics()
+        else:
+            counted = metric_ops.compute(frame, wanted)
         found = counted.collect()
         rows = int(found[-1]["value"])
         read = frame.base.agg(F.count(F.lit(1))).first()[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.model import CURRENCY, ColumnSpec, col
+from tidyloom.operators.metrics import Watch
 from tidyloom.operators.steps import select_columns
 from tidyloom.plans.frame import Frame
 
@@ -60,24 +61,27 @@ def export_frame(frame: Frame, columns: list[str] | None = None) -> Frame:
     return select_columns(frame, {"columns": columns}) if columns else frame
 
 
-def formatted(frame: Frame, columns: list[str] | None = None, ordered: bool = True) -> DataFrame:
+def formatted(frame: Frame, columns: list[str] | None = None, ordered: bool = True, watch: Watch | None = None) -> DataFrame:
     """Result as text cells under safe names, in its order."""
     chosen = export_frame(frame, columns)
-    df = chosen.df.orderBy(*chosen.order_by()) if ordered and chosen.order else chosen.df
+    # A watch may count columns that are not shown.
+    source = frame if watch else chosen
+    df = source.df.orderBy(*source.order_by()) if ordered and source.order else source.df
+    df = watch.on(df) if watch else df
     return df.select(*(cell_text(c).alias(neutralize_name(c.name)) for c in chosen.schema.columns))
 
 
 def write_delimited(
     frame: Frame, path: str, columns: list[str] | None = None,
-    rows_per_file: int = SHEET_ROWS, mode: str = "errorifexists", ordered: bool = True,
+    rows_per_file: int = SHEET_ROWS, mode: str = "errorifexists", ordered: bool = True, watch: Watch | None = None,
 ) -> None:
     """Write the result as delimited text that spreadsheet programs open directly.
 
     All tasks write at once; no file holds more rows than a sheet, and none is lost.
     The names of the files follow the order of the rows, unless ``ordered`` is
-    off, which saves the sort.
+    off, which saves the sort. A ``watch`` on the frame sees all rows on their way.
     """
-    rows = formatted(frame, columns, ordered)
+    rows = formatted(frame, columns, ordered, watch)
     first, *others = rows.columns
     # Every file starts with the mark that tells programs the encoding.
     marked = rows.select(col(first).alias(BOM + first), *map(col, others))
@@ -92,19 +96,20 @@ def write_delimited(
     )
 
 
-def summary(frame: Frame, metrics: DataFrame, source: str, created: str | None = None) -> DataFrame:
+def summary(frame: Frame, metrics: DataFrame, source: str, created: str | None = None, rows: int | None = None) -> DataFrame:
     """What was exported and what the metrics gave: position, label, text, value.
 
-    Metrics that could not be computed are left out.
+    Metrics that could not be computed are left out. ``rows`` is the number of exported rows, if
+    a watch of the export has counted them.
     """
-    exported = frame.df.agg(F.count(F.lit(1)).alias("n"))
+    exported = frame.df.agg(F.count(F.lit(1)).alias("n")) if rows is None else frame.df.sparkSession.createDataFrame([(rows,)], "n long")
     now = F.lit(created) if created else F.date_format(F.current_timestamp(), "dd/MM/yyyy HH:mm")
-    rows = F.array(
+    lines = F.array(
         _line(0, F.lit(SOURCE_LABEL), neutralize(F.lit(source)), F.lit(None)),
         _line(1, F.lit(CREATED_LABEL), now, F.lit(None)),
         _line(2, F.lit(ROWS_LABEL), F.col("n").cast("string"), F.col("n")),
     )
-    head = exported.select(F.inline(rows))
+    head = exported.select(F.inline(lines))
     money = F.concat(F.lit("R$ "), decimal_text(F.col("value")))
     text = F.when(F.col("value").isNull(), F.lit(MISSING)).when(F.col("format") == CURRENCY, money)
     body = metrics.where(F.col("error").isNull()).select(
