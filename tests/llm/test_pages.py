@@ -137,6 +137,20 @@ def test_minimum_cut_is_minimal():
         assert cost(main_text.minimum_cut(source, sink, links)) == pytest.approx(best)
 
 
+def test_minimum_cut_of_many_undecided_nodes():
+    """A chain of weak terminals, against the cheapest labelling found from end to end."""
+    rng = random.Random(4)
+    for n, most in ((2_000, 0.3), (30_000, 0.3), (2_000, 3.0)):
+        source, sink = ([rng.random() * most for _ in range(n)] for _ in range(2))
+        links = {(i - 1, i): 1.0 for i in range(1, n)}
+        best = [source[0], sink[0]]
+        for i in range(1, n):
+            best = [min(best[0], best[1] + 1) + source[i], min(best[1], best[0] + 1) + sink[i]]
+        side = main_text.minimum_cut(source, sink, links)
+        found = sum(b if s else a for s, a, b in zip(side, source, sink, strict=True)) + sum(a != b for a, b in itertools.pairwise(side))
+        assert found == pytest.approx(min(best))
+
+
 def test_long_page():
     page = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(5000)) + "</article><footer>x</footer>"
     assert main_text.extract(page).count("\n") == 4999

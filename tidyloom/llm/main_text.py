@@ -79,6 +79,8 @@ MAIN_NAMES = frozenset("article content entry main post story maincontent articl
 BIAS, IN_MAIN, IN_APART, LINKED, WORDS, TEXTUAL, SENTENCE = -2.0, 3.5, -8.0, -4.0, 0.8, 0.8, 0.6
 #: Capacity between blocks, and between following blocks of one parent, side by side in the tree.
 NEXT, SIBLING = 1.0, 1.0
+#: Capacity that counts as none.
+TINY = 1e-9
 
 
 class Element:
@@ -343,33 +345,84 @@ def minimum_cut(source: list[float], sink: list[float], links: dict[tuple[int, i
 
 
 def _max_flow(nodes: list[int], source: list[float], sink: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Source side of the minimum cut, by shortest augmenting paths."""
-    left: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
-    start, end = -1, -2
-    left[start] = {i: source[i] for i in nodes}
-    left[end] = {}
-    for i in nodes:
-        left[i][end] = sink[i]
+    """Source side of the minimum cut, by blocking flows along shortest paths.
+
+    What both terminals of a node carry passes straight through it, so a node is left with
+    either something to send or room to take, and paths run between those. A round sends all
+    that shortest paths let through, to takers at any distance, and enters no dead end twice.
+    """
+    place = {node: p for p, node in enumerate(nodes)}
+    spare = [source[node] - sink[node] for node in nodes]
+    target: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in nodes]
+    for p, node in enumerate(nodes):
+        for other, width in near[node].items():
+            q = place[other]
+            if p < q:
+                # Arcs 2k and 2k + 1 are the two directions of a link.
+                arcs[p].append(len(target))
+                arcs[q].append(len(target) + 1)
+                target += (q, p)
+                room += (width, width)
     while True:
-        came = {start: start}
-        queue = deque([start])
-        while queue and end not in came:
-            a = queue.popleft()
-            for b, room in left[a].items():
-                if room > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if end not in came:
-            return [i in came for i in nodes]
-        path, b = [], end
-        while b != start:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(left[a][b] for a, b in path)
-        for a, b in path:
-            left[a][b] -= flow
-            if a != start and b != end:
-                left[b][a] = left[b].get(a, 0) + flow
+        level, reached = _levels(spare, target, room, arcs)
+        if not reached:
+            return [depth >= 0 for depth in level]
+        at = [0] * len(nodes)
+        for start in [p for p, left in enumerate(spare) if left > TINY]:
+            _send(start, spare, target, room, arcs, level, at)
+
+
+def _levels(spare: list[float], target: list[int], room: list[float], arcs: list[list[int]]) -> tuple[list[int], bool]:
+    """Distance of every node from those that can send, -1 where they do not reach, and whether one can take."""
+    level = [0 if left > TINY else -1 for left in spare]
+    front, depth, reached = [p for p, d in enumerate(level) if d == 0], 0, False
+    while front:
+        depth += 1
+        following = []
+        for p in front:
+            for arc in arcs[p]:
+                q = target[arc]
+                if level[q] < 0 and room[arc] > TINY:
+                    level[q] = depth
+                    following.append(q)
+                    reached = reached or spare[q] < -TINY
+        front = following
+    return level, reached
+
+
+def _send(
+    start: int, spare: list[float], target: list[int], room: list[float], arcs: list[list[int]], level: list[int], at: list[int]
+) -> None:
+    """Send from one node whatever the level graph lets through; ``at`` tells the next arc of every node."""
+    path: list[int] = []
+    p = start
+    while spare[start] > TINY:
+        if spare[p] < -TINY:
+            flow = min(spare[start], -spare[p], *(room[arc] for arc in path))
+            spare[start] -= flow
+            spare[p] += flow
+            for arc in path:
+                room[arc] -= flow
+                room[arc ^ 1] += flow
+            # Go on from the first link that is full now.
+            full = next((i for i, arc in enumerate(path) if room[arc] <= TINY), len(path))
+            if full < len(path):
+                p = target[path[full] ^ 1]
+                del path[full:]
+            continue
+        own = arcs[p]
+        while at[p] < len(own) and not (room[own[at[p]]] > TINY and level[target[own[at[p]]]] == level[p] + 1):
+            at[p] += 1
+        if at[p] < len(own):
+            path.append(own[at[p]])
+            p = target[path[-1]]
+        elif path:
+            p = target[path.pop() ^ 1]
+            at[p] += 1
+        else:
+            return
 
 
 def extract(page: str | None) -> str:
