@@ -272,6 +272,19 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_counts_of_shingles_bound_what_lines_share():
+    rng = random.Random(3)
+    listed = ["".join(rng.choice("abc ") for _ in range(rng.choice((1, 5, 8, 40, 400)))) for _ in range(400)] + ["long " * 60_000, "x"]
+    found = line_dedup.counts(listed)
+    sizes = [len(line_dedup.shingles(x)) for x in listed]
+    assert found.sum(axis=1).tolist() == sizes
+    for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(300)):
+        shared = len(line_dedup.shingles(listed[a]) & line_dedup.shingles(listed[b]))
+        assert shared <= min(sizes[a], sizes[b], int(np.minimum(found[a], found[b]).sum()))
+    together, alone = line_dedup.bands(listed), [line_dedup.bands([x])[0].tolist() for x in listed]
+    assert together.tolist() == alone
+
+
 def contamination(rows, items, window=13):
     owners = defaultdict(set)
     for name, text in items:

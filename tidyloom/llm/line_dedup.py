@@ -4,12 +4,14 @@ A line is the set of its character shingles. One-permutation MinHash over them g
 48 minima, 12 bands of 4: a pair at the threshold of 0.8 shares a band with probability
 0.998, one at 0.85 with 0.9999. Candidates are verified by exact Jaccard similarity.
 
-Buckets are not paired off. First every line is compared with the smallest line of each of
-its buckets, and verified pairs are joined to components. What is left are pairs of one
-bucket in different components; of those only the ones are compared that the triangle
-inequality of the Jaccard distance, by way of the bucket's smallest line, leaves possible.
-So no link between lines of different components is lost, and a bucket with thousands of
-near copies costs about one comparison a line.
+Buckets are not paired off. First every line is compared with the least of the smallest lines
+of its buckets, and verified pairs are joined to components; then with the others of these,
+where they are in another component. What is left are pairs of one bucket in different
+components; of those only the ones are compared that the triangle inequality of the Jaccard
+distance, by way of the bucket's smallest line, leaves possible. No pair is compared in full
+that cannot be similar by the counts of its shingles in 128 parts of the hash range. So no
+link between lines of different components is lost, and a bucket with thousands of near
+copies costs about one comparison a line.
 
 The first line of a component, by doc_id (nulls first) and place, stays; the others are
 removed. Equal lines count as one line found several times.
@@ -39,12 +41,16 @@ BANDS, ROWS = 12, 4
 SIMILAR = 0.8
 #: Characters of text whose shingles are hashed at once; a longer text is looked at alone.
 CHUNK = 1 << 20
+#: Characters at a time within that, so that the arrays stay in the cache of a core.
+SLICE = 1 << 17
 #: Draws for an empty bin before its neighbours are asked.
 DRAWS = 64
 #: Parts of the hash range by which shingles are counted, to bound what two lines share.
 #: A count is a row of one bits, up to MOST of them, eight counts to a number.
 MOST, NUMBERS = 8, 16
 PARTS = 8 * NUMBERS
+#: Shingles by which that bound is wider than counted.
+SLACK = 2
 
 EMPTY = np.iinfo(np.uint64).max
 
@@ -91,8 +97,24 @@ def _hashed(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner, mix((sums[at + SHINGLE] - sums[at]) * inverse[at])
 
 
+def _slices(listed: list[str]) -> Iterator[list[str]]:
+    """Consecutive lines of about SLICE characters together."""
+    start = held = 0
+    for i, line in enumerate(listed):
+        held += len(line) + 1
+        if held >= SLICE:
+            yield listed[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(listed):
+        yield listed[start:]
+
+
 def bands(listed: list[str]) -> np.ndarray:
     """(lines, BANDS) hashes of the bands of every line."""
+    return np.concatenate([np.zeros((0, BANDS), U), *map(_bands, _slices(listed))])
+
+
+def _bands(listed: list[str]) -> np.ndarray:
     bins = BANDS * ROWS
     owner, values = _hashed(listed)
     slot = ((values >> U(32)) * U(bins) >> U(32)).astype(np.int64)
@@ -104,12 +126,17 @@ def bands(listed: list[str]) -> np.ndarray:
 
 def counts(listed: list[str]) -> np.ndarray:
     """(lines, PARTS) numbers of different shingles whose hash falls into each part."""
+    return np.concatenate([np.zeros((0, PARTS), np.int64), *map(_counts, _slices(listed))])
+
+
+def _counts(listed: list[str]) -> np.ndarray:
     owner, values = _hashed(listed)
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])))[: len(owner)]
-    part = (values[new] % U(PARTS)).astype(np.int64)
-    return np.bincount(owner[new] * PARTS + part, minlength=len(listed) * PARTS).reshape(len(listed), PARTS)
+    # The line above the upper bits of the hash, so that one sort does; SLACK allows for bits that are cut off.
+    cut = U(len(listed).bit_length())
+    keys = np.sort(owner.astype(U) << (U(64) - cut) | values >> cut)
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    slot = (keys >> (U(64) - cut)) * U(PARTS) + (keys << cut >> (U(64) - U(PARTS.bit_length() - 1)))
+    return np.bincount(slot.astype(np.int64), minlength=len(listed) * PARTS).reshape(len(listed), PARTS)
 
 
 PACKED = [f"parts{i}" for i in range(NUMBERS)]
@@ -128,7 +155,13 @@ def _shared_at_most() -> Column:
     Common bits of two counts are the smaller count; beyond the bits the smaller sum is enough.
     """
     common = [F.bit_count(F.col(f"{name}_a").bitwiseAND(F.col(f"{name}_b"))) for name in PACKED]
-    return sum(common[1:], common[0]) + F.least("over_a", "over_b")
+    return sum(common[1:], common[0]) + F.least("over_a", "over_b") + SLACK
+
+
+def _may() -> Column:
+    """Whether the bound on what two lines share leaves them similar."""
+    share = _shared_at_most()
+    return share >= SIMILAR * (F.col("size_a") + F.col("size_b") - share) - 1e-9
 
 
 def _id(line: str) -> tuple[int, int]:
@@ -189,9 +222,9 @@ def _texts(joined: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance) of pairs of lines, by the sets of their shingles."""
-    left, right = (texts.select(F.col("line").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    """(a, b, distance) of those pairs of lines that may be similar, by the sets of their shingles."""
+    left, right = (texts.select(F.col("line").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("text", "size", "over", *PACKED))) for s in "ab")
+    joined = pairs.join(right, "b").join(left, "a").where(_may()).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -214,19 +247,27 @@ def line_classes(docs: DataFrame, found: DataFrame, packed: DataFrame) -> DataFr
     """(line, root) for lines that have a near duplicate."""
     dealt = _banded(docs).repartition("bucket")
     least = dealt.groupBy("bucket").agg(F.min("line").alias("rep"), F.max("line").alias("top")).where("rep < top").select("bucket", "rep")
-    shared = saved(dealt.join(least, "bucket").where("line <> rep").distinct())
+    # One row a bucket with several lines, far less than the lines, which so need no sort.
+    shared = saved(dealt.join(least.hint("shuffle_hash"), "bucket").where("line <> rep").distinct())
     wanted = shared.select("line").unionByName(shared.select(F.col("rep").alias("line"))).distinct()
     place = F.min(F.struct("k1", "k2", "no")).alias("at")
     want = found.join(wanted, "line").groupBy("line").agg(place).groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("line", "at.no")).alias("want"))
     # Equal documents give a line once each.
     texts = saved(_texts(packed.join(want, ["k1", "k2"]).select("text", "want")).groupBy("line").agg(F.min(F.struct("text", "size", "over", *PACKED)).alias("x")).select("line", "x.*"))
 
-    stars = _verified(shared.select(F.col("rep").alias("a"), F.col("line").alias("b")).distinct(), texts)
-    links = _linked(stars)
-    roots = saved(components(links))
-
-    # Pairs of a bucket in different components, near enough to its smallest line both.
-    known = shared.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("line"), "distance"), ["rep", "line"]).join(
+    # Every line with one of its smallest lines; with the others only where these are not in its component by then.
+    stars = _verified(shared.groupBy("line").agg(F.min("rep").alias("a")).select("a", F.col("line").alias("b")), texts)
+    roots = saved(components(_linked(stars)))
+    pairs = shared.select(F.col("rep").alias("a"), F.col("line").alias("b")).distinct()
+    top = {s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    least_of = shared.groupBy(F.col("line").alias("b")).agg(F.min("rep").alias("tried"))
+    other = pairs.join(least_of, "b").where("a <> tried").join(top["b"], "b", "left").join(top["a"], "a", "left").where(apart).select("a", "b")
+    stars = stars.unionByName(_verified(other, texts))
+    roots = saved(components(_linked(stars)))
+
+    # Pairs of a bucket in different components, near enough to its smallest line both where that is known.
+    known = shared.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("line"), "distance"), ["rep", "line"], "left").join(
         roots.withColumnRenamed("node", "line"), "line", "left"
     ).select("bucket", "line", "distance", F.coalesce("root", "line").alias("root"))
     mixed = saved(known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket"))
@@ -235,11 +276,9 @@ def line_classes(docs: DataFrame, found: DataFrame, packed: DataFrame) -> DataFr
         open_.select("bucket", F.col("line").alias(s), F.col("distance").alias(f"from_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "size", "over", *PACKED)))
         for s in "ab"
     )
-    near = F.abs(F.col("from_a") - F.col("from_b")) <= 1 - SIMILAR + 1e-9
+    near = F.coalesce(F.abs(F.col("from_a") - F.col("from_b")) <= 1 - SIMILAR + 1e-9, F.lit(True))
     # Lines share at most the smaller count of each part; that bounds their similarity from above.
-    share = _shared_at_most()
-    may = share >= SIMILAR * (F.col("size_a") + F.col("size_b") - share) - 1e-9
-    rest = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & may)
+    rest = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & _may())
     rest = saved(rest.select("a", "b", "root_a", "root_b").distinct())
     more = _linked(_verified(rest.select("a", "b"), texts)).join(rest, ["a", "b"])
     # New links join components as wholes.
@@ -259,10 +298,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     classes = saved(line_classes(small.select("text"), found, packed))
 
     place = F.min(F.struct("doc_id", "k1", "k2", "no"))
-    firsts = found.groupBy("line", "more").agg(place.alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "line", "left")
+    # Most lines occur once and resemble none; only the others are put in order.
+    times = found.groupBy("line", "more").agg(F.count(F.lit(1)).alias("n")).join(classes.hint("shuffle_hash"), "line", "left")
+    several = saved(times.where("n > 1 OR root IS NOT NULL").drop("n"))
+    few = saved(found.join(several.hint("shuffle_hash"), ["line", "more"]))
+    firsts = few.groupBy("line", "more").agg(place.alias("first")).join(several, ["line", "more"])
     keepers = firsts.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("keeper"))
-    again = firsts.where("n > 1 OR root IS NOT NULL").join(keepers, "root", "left").select("line", "more", F.coalesce("keeper", "first").alias("keeper"))
-    gone = found.join(again, ["line", "more"]).where(F.struct("doc_id", "k1", "k2", "no") != F.col("keeper"))
+    again = firsts.join(keepers, "root", "left").select("line", "more", F.coalesce("keeper", "first").alias("keeper"))
+    gone = few.join(again, ["line", "more"]).where(F.struct("doc_id", "k1", "k2", "no") != F.col("keeper"))
     cut = saved(gone.select("doc_id", "k1", "k2", "no").distinct().groupBy("doc_id", "k1", "k2").agg(F.collect_list("no").alias("gone")))
     cut = cut.withColumnsRenamed({"doc_id": "__id", "k1": "__c1", "k2": "__c2", "gone": "__gone"})
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2"))
