@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalog import filters, results, steps  # noqa: F401
+from catalog import filters, results, steps, stored  # noqa: F401
 from catalog.registry import ORACLES, QUERIES
 from catalog.steps import FLAGSHIP
 
