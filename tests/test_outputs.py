@@ -137,6 +137,21 @@ def test_missing_columns(spark):
     assert sorted(map(tuple, fleet.compatibility(pairs, wanted, present).collect())) == [(1, "x", 1), (1, "y", 0), (2, "x", 0)]
 
 
+def test_lacking_names_beyond_one_word_of_bits(spark):
+    needs = {r: {f"c{i}" for i in range(0, 400, r)} for r in (1, 3, 7)} | {9: set()}
+    holds = {d: {f"c{i}" for i in range(500) if i % d} for d in (2, 5)} | {6: set(), 8: {"c63", "c64", None}}
+    pairs = spark.createDataFrame([(r, d) for r in needs for d in holds], "recipe_id int, dataset_id int")
+    wanted = spark.createDataFrame([(r, c) for r, cs in needs.items() for c in [*cs, None] * 2], "recipe_id int, column string")
+    present = spark.createDataFrame([(d, c) for d, cs in holds.items() for c in cs], "dataset_id int, column string").repartition(3)
+    lacking = {(r, d): needs[r] - holds[d] for r in needs for d in holds}
+    assert sorted(map(tuple, fleet.compatibility(pairs, wanted, present).collect())) == sorted((r, d, len(x)) for (r, d), x in lacking.items())
+    got = sorted(map(tuple, fleet.missing_columns(pairs, wanted, present).collect()))
+    assert got == sorted((r, d, c) for (r, d), x in lacking.items() for c in x)
+    none = wanted.where("false")
+    assert fleet.missing_columns(pairs, none, present).count() == 0
+    assert {r["missing"] for r in fleet.compatibility(pairs, none, present).collect()} == {0}
+
+
 def test_resolve_names(spark):
     boat = ["Hull", "Mast height", "Sail", "Sail maker"]
     present = spark.createDataFrame(

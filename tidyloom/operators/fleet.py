@@ -192,23 +192,42 @@ def refused_recipes(definitions: DataFrame) -> DataFrame:
     return definitions.select("recipe_id", _reason().alias("reason")).where("reason IS NOT NULL")
 
 
-def _lacking(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """Every pair with the array of columns it lacks.
+def _numbered(wanted: DataFrame) -> DataFrame:
+    """Dictionary of the names that recipes need: column, word of 64 names, bit in it.
 
-    Names travel as one array per recipe and per dataset, so no row is made for a column
-    that is there. A recipe that most datasets use is repeated under a few salts.
+    Numbers leave gaps between parts, which costs words but no task that sees all names.
+    It is written, so that a repeated task gives no name another number.
     """
-    salted = wanted.groupBy(F.col("recipe_id").alias("of_recipe")).agg(F.collect_set("column").alias("needed")).withColumn(
-        "of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    number = F.monotonically_increasing_id()
+    names = wanted.where(F.col("column").isNotNull()).select("column").distinct().orderBy("column").select("column", number.alias("number"))
+    return written(names.select("column", F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(F.lit(63)).cast("int").alias("bit")))
+
+
+def _bitmaps(listed: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """One row per key: its names as bits of words; names out of the dictionary are left out."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    words = listed.join(names, "column").groupBy(key, "word").agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy(key).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+
+
+def _lacking(pairs: DataFrame, wanted: DataFrame, present: DataFrame, names: DataFrame) -> DataFrame:
+    """Every pair with the words of names it lacks: those of the recipe and not of the dataset.
+
+    A recipe and a dataset meet once, with 16 bytes for up to 64 names. A recipe that most
+    datasets use is repeated under a few salts.
+    """
+    salted = _bitmaps(wanted, names, "recipe_id").select(
+        F.col("recipe_id").alias("of_recipe"), F.col("words").alias("needed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt")
     )
-    held = present.groupBy(F.col("dataset_id").alias("of_dataset")).agg(F.collect_set("column").alias("there"))
+    held = _bitmaps(present, names, "dataset_id").select(F.col("dataset_id").alias("of_dataset"), F.map_from_entries("words").alias("there"))
     dealt = pairs.select("recipe_id", "dataset_id", F.pmod(F.xxhash64("dataset_id"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = dealt.join(salted, (F.col("recipe_id") == F.col("of_recipe")) & (F.col("salt") == F.col("of_salt")), "left").join(
         held, F.col("dataset_id") == F.col("of_dataset"), "left"
     )
-    none = F.array().cast("array<string>")
-    lacking = F.array_except(F.coalesce("needed", none), F.coalesce("there", none))
-    return joined.select("recipe_id", "dataset_id", lacking.alias("lacking"))
+    there = lambda word: F.coalesce(F.try_element_at("there", word), F.lit(0).cast("long"))
+    lacking = F.transform("needed", lambda w: F.struct(w["word"].alias("word"), w["bits"].bitwiseAND(F.bitwise_not(there(w["word"]))).alias("bits")))
+    none = F.array().cast("array<struct<word:bigint,bits:bigint>>")
+    return joined.select("recipe_id", "dataset_id", F.coalesce(lacking, none).alias("lacking"))
 
 
 def missing_columns(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -217,12 +236,16 @@ def missing_columns(pairs: DataFrame, wanted: DataFrame, present: DataFrame) ->
     ``pairs`` says which recipe is to run on which dataset; ``wanted`` is
     ``(recipe_id, column)``, ``present`` is ``(dataset_id, column)``.
     """
-    return _lacking(pairs, wanted, present).select("recipe_id", "dataset_id", F.explode("lacking").alias("column"))
+    names = _numbered(wanted)
+    words = _lacking(pairs, wanted, present, names).select("recipe_id", "dataset_id", F.inline("lacking")).where("bits <> 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return words.select("recipe_id", "dataset_id", "word", F.explode(bits).alias("bit")).join(names, ["word", "bit"]).select("recipe_id", "dataset_id", "column")
 
 
 def compatibility(pairs: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Every pair with the number of columns it lacks; zero means the recipe fits."""
-    return _lacking(pairs, wanted, present).select("recipe_id", "dataset_id", F.size("lacking").cast("long").alias("missing"))
+    counted = F.aggregate("lacking", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"]))
+    return _lacking(pairs, wanted, present, _numbered(wanted)).select("recipe_id", "dataset_id", counted.alias("missing"))
 
 
 def resolve_names(requests: DataFrame, present: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
