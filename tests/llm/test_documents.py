@@ -4,12 +4,14 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 from tests.llm import odd
-from tidyloom.llm import components, decontaminate, fm_index, line_dedup, mixing, rules, sharding, simhash, substrings
+from tidyloom.llm import components, decontaminate, fm_index, line_dedup, mixing, oracles, rules, sharding, simhash, substrings
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +125,17 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_stops_where_shorter_documents_reach_the_target_to_the_word(spark):
+    """Short documents of many sources often fill one exactly; the next size then adds none."""
+    rng = random.Random(3)
+    rows = [(i, odd.prose(rng, rng.choice((1, 2, 3, 5, 40))), f"s{rng.randrange(60):02d}") for i in range(1200)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({n: [r[i] for r in rows] for i, n in enumerate(("doc_id", "text", "source"))}))
+    names = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    want = con.execute(oracles.op3_mixing()).fetchall()
+    assert sorted(map(tuple, mixing.mix(odd.table(spark, rows)).select(*names).collect())) == sorted(want)
+
+
 def test_mixing_without_words_and_another_seed(spark, docs):
     blank = odd.table(spark, [(1, None, "a"), (2, "", None)])
     assert [r.taken for r in mixing.mix(blank).collect()] == [0, 0]

@@ -104,11 +104,11 @@ def _fill(places: DataFrame, state: DataFrame) -> DataFrame:
     """Take ``n`` rows of each place in seeded order as long as they fit into its source's ``need``.
 
     Gives (__rank, cut, some, got): the place that fits in part or not at all, how many of its rows are
-    taken, and the words taken; without a cut everything fits. Words are summed over 4096 parts of the order
-    first; only the part in which a source is full is looked at place by place, so a hot
+    taken, and the words taken; without a cut everything fits, and a need of 0 cuts at the first place. Words are
+    summed over 4096 parts of the order first; only the part in which a source is full is looked at place by place, so a hot
     source is spread over many tasks.
     """
-    open_ = places.join(state.select("__rank", "need").where("need > 0"), "__rank")
+    open_ = places.join(state.select("__rank", "need"), "__rank")
     parts = open_.groupBy("__rank", "__part").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("need").alias("need"))
     summed = parts.withColumn("upto", F.sum("words").over(running(["__rank"], ["__part"])))
     full = summed.where("upto > need").groupBy("__rank").agg(F.min(F.struct("__part", (F.col("upto") - F.col("words")).alias("base"))).alias("f")).select(
@@ -168,7 +168,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
     ranks = state.select(F.col("source").alias("__s"), "__rank")
     places = places.where("size > 0").join(ranks, F.col("source").eqNullSafe(F.col("__s"))).select("__rank", "__part", *PLACE, "n")
 
-    found = _fill(places, state.withColumnRenamed("__need", "need")).select(
+    found = _fill(places, state.withColumnRenamed("__need", "need").where("need > 0")).select(
         "__rank", F.col("cut").alias("__cut1"), F.col("some").alias("__some1"), "got")
     state = saved(state.join(found, "__rank", "left").withColumn("__need2", F.col("__need") - F.coalesce("got", F.lit(0))).drop("got"))
 
@@ -180,6 +180,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
     levels = saved(summed.groupBy("__rank").agg(F.min(F.when(~within, F.col("size"))).alias("__level"), F.coalesce(F.sum(F.when(within, F.col("words"))), F.lit(0)).alias("got")))
     state = saved(state.join(levels, "__rank", "left").withColumn("need", F.col("__need2") - F.coalesce("got", F.lit(0))).drop("got"))
     level = left.join(levels.select("__rank", "__level"), "__rank").where("size = __level")
+    # Also where shorter ones reach the target to the word: without a cut all of this size would be taken.
     found = _fill(level.select("__rank", "__part", *PLACE, F.col("left").alias("n")), state.where("__level IS NOT NULL").select("__rank", "need")).select(
         "__rank", F.col("cut").alias("__cut2"), F.col("some").alias("__some2"), "got")
     state = saved(state.join(found, "__rank", "left").withColumn("__open", F.col("need") - F.coalesce("got", F.lit(0))).drop("got", "need"))
