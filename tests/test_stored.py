@@ -96,6 +96,15 @@ def test_new_and_changed_files_are_read_and_indexed_alone(spark, folder, tmp_pat
     assert file_index.equal_rows(spark, folder, store, "t", ["name 77"]).df.count() == 2
 
 
+def test_keys_are_combined_by_hash_before_the_shuffle(spark, folder, tmp_path, monkeypatch):
+    """Sorting all keys of a task took memory that grew with its rows."""
+    plans, plain = [], file_index.written
+    monkeypatch.setattr(file_index, "written", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df))
+    file_index.refresh(spark, folder, str(tmp_path / "store"), columns=["t"])
+    keyed = [p for p in plans if "Generate explode" in p]
+    assert keyed and all("HashAggregate" in p and "SortAggregate" not in p for p in keyed)
+
+
 def test_what_cannot_be_looked_up_is_refused(spark, folder, tmp_path):
     with pytest.raises(RecipeError):
         file_index.refresh(spark, folder, str(tmp_path / "a"), columns=["n"])

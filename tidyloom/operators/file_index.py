@@ -83,7 +83,8 @@ def _indexed(df: DataFrame, columns: list[str], types: dict[str, str] | None, ro
     keys = keys.where(F.col("key").isNotNull()).select(*IDENTITY, "kind", F.left("key", F.lit(EDGE)).alias("edge"), F.xxhash64("key").alias("h"), *(
         m.alias(f"m{i}") for i, m in enumerate(_marks(F.col("key")))))
     own = [*IDENTITY, "kind"]
-    different = written(keys.groupBy(*own, "h", *(f"m{i}" for i in range(MARKS))).agg(F.min("edge").alias("edge")))
+    # The edge is a function of the key. As one more key it lets the map tasks combine by hash; a least text would have them sort all keys.
+    different = written(keys.distinct())
     sizes = different.groupBy(*own).agg(
         F.count(F.lit(1)).alias("keys"), F.min("edge").alias("least"), F.max("edge").alias("most")
     ).withColumn("bitmaps", F.ceil(F.col("keys") / PER_BITMAP))
