@@ -53,3 +53,22 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     assert {f.name: KINDS[f.dataType.simpleString()] for f in df.schema.fields} == kinds
     assert got == rows_of(answer.fetchall(), [names.index(c) for c in columns])
+
+
+@pytest.mark.parametrize("name, least", [("s_admission_mixed", 5), ("s_multiline_split", 3)])
+def test_no_file_grows_with_the_table(spark, duck, name, least, tmp_path, monkeypatch):
+    """Files are written in as many parts as the table is read in; one file a language, or two in all, were one task each."""
+    monkeypatch.setattr("catalog.results._scratch", lambda spark: str(tmp_path / "files"))
+    settings = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "0"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = QUERIES[name](spark, SF)
+        got = rows_of(df.collect(), range(len(df.columns)))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(list((tmp_path / "files").rglob("*.csv"))) >= least
+    columns = ", ".join(df.columns)
+    assert got == rows_of(duck.execute(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall(), range(len(df.columns)))
