@@ -110,3 +110,12 @@ def test_thousands_of_headers_in_one_plan(spark, tmp_path):
         shown.append(df.select("key", "own0", "own7").collect())
     assert plans[0] == plans[1]
     assert len(shown[1]) == 1200 and {tuple(r) for r in shown[1]} == {("k", "0", None), ("k", None, "7"), ("k", None, None)}
+
+
+def test_records_are_joined_and_split_once(spark, tmp_path):
+    """Headers, types, rows and metrics read cells from a table; each used to join and split all lines again."""
+    (tmp_path / "a.csv").write_text('a;b\n"x\ny";1\n')
+    found = records.read_records(spark, str(tmp_path))
+    plan = found.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "split(" not in plan
+    assert [r.cells for r in found.rows.collect()] == [["x\ny", "1"]]

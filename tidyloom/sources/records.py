@@ -102,11 +102,13 @@ def records(lines: DataFrame, files: DataFrame) -> Records:
     # A mark at the start of a file belongs to no cell.
     bare = F.when((F.col("block") == 0) & F.startswith("record", F.lit("﻿")), F.substring("record", 2, 2**31 - 1)).otherwise(F.col("record"))
     whole = whole.withColumn("record", bare).where(F.col("record").rlike("[^\\x00-\\x20]"))
-    split = whole.select("source", "block", "row", split_cells(F.col("record"), F.col("sep")).alias("cells"))
+    # Written once: headers, types, rows and metrics read the cells, each the columns it needs, and do not join and split them again.
+    split = written(whole.select("source", "block", "row", split_cells(F.col("record"), F.col("sep")).alias("cells")))
     place = F.struct("block", "row")
+    # One row a block of a file, combined by hash; a struct as the least of all rows would have them sorted.
+    at = split.groupBy("source", "block").agg(F.min("row").alias("row")).groupBy("source").agg(F.min(place).alias("at"))
     first = written(
-        whole.groupBy("source").agg(F.min(place).alias("at"), F.min_by(F.struct("record", "sep"), place).alias("h"))
-        .select("source", "at", split_cells(F.col("h.record"), F.col("h.sep")).alias("names"))
+        split.join(at.select("source", "at.*"), ["source", "block", "row"]).select("source", place.alias("at"), F.col("cells").alias("names"))
         .mapInPandas(_named, "source string, at struct<block: long, row: long>, names array<string>")
     )
     rows = split.join(first.select("source", "at"), "source").where(place != F.col("at")).drop("at")
