@@ -59,7 +59,9 @@ def test_query(spark, duck, name):
 def test_no_file_grows_with_the_table(spark, duck, name, least, tmp_path, monkeypatch):
     """Files are written in as many parts as the table is read in; one file a language, or two in all, were one task each."""
     monkeypatch.setattr("catalog.results._scratch", lambda spark: str(tmp_path / "files"))
-    settings = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "0"}
+    # Small shuffles would be written by one task.
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    settings = {"spark.sql.files.maxPartitionBytes": "120k", "spark.sql.files.openCostInBytes": "0", **small}
     before = {key: spark.conf.get(key) for key in settings}
     try:
         for key, value in settings.items():
