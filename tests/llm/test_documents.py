@@ -285,6 +285,62 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_of_a_hot_group_makes_rows_by_lines_not_by_pairs(spark, monkeypatch):
+    """Lines of one template, most of them just under the threshold to each other, in one block and in many."""
+    rng = random.Random(12)
+    base = [rng.choice(odd.VOCABULARY) for _ in range(120)]
+    listed = []
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(120), 4 + i % 3 if i % 6 else 2):
+            own[at] = "".join(rng.choice("xyzw") for _ in range(6))
+        listed.append(" ".join(own))
+    rows = [(i, "\n".join(listed[i : i + 4]), "s") for i in range(0, 240, 4)]
+    made = []
+
+    def counted(df):
+        out = saved(df)
+        made.append(out.count())
+        return out
+
+    saved = line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", counted)
+    want = lines_kept(rows)
+    for block in (1000, 60):
+        monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+        found = line_dedup.dedup(odd.table(spark, rows)).collect()
+        assert {(r.doc_id, next(t for i, t, _ in rows if i == r.doc_id)): (r.n_lines, r.n_removed, r.kept) for r in found} == want
+    assert max(made) <= 12 * 240
+
+
+def test_links_of_lines_join_all_that_are_similar(monkeypatch):
+    rng = random.Random(13)
+    base = [" ".join(rng.choice(odd.VOCABULARY) for _ in range(25)) for _ in range(3)]
+    cells = []
+    for n in (2, 3, 8, 9, 70):
+        for _ in range(4):
+            own = {}
+            while len(own) < n:
+                words = rng.choice(base).split() * rng.choice((1, 1, 2))
+                for at in rng.sample(range(len(words)), rng.randrange(5)):
+                    words[at] = rng.choice(odd.VOCABULARY)
+                line = rng.choice((" ".join(words), " ".join(words), "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))))
+                if line not in own.values():
+                    own[rng.getrandbits(62)] = line
+            cells.append(own)
+    for held in (line_dedup.HELD, 300):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        found = list(line_dedup.links(cells))
+        for own in cells:
+            ids, sets = list(own), [line_dedup.shingles(x) for x in own.values()]
+            true = [(i, j) for i in range(len(ids)) for j in range(i) if line_dedup.similar(sets[i], sets[j]) >= 0.8]
+            place = {x: i for i, x in enumerate(ids)}
+            mine = [(place[a], place[b]) for a, b in found if a in place]
+            assert odd.roots(len(ids), mine) == odd.roots(len(ids), true)
+            assert len(mine) < len(ids)
+    assert list(line_dedup.links([])) == []
+
+
 def test_counts_of_shingles_bound_what_lines_share():
     rng = random.Random(3)
     listed = ["".join(rng.choice("abc ") for _ in range(rng.choice((1, 5, 8, 40, 400)))) for _ in range(400)] + ["long " * 60_000, "x"]

@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_lines(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without its near-duplicate lines."""
     cut = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
