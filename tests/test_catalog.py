@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as contract
 from catalog.registry import ORACLES, QUERIES
 from tests.conftest import SF
+from tidyloom.sources import delimited
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 KINDS = {
@@ -74,3 +75,25 @@ def test_no_file_grows_with_the_table(spark, duck, name, least, tmp_path, monkey
     assert len(list((tmp_path / "files").rglob("*.csv"))) >= least
     columns = ", ".join(df.columns)
     assert got == rows_of(duck.execute(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall(), range(len(df.columns)))
+
+
+ODD_TEXTS = ["plain", "", None, " ", " lead", "trail \t", "\ttab", "\r", "a\r\nb", '"', '""', 'say "hi"', '"a";"b', ";", "x\\", '\\"', "#", "\x0b", "\x01", "y\u0085z", "é 😀", "null"]
+
+
+@pytest.mark.parametrize("name", ["s_large_file"])
+def test_cells_of_any_text_survive_a_file(spark, tmp_path, name):
+    """Empty texts were read as missing, and spaces at the ends of a text were not written."""
+    langs = ["en", " en ", "", None, 'p"t', "d;e"]
+    rows = [(i, text, langs[i % len(langs)]) for i, text in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = sql.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert rows_of(df.collect(), range(len(df.columns))) == rows_of(expected, range(len(df.columns)))
+
+
+def test_empty_and_missing_cells_of_a_file_differ(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('a;b\n1;""\n2;\n3;" "\n')
+    (_, df), = delimited.scan_folder(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("1", ""), ("2", None), ("3", " ")}

@@ -16,6 +16,8 @@ from tidyloom.sources.headers import normalize_headers
 
 # Refused files that an error names.
 NAMED = 20
+# Stands for an empty cell while a line is read. No cell can hold it, since files with this sign are refused.
+EMPTY = "\u0000"
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,7 @@ def scan_delimited(
 ) -> DataFrame:
     """Read files with a header line. Long rows are cut, short ones filled with nulls.
 
+    Empty cells are null, quoted empty ones are empty texts.
     ``multiline`` lets quoted cells hold line ends, but makes each file one task;
     without it large files are split.
     """
@@ -58,6 +61,8 @@ def text_options(separator: str, encoding: str, multiline: bool) -> dict[str, st
         "header": "true", "enforceSchema": "true", "sep": separator, "encoding": encoding, "quote": '"', "escape": '"',
         "multiLine": str(multiline).lower(), "mode": "PERMISSIVE",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+        # With the same text for both, a quoted empty cell would be null as well.
+        "nullValue": EMPTY, "emptyValue": "",
     }
 
 
