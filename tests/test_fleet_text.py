@@ -82,3 +82,50 @@ def test_arriving_files_of_any_layout(spark, folder, tmp_path_factory):
     ]
     assert [r.source.rsplit("/", 1)[1] for r in spark.read.parquet(f"{out}/refused").collect()] == ["bad.csv"]
     assert {r.id for r in spark.read.parquet(f"{out}/metrics").collect()} == {"s"}
+
+
+def test_waiting_batches_are_read_by_one_plan(spark, tmp_path, monkeypatch):
+    """Each batch of two files took a dozen plans of its own. An interrupted run loses and doubles nothing."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"f{i}.csv").write_text("Cliente;Valor\n" + "".join(f"c{k % 3};{10 + i + k},50\n" for k in range(6)))
+    judged, seen, fails = streaming.records.judged_files, [], [True]
+
+    def counted(lines):
+        seen.append(1)
+        if fails:
+            fails.pop()
+            raise RuntimeError("lost")
+        return judged(lines)
+
+    monkeypatch.setattr(streaming.records, "judged_files", counted)
+    types = {"Cliente": "text", "Valor": "currency"}
+
+    def run():
+        arriving = streaming.read_arriving_lines(spark, str(folder), files_per_batch=2)
+        streaming.reapply_arriving_text(arriving, RECIPE, out, f"{out}/state", columns=list(types), types=types, once=True).awaitTermination()
+
+    with pytest.raises(RuntimeError):
+        run()
+    (folder / "late.csv").write_text("Cliente;Valor\nx;1,00\n")
+    run()
+    assert len(seen) == 2 and not (tmp_path / "out" / "waiting").exists()
+    run()
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert len(rows) == 18 and {r.batch for r in rows} == {0, 1, 2}
+    assert len({(r.source_file, r.Cliente) for r in rows}) == 18
+    totals = {r.source.rsplit("/", 1)[1]: r.value for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert totals == {f"f{i}.csv": 3 * (10.5 + i) + 3 for i in range(6)}
+    assert spark.read.parquet(f"{out}/refused").count() == 0
+
+
+def test_a_file_that_waits_twice(spark, tmp_path):
+    """Each time it is a dataset of its own batch."""
+    out = str(tmp_path)
+    for batch, value in ((7, b"a;20,00"), (8, b"a;30,00")):
+        lines = [("file:/a.csv", 0, 0, b"Cliente;Valor"), ("file:/a.csv", 0, 1, value)]
+        spark.createDataFrame(lines, "source string, block long, row long, line binary").write.parquet(f"{out}/waiting/batch={batch}")
+    types = {"Cliente": "text", "Valor": "currency"}
+    streaming._reapply_waiting(spark, RECIPE, out, None, list(types), types)
+    assert {(r.batch, r.Valor) for r in spark.read.parquet(f"{out}/rows").collect()} == {(7, 20.0), (8, 30.0)}
