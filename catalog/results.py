@@ -839,14 +839,10 @@ def _multiline_split(spark, folder):
     """Documents with their line ends in quoted cells, in files of many tasks each."""
     path = _scratch(spark)
     docs = table(spark, folder, "documents").select("doc_id", "lang", F.regexp_replace("text", "\r", " ").alias("text"))
-    docs.repartitionByRange(max(2, _shares(docs)), "doc_id").write.options(header="true", sep=";", quoteAll="true", escape='"').csv(path)
-    size, spark_size = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set(size, "64k")
-    try:
-        found = records.read_records(spark, path)
-        rows = written(records.columns_of(found, ["doc_id", "lang", "text"]))
-    finally:
-        spark.conf.set(size, spark_size)
+    docs.repartitionByRange(max(2, _shares(docs)), "doc_id").write.options(**_CELLS_AS_THEY_ARE).csv(path)
+    # Only the files are read in small pieces, not the tables that follow.
+    found = records.read_records(spark, path, pieces="64k")
+    rows = written(records.columns_of(found, ["doc_id", "lang", "text"]))
     return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5("text").alias("h"))
 
 

@@ -80,7 +80,7 @@ def test_no_file_grows_with_the_table(spark, duck, name, least, tmp_path, monkey
 ODD_TEXTS = ["plain", "", None, " ", " lead", "trail \t", "\ttab", "\r", "a\r\nb", '"', '""', 'say "hi"', '"a";"b', ";", "x\\", '\\"', "#", "\x0b", "\x01", "y\u0085z", "é 😀", "null"]
 
 
-@pytest.mark.parametrize("name", ["s_large_file"])
+@pytest.mark.parametrize("name", ["s_large_file", "s_multiline_split"])
 def test_cells_of_any_text_survive_a_file(spark, tmp_path, name):
     """Empty texts were read as missing, and spaces at the ends of a text were not written."""
     langs = ["en", " en ", "", None, 'p"t', "d;e"]

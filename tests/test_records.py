@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tidyloom.errors import SourceError
-from tidyloom.sources import records
+from tidyloom.sources import admission, records
 
 
 def read(spark, *paths, **options):
@@ -119,3 +119,19 @@ def test_records_are_joined_and_split_once(spark, tmp_path):
     plan = found.rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "split(" not in plan
     assert [r.cells for r in found.rows.collect()] == [["x\ny", "1"]]
+
+
+def test_small_pieces_are_read_by_few_tasks_and_once(spark, tmp_path, monkeypatch):
+    """Each piece of a file was a task of three scans, and so were the pieces of the tables made of them."""
+    (tmp_path / "a.csv").write_text("n;t\n" + "".join(f'{i};"line\n{i}"\n' for i in range(20_000)))
+    seen, placed = [], records.placed_lines
+    monkeypatch.setattr(records, "placed_lines", lambda read: seen.append(read) or placed(read))
+    monkeypatch.setattr(records, "admit", lambda *paths, lines, **more: seen.append(lines) or admission.admit(*paths, lines=lines, **more))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = records.read_records(spark, str(tmp_path), pieces="4k")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    _, lines = seen
+    assert lines.select("at.block").distinct().count() > 60
+    assert len(lines.inputFiles()) <= 16 and all(f.endswith(".parquet") for f in lines.inputFiles())
+    assert found.rows.count() == 20_000
+    assert {r.cells[1] == f"line\n{r.cells[0]}" for r in found.rows.collect()} == {True}

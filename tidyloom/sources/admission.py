@@ -43,21 +43,21 @@ _WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b
 _UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
 
 
-def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> DataFrame:
+def admit(spark: SparkSession, *paths: str, max_bytes: int | None = None, lines: DataFrame | None = None) -> DataFrame:
     """One row per file: path, size, kind, encoding, separator, header, multiline, ok and reason.
 
-    With ``max_bytes`` longer files are refused, by their length, without being opened.
+    With ``max_bytes`` longer files are refused, by their length, without being opened. ``lines`` are those of the text files as
+    ``(path, at, line)``, if they are read already.
     """
     # Without their content: files are listed here, and no reader holds a whole one.
     files = list_files(spark, *paths).select("path", "length").withColumn("kind", _kind())
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_FILES).text(list(paths))
-        .select(
+    if lines is None:
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_FILES).text(list(paths))
+        lines = read.select(
             same_form(F.col("_metadata.file_path")).alias("path"),
             F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
             F.col("value").cast("binary").alias("line"),
         )
-    )
     large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     files = files.withColumn("large", large)
     judged = _verdict(files, lines, archives_at(files.where(~F.col("large"))))
@@ -118,11 +118,15 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     line ends, most lines may be parts of cells, so only signs of the header are looked at.
     """
     latin = F.decode("line", "ISO-8859-1")
-    bare = F.regexp_replace(latin, '"[^"]*"?', "")
-    quotes = F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))
-    counted = lines.select(
-        "path", "at", "line", latin.alias("latin"), (quotes % 2 == 1).alias("odd"),
-        *((F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"n{i}") for i, s in enumerate(SEPARATORS)),
+    # The signs are one byte each, and lengths in bytes need no walk through the text.
+    times = lambda text, sign: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+    bare = F.when(F.contains("latin", F.lit('"')), F.regexp_replace("latin", '"[^"]*"?', "")).otherwise(F.col("latin"))
+    read = lines.select("path", "at", "line", latin.alias("latin")).select("*", bare.alias("bare"))
+    counted = read.select(
+        "path", "at", "line", "latin", (times(F.col("latin"), '"') % 2 == 1).alias("odd"),
+        *(times(F.col("bare"), s).alias(f"n{i}") for i, s in enumerate(SEPARATORS)),
+        # Longer in UTF-8 if it is not plain ASCII.
+        ((F.octet_length("latin") > F.octet_length("line")) & F.col("latin").rlike(_UNDEFINED)).alias("undefined"),
     )
     filled = F.trim("latin") != ""
     numbers = [
@@ -135,9 +139,10 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     ]
     per_file = counted.groupBy("path").agg(
         F.every(F.is_valid_utf8(F.col("line").cast("string"))).alias("utf8"),
-        F.some(F.col("latin").rlike(_UNDEFINED)).alias("undefined"),
+        F.some("undefined").alias("undefined"),
         F.some(F.contains("latin", F.lit("\u0000"))).alias("zero"),
-        F.some("odd").alias("multiline"),
+        # As a set, since this has all of them combined by hash; with the line as the only large value they would be sorted.
+        F.array_contains(F.collect_set("odd"), True).alias("multiline"),
         F.min_by("line", "at").alias("first"),
         *numbers,
     )

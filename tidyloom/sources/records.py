@@ -37,6 +37,8 @@ for _module in (sys.modules[__name__], headers):
 
 #: Refused files that an error names.
 NAMED = 20
+#: What a task reads at least of files in small pieces, if there is enough for all cores.
+TASK_BYTES = 32 * 1024**2
 #: Takes the place of separators between cells; files with this sign are refused.
 NUL = "\u0000"
 #: States in front of a quote: outside a cell's start, inside quotes, behind a closing quote, at the start of a line.
@@ -51,17 +53,19 @@ class Records:
     headers: DataFrame
 
 
-def read_records(spark: SparkSession, *paths: str, refused: str = "raise", **limits) -> Records:
-    """Records of all text files below the paths.
+def read_records(spark: SparkSession, *paths: str, refused: str = "raise", pieces: str | None = None, **limits) -> Records:
+    """Records of all text files below the paths. Files are read in ``pieces`` of this size, by default those of Spark.
 
     Files that cannot be admitted raise an error that names them, unless ``refused`` is
     "skip"; files that are not text are left to others.
     """
-    found = written(admit(spark, *paths, **limits).where("kind = 'csv' OR reason = 'file is empty'"))
+    # Read once from the files; their lines are looked at several times.
+    lines = _in_pieces(spark, paths, pieces)
+    found = written(admit(spark, *paths, lines=_placed(lines), **limits).where("kind = 'csv' OR reason = 'file is empty'"))
     if refused != "skip":
         name_refused(found.where("NOT ok"))
     files = found.where("ok").select(F.col("path").alias("source"), "encoding", "separator", "multiline")
-    return records(text_lines(spark, *paths), files)
+    return records(lines, files)
 
 
 def name_refused(bad: DataFrame) -> None:
@@ -85,10 +89,31 @@ def placed_lines(read: DataFrame) -> DataFrame:
     )
 
 
+def _in_pieces(spark: SparkSession, paths: tuple[str, ...], pieces: str | None) -> DataFrame:
+    size, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(size, pieces or usual)
+    try:
+        return written(gathered(text_lines(spark, *paths)))
+    finally:
+        spark.conf.set(size, usual)
+
+
+def gathered(lines: DataFrame) -> DataFrame:
+    """The same lines by fewer tasks where files are read in small pieces: a task takes several, up to ``TASK_BYTES``, but four a core are left."""
+    spark = lines.sparkSession
+    pieces = lines.rdd.getNumPartitions()
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(pieces * size // TASK_BYTES, 4 * spark.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if size < TASK_BYTES and tasks < pieces else lines
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("source").alias("path"), F.struct("block", "row").alias("at"), "line")
+
+
 def judged_files(lines: DataFrame) -> DataFrame:
     """Layout ``(source, encoding, separator, multiline)`` of files by their lines alone; files with a zero byte are left out."""
-    at = F.struct("block", "row").alias("at")
-    looked = judge_lines(lines.select(F.col("source").alias("path"), at, "line"))
+    looked = judge_lines(_placed(lines))
     return looked.where(~F.col("zero")).select(F.col("path").alias("source"), "encoding", "separator", "multiline")
 
 
